@@ -84,7 +84,10 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """
 
     def train(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True)
+        got = list(parts)
+        if not got:
+            return
+        rows = pd.concat(got, ignore_index=True)
         rows = rows.sort_values(["h", "doc_id"], kind="stable")
         rows = rows[rows["text"].str.len().cumsum() <= MAX_TRAIN_CHARS]
         if not len(rows):
