@@ -1,17 +1,43 @@
-"""The registered queries of the alignment and call operators, and their SQL."""
+"""The registered queries of the alignment and call operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.sources.views import duck
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a function under its name, and SQL over the named views for it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = duck(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from strandloom.plans import call_queries, read_queries, sequence_queries, variant_queries  # noqa: F401
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+    _load()
+    return QUERIES["a16_fragments_per_barcode"](spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
