@@ -1 +1,253 @@
-"""Queries to come."""
+"""Queries over small variants, pileups and copy number."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandloom.operators import variants as V
+from strandloom.operators.intervals import overlap_join
+from strandloom.plans.read_queries import _MERGE, contigs, reads
+from strandloom.plans.registry import query
+from strandloom.sources.views import view
+
+_CLASS = """case when length(ref) = 1 and length(alt) = 1 then case when (ref, alt) in (('A', 'G'), ('G', 'A'), ('C', 'T'), ('T', 'C')) then 0 else 1 end when length(ref) = length(alt) then 2 when length(alt) > length(ref) then 3 else 4 end"""
+
+
+def sites(spark, sf) -> DataFrame:
+    """Variants with the annotations that filters read; those with an even number have a second allele."""
+    rows = view(spark, sf, "variants")
+    return rows.withColumn("fs", F.col("qual") * 7 % 50).withColumn("ab", F.col("depth") * 3 % 80).withColumn("ds", F.col("line") % 3)
+
+
+_SITES = "sites as (select *, qual * 7 % 50 as fs, depth * 3 % 80 as ab, line % 3 as ds from variants)"
+
+
+@query(f"with {_SITES}, two as (select * replace (alt || ',' || ref || 'A' as alt) from sites), e as (select chrom, pos, ref, unnest(string_split(alt, ',')) as allele, line, ok from two), f as (select *, allele as alt from e) select chrom, pos, ref, allele, line, ok, {_CLASS} as class, (length(allele) - length(ref))::int as indel_length from f", "variants")
+def s12_read_vcf(spark, sf):
+    two = sites(spark, sf).withColumn("alt", F.concat("alt", F.lit(","), "ref", F.lit("A")))
+    return V.explode_alleles(two).select("chrom", "pos", "ref", "allele", "line", "ok", "class", "indel_length")
+
+
+@query(
+    f"""with {_SITES}, m as (select avg(depth) as md from sites where qual >= 30), f as (select s.*, concat_ws(';', case when depth > md + 0.5 * sqrt(md) then 'DPhigh' when depth < 20 then 'DPlow' end, case when fs > 30 then 'FShigh' end, case when length(ref) = length(alt) and ds < 1 then 'DSlow' end, case when ab < 30 then 'ABlow' end) as l from sites s, m where qual >= 30)
+    select chrom, pos, line, ok, case when l = '' then '.' else l end as filter from f""",
+    "variants",
+)
+def f11_variant_hard_filter(spark, sf):
+    return V.hard_filter(sites(spark, sf), min_depth=20, coef=0.5).select("chrom", "pos", "line", "ok", "filter")
+
+
+@query(
+    f"""with a as (select qual, {_CLASS} as class from variants), h as (select qual, count(*) as n, {", ".join(f"count(*) filter (class = {k}) as n{k}" for k in range(5))} from a group by qual), c as (select *, sum(n) over (order by qual desc rows unbounded preceding) - n as before, sum(n) over () as total from h),
+    s as (select floor(before / (0.1 * total))::bigint as stratum, min(qual) as qual, {", ".join(f"sum({c})::bigint as {c}" for c in ("n", "n0", "n1", "n2", "n3", "n4"))} from c group by 1)
+    select *, {", ".join(f"(sum({c}) over (order by stratum rows unbounded preceding))::bigint as cum_{c}" for c in ("n", "n0", "n1", "n2", "n3", "n4"))} from s""",
+    "variants",
+)
+def a33_quality_stratified_counts(spark, sf):
+    rows = view(spark, sf, "variants").withColumn("class", V.allele_class(F.col("ref"), F.col("alt")))
+    return V.quality_strata(rows, 0.1)
+
+
+@query(
+    f"""with a as (select *, {_CLASS} as class, abs(length(alt) - length(ref)) as len, qual >= 25 as first_ from variants)
+    select class >= 3 as is_indel, count(*) filter (first_) as n_first, count(*) filter (not first_) as n_second, count(*) filter (not first_) - count(*) filter (first_) as difference from a group by 1""",
+    "variants",
+)
+def a34_hap_diploid_eval(spark, sf):
+    rows = view(spark, sf, "variants").withColumn("is_indel", V.allele_class(F.col("ref"), F.col("alt")) >= 3)
+    first, second = F.count_if(F.col("qual") >= 25), F.count_if(F.col("qual") < 25)
+    return rows.groupBy("is_indel").agg(first.alias("n_first"), second.alias("n_second"), (second - first).alias("difference"))
+
+
+@query(
+    f"""with a as (select *, {_CLASS} as class, (length(alt) - length(ref))::int as indel_length from variants), r as (select a.*, exists (select 1 from gaps g where 'chr' || (g.tid + 1) = a.chrom and pos >= g.start and pos < g."end") as in_region from a)
+    select in_region, indel_length, count(*) filter (class <= 2) as n_substitutions, count(*) filter (class >= 3) as n_gaps from r group by 1, 2""",
+    "variants", "gaps",
+)
+def a35_atom_counts(spark, sf):
+    rows = V.explode_alleles(view(spark, sf, "variants")).withColumn("tid", F.substring("chrom", 4, 9).cast("int") - 1).withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
+    places = rows.select("tid", "start", "end").distinct()
+    hit = overlap_join(places, view(spark, sf, "gaps")).select("tid", "start").distinct().withColumn("in_region", F.lit(True))
+    rows = rows.join(hit, ["tid", "start"], "left").withColumn("in_region", F.coalesce("in_region", F.lit(False)))
+    return rows.groupBy("in_region", "indel_length").agg(F.count_if(F.col("class") <= 2).alias("n_substitutions"), F.count_if(F.col("class") >= 3).alias("n_gaps"))
+
+
+@query(
+    """with p as (select chrom, pos, line, ok, qual * 3 % 60 as p0, depth % 50 + 30 as p1, (qual + depth) % 60 as p2 from variants), s as (select *, list_sort([p0, p1, p2]) as o from p)
+    select chrom, pos, line, ok, case when p0 = o[1] then '0/0' when p1 = o[1] then '0/1' else '1/1' end as genotype, (o[2] - o[1])::double as quality from s""",
+    "variants",
+)
+def p30_genotype_recall(spark, sf):
+    rows = view(spark, sf, "variants").withColumn("pl", F.array(F.col("qual") * 3 % 60, F.col("depth") % 50, (F.col("qual") + F.col("depth")) % 60).cast("array<double>"))
+    return rows.select("chrom", "pos", "line", "ok", V.genotype_recall("pl").alias("g")).select("chrom", "pos", "line", "ok", "g.*")
+
+
+@query(
+    """with g as (select chrom, pos, line, ok, (qual % 3) as a, (line % 3) as b from variants) select chrom, pos, line, ok, case when line % 4 = 0 then a || '|' || b when a > b then b || '/' || a || ':9' else a || '/' || b || ':9' end as gt from g""",
+    "variants",
+)
+def p31_genotype_normalize(spark, sf):
+    a, b = (F.col("qual") % 3).cast("string"), (F.col("line") % 3).cast("string")
+    raw = F.when(F.col("line") % 4 == 0, F.concat(a, F.lit("|"), b)).otherwise(F.concat(a, F.lit("/"), b, F.lit(":9")))
+    return view(spark, sf, "variants").select("chrom", "pos", "line", "ok", V.genotype_normalize(raw).alias("gt"))
+
+
+@query("select chrom, pos - 1 as start, (pos - 1 + length(ref))::int as \"end\", ref, alt, 1 as n_alts from variants", "variants")
+def p32_variant_to_bed(spark, sf):
+    return V.variant_to_bed(view(spark, sf, "variants"))
+
+
+@query(
+    """with t as (select distinct qual % 8 as a, line % 6 as b, depth // 10 % 7 as c, (qual + line) % 9 as d from variants), x as (select *, unnest(range(greatest(0, (a + c) - (c + d)), least(a + b, a + c) + 1)) as x from t),
+    p as (select *, exp(lgamma(a + b + 1.0) - lgamma(x + 1.0) - lgamma(a + b - x + 1.0) + lgamma(c + d + 1.0) - lgamma(a + c - x + 1.0) - lgamma(c + d - a - c + x + 1.0) - lgamma(a + b + c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0)) as p from x),
+    o as (select a, b, c, d, max(p) filter (x = a) as own from p group by all) select a, b, c, d, round(least(sum(p) filter (p <= own * (1 + 1e-6)), 1), 6) as p_value from p join o using (a, b, c, d) group by a, b, c, d""",
+    "variants",
+)
+def p33_strand_bias_phred(spark, sf):
+    t = view(spark, sf, "variants").select((F.col("qual") % 8).alias("a"), (F.col("line") % 6).alias("b"), F.expr("cast(depth div 10 % 7 as int)").alias("c"), ((F.col("qual") + F.col("line")) % 9).alias("d")).distinct()
+    return t.select("a", "b", "c", "d", F.round(V.fisher_two_sided(*map(F.col, "abcd")), 6).alias("p_value"))
+
+
+_GT = "gts as (select chrom, pos // 5000 as pos, 's' || line as sample, (case when qual % 10 = 0 then -1 else qual % 2 end)::int as a1, (case when qual % 10 = 0 then -1 when qual % 4 = 0 then 1 else line % 2 end)::int as a2, (depth % 23)::int as ad from variants)"
+
+
+def genotypes(spark, sf) -> DataFrame:
+    q, missing = F.col("qual"), F.col("qual") % 10 == 0
+    return view(spark, sf, "variants").select(
+        "chrom", F.expr("pos div 5000").alias("pos"), F.concat(F.lit("s"), F.col("line").cast("string")).alias("sample"), F.when(missing, -1).otherwise(q % 2).cast("int").alias("a1"),
+        F.when(missing, -1).when(q % 4 == 0, 1).otherwise(F.col("line") % 2).cast("int").alias("a2"), (F.col("depth") % 23).cast("int").alias("ad"),
+    )
+
+
+@query(
+    f"""with {_GT}, s as (select chrom, pos, sum((a1 = 0)::int + (a2 = 0)::int)::bigint as n_allele0, sum((a1 = 1)::int + (a2 = 1)::int)::bigint as n_allele1, count(*) filter (a1 = 0 and a2 = 0) as n_hom_ref, count(*) filter (a1 <> a2) as n_het, count(*) filter (a1 = a2 and a1 > 0) as n_hom_alt,
+    count(*) filter (a1 < 0) as n_missing, sum(ad)::bigint as sum_ad, max(ad) as best_ad, count(*) as n from gts group by chrom, pos), l as (select *, concat_ws(';', case when n_allele1 = 0 then 'NONVAR' end, case when best_ad < 5 then 'LOWAD' end, case when 2 * n_missing > n then 'HIGHNC' end) as l from s)
+    select * exclude (n, l), case when l = '' then '.' else l end as label from l""",
+    "variants",
+)
+def a32_site_summary(spark, sf):
+    return V.site_summary(genotypes(spark, sf))
+
+
+@query(
+    f"""with {_GT}, w as (select chrom, pos, sample, case when a1 = 1 then 2 else a1 end as a1, case when a2 = 1 then 2 else a2 end as a2 from gts), u as (select chrom, pos, list_sort(list_distinct(list_concat(list(a1), list(a2)))) as us from w group by all), v as (select chrom, pos, list_filter(us, lambda x: x > 0) as us from u)
+    select w.chrom, w.pos, sample, (case when a1 > 0 then list_position(us, a1) else a1 end)::int as a1, (case when a2 > 0 then list_position(us, a2) else a2 end)::int as a2, array_to_string(list_transform(us, lambda k: ['C', 'G', 'T'][k]), ',') as alts from w join v using (chrom, pos)""",
+    "variants",
+)
+def p35_trim_unused_alleles(spark, sf):
+    two = lambda c: F.when(F.col(c) == 1, 2).otherwise(F.col(c)).alias(c)
+    rows = genotypes(spark, sf).select("chrom", "pos", "sample", two("a1"), two("a2")).withColumn("alts", F.array(F.lit("C"), F.lit("G"), F.lit("T")))
+    return V.trim_unused_alleles(rows).withColumn("alts", F.array_join("alts", ","))
+
+
+@query(
+    """with k as (select chrom, pos, case when length(ref) = length(alt) then 'SNP' else 'INDEL' end as kind, line from variants), t as (select distinct chrom, pos, kind from k where line % 2 = 0), c as (select distinct chrom, pos, kind from k where line % 2 = 1),
+    tt as (select kind, count(*) filter (exists (select 1 from c where c.chrom = t.chrom and c.kind = t.kind and abs(c.pos - t.pos) <= 10)) as tp, count(*) as n from t group by kind), cc as (select kind, count(*) filter (not exists (select 1 from t where c.chrom = t.chrom and c.kind = t.kind and abs(c.pos - t.pos) <= 10)) as fp, count(*) as m from c group by kind)
+    select kind, tp, n - tp as fn, fp, (n - tp) / n as fnr, fp / m as fdr from tt join cc using (kind)""",
+    "variants",
+)
+def j19_distance_eval(spark, sf):
+    rows = view(spark, sf, "variants")
+    return V.distance_eval(rows.where("line % 2 = 0"), rows.where("line % 2 = 1"))
+
+
+@query(
+    """select chrom, pos, ref, alt, max(qual) filter (line % 3 = 0) as qual_a, max(qual) filter (line % 3 = 1) as qual_b, max(qual) filter (line % 3 = 2) as qual_c, count(distinct line % 3) as n_samples from variants group by chrom, pos, ref, alt""", "variants"
+)
+def j20_multi_sample_site_merge(spark, sf):
+    rows = view(spark, sf, "variants")
+    return V.merge_samples({n: rows.where(f"line % 3 = {k}") for k, n in enumerate("abc")})
+
+
+@query("select chrom, pos, 'x' || (line % 3) as sample, max(qual) as qual from variants where line % 3 in (0, 2) group by all", "variants")
+def j23_subset_samples(spark, sf):
+    rows = view(spark, sf, "variants").withColumn("sample", (F.col("line") % 3).cast("string"))
+    names = spark.createDataFrame([("0", "x0"), ("2", "x2")], "sample string, renamed string")
+    return rows.join(F.broadcast(names), "sample").groupBy("chrom", "pos", F.col("renamed").alias("sample")).agg(F.max("qual").alias("qual"))
+
+
+@query()
+def w10_deoverlap_variants(spark, sf):
+    return V.deoverlap(view(spark, sf, "variants"))
+
+
+@query(
+    """with r as (select *, max("end") over (partition by tid order by start, "end", read_id, flag, line rows between unbounded preceding and 1 preceding) as reach, sum("end" - start) over (partition by tid order by start, "end", read_id, flag, line rows unbounded preceding) - ("end" - start) as before from reads),
+    p as (select *, sum(case when start - reach > 100 then 1 else 0 end) over (partition by tid order by start, "end", read_id, flag, line rows unbounded preceding) as part from r)
+    select tid, min(start) as start, max("end") as "end", sum("end" - start)::bigint as bases from p group by tid, part, before // 2000""",
+    "reads",
+)
+def w11_chunk_regions(spark, sf):
+    return V.chunk_regions(reads(spark, sf), 2000, 100)
+
+
+_BASES = """bases as (select tid, pos, ['A', 'C', 'G', 'T'][(pos + case when (pos * 31 + mapq) % 11 = 0 then line else 0 end) % 4 + 1] as base, (flag & 16) <> 0 as reverse from (select *, unnest(range(start, "end")) as pos from reads where (flag & 3328) = 0 and mapq >= 20)),
+cnt as (select tid, pos, base, count(*) as n, count(*) filter (reverse) as n_reverse from bases group by all), dep as (select tid, pos, sum(n)::bigint as depth from cnt group by all),
+rk as (select *, row_number() over (partition by tid, pos order by n desc, base) as k from cnt where n >= 2), pile as (select d.tid, d.pos, depth, f.base as best, f.n as n_best, f.n_reverse as n_best_reverse, s.base as second, coalesce(s.n, 0) as n_second from dep d join rk f on d.tid = f.tid and d.pos = f.pos and f.k = 1 left join rk s on d.tid = s.tid and d.pos = s.pos and s.k = 2)"""
+
+
+def bases(spark, sf) -> DataFrame:
+    """Each aligned base of the good reads; every eleventh or so is shifted by the read's number."""
+    rows = reads(spark, sf).where("(flag & 3328) = 0 and mapq >= 20").select("tid", "mapq", "line", "flag", F.explode(F.expr("sequence(start, `end` - 1)")).alias("pos"))
+    shift = F.when((F.col("pos") * 31 + F.col("mapq")) % 11 == 0, F.col("line")).otherwise(0)
+    base = F.substring(F.lit("ACGT"), 1, 4)
+    base = F.element_at(F.split(base, ""), ((F.col("pos") + shift) % 4 + 1).cast("int"))
+    return rows.select("tid", "pos", base.alias("base"), ((F.col("flag").bitwiseAND(16)) != 0).alias("reverse"))
+
+
+@query(f"with {_BASES} select * from pile", "reads")
+def a29_allele_pileup(spark, sf):
+    return V.pileup(bases(spark, sf))
+
+
+@query(
+    f"""with {_BASES}, b as (select tid, pos, case when 2 * n_second >= n_best then lower(best) else best end as b, pos - row_number() over (partition by tid order by pos) as st from pile) select tid, min(pos) as start, string_agg(b, '' order by pos) as consensus from b group by tid, st""",
+    "reads",
+)
+def a38_consensus_sequence(spark, sf):
+    return V.consensus(V.pileup(bases(spark, sf)))
+
+
+_PER_BASE = """d as (select tid, pos, count(*) as d from (select tid, unnest(range(start, "end")) as pos from reads where (flag & 3328) = 0) group by all)"""
+
+
+@query(
+    f"""with {_PER_BASE}, n as (select *, case when d = lag(d) over (partition by tid order by pos) and pos = lag(pos) over (partition by tid order by pos) + 1 then 0 else 1 end as new from d), r as (select *, sum(new) over (partition by tid order by pos rows unbounded preceding) as run from n)
+    select tid, min(pos) as start, max(pos) + 1 as "end", min(d) as d from r group by tid, run""",
+    "reads",
+)
+def a31_run_length_depth(spark, sf):
+    from strandloom.operators.intervals import delta_counts
+
+    rows = reads(spark, sf).where("(flag & 3328) = 0").select("tid", "start", (F.col("end") - 1).alias("last"))
+    # runs between events are runs of equal depth but where one ends as another starts
+    deltas = delta_counts(rows, "start", "last", ["tid"], {"d": F.lit(1)})
+    w = Window.partitionBy("tid").orderBy("idx")
+    new = F.when((F.col("d") == F.lag("d").over(w)) & (F.col("idx") == F.lag("to").over(w) + 1), 0).otherwise(1)
+    runs = deltas.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("tid", "run").agg(F.min("idx").alias("start"), (F.max("to") + 1).alias("end"), F.min("d").alias("d")).drop("run")
+
+
+@query(
+    """with s as (select tid, cast(tid % 3 as int) as ploidy, count(*) as n, sum(mapq) / count(*) as mean_depth from reads group by tid, line), p as (select *, unnest(range(0, 5)) as i from s),
+    q as (select *, (case ploidy when 1 then [1e-2, 0.98, 1e-2, 1e-4, 1e-5] when 0 then [0.98, 1e-2, 1e-4, 1e-5, 1e-6] else [1e-4, 1e-2, 0.98, 1e-2, 1e-4] end)[i + 1] as prior from p),
+    l as (select *, (((mean_depth - 25) * sqrt(n) / 25) ** 2 - ((mean_depth - i * 25 / 2) * sqrt(n) / 25) ** 2) / 2 + ln(prior) * ln(n) * 2 as llr from q)
+    select tid, ploidy, n, round(mean_depth, 6) as mean_depth, (arg_max(i, llr))::int as genotype, round(max(llr) / ln(10), 6) as score, (arg_max(i, llr) - ploidy)::int as cnv_type from l group by tid, ploidy, n, mean_depth""",
+    "reads",
+)
+def m14_copy_number_genotype(spark, sf):
+    seg = reads(spark, sf).groupBy("tid", "line").agg(F.count(F.lit(1)).alias("n"), (F.sum("mapq") / F.count(F.lit(1))).alias("mean_depth")).withColumn("ploidy", (F.col("tid") % 3).cast("int")).drop("line")
+    rows = V.copy_number_genotype(seg, 25.0, 25.0)
+    return rows.select("tid", "ploidy", "n", F.round("mean_depth", 6).alias("mean_depth"), "genotype", F.round("score", 6).alias("score"), "cnv_type")
+
+
+@query(f"with iv as (select tid, start, \"end\" from reads where (flag & 2304) = 0), {_MERGE}, c as (select tid, max(\"end\") + 1000 as length from reads group by tid) select tid, (sum(\"end\" - start))::bigint as covered, count(*) as n_islands from merged group by tid", "reads")
+def k6_bam2bed(spark, sf):
+    from strandloom.operators.intervals import merge_intervals
+
+    bed = reads(spark, sf).where("(flag & 2304) = 0").select("tid", "start", "end", F.col("read_id").alias("name"), F.col("mapq").alias("score"), F.when((F.col("flag").bitwiseAND(16)) != 0, "-").otherwise("+").alias("strand"))
+    return merge_intervals(bed).groupBy("tid").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count(F.lit(1)).alias("n_islands"))
+
+
+__all__ = ["contigs"]

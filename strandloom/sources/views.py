@@ -43,7 +43,14 @@ SELECTS = {
             "l_orderkey as ok",
         ],
     ),
-    "seqs": ("documents", ["doc_id as name", "text as seq"]),
+    # letters stand for bases, anything else for an unknown base
+    "seqs": (
+        "documents",
+        [
+            "doc_id as name",
+            "regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N'{g}) as seq",
+        ],
+    ),
     "sessions": ("events", ["concat('U', cast(user_id as varchar(20))) as bcd", "event_id", "ts"]),
 }
 
@@ -51,7 +58,7 @@ SELECTS = {
 def view_sql(name: str) -> str:
     """The view as SQL with ANSI quotes."""
     source, cols = SELECTS[name]
-    return f"select {', '.join(cols)} from {source}".replace("{end}", '"end"')
+    return f"select {', '.join(cols)} from {source}".replace("{end}", '"end"').replace("{g}", ", 'g'")
 
 
 def duck(body: str, *names: str) -> str:
@@ -68,4 +75,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         a, b = on.split(" = ")
         other = spark.read.parquet(f"{sf_dir}/{right}.parquet")
         df = df.join(other, df[a] == other[b])
-    return df.selectExpr(*[c.replace("{end}", "`end`") for c in cols])
+    return df.selectExpr(*[c.replace("{end}", "`end`").replace("{g}", "") for c in cols])
