@@ -63,7 +63,11 @@ def view_sql(name: str) -> str:
 
 def duck(body: str, *names: str) -> str:
     """``body`` with the views that it names."""
-    return "with " + ", ".join(f"{n} as ({view_sql(n)})" for n in names) + (", " if body.lstrip().lower().startswith("with ") else " ") + (body.lstrip()[5:] if body.lstrip().lower().startswith("with ") else body)
+    body = body.lstrip()
+    recursive = body.lower().startswith("with recursive ")
+    rest = body[len("with recursive ") :] if recursive else body[len("with ") :] if body.lower().startswith("with ") else None
+    head = ("with recursive " if recursive else "with ") + ", ".join(f"{n} as ({view_sql(n)})" for n in names)
+    return f"{head}, {rest}" if rest is not None else f"{head} {body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
