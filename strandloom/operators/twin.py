@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions.reads import usable
 from strandloom.operators.intervals import delta_counts, expand_runs
@@ -73,7 +74,7 @@ def in_limits(windows: DataFrame, limits: dict[str, tuple[float, float]]) -> Dat
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """The upper tail of the normal law; Spark has no erfc."""
     return pd.Series([0.5 * math.erfc(v / math.sqrt(2)) if v == v else None for v in z])

@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    session = local_session("tests", os.environ.get("TEST_CPUS", "8"), **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     yield session
     session.stop()
 
