@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.scores import gap_score, max_gap_from_rate, pe_gap_score
 from strandloom.operators.graph import connected_components
+from strandloom.session import stash
 
 PLANE = ["end_type", "x_tid", "y_tid"]
 
@@ -46,7 +47,8 @@ def cluster(nodes: DataFrame, key: str, cutoff: int, min_nodes: int, by: list[st
 
     Nodes with fewer are left out, and clusters of fewer nodes than ``min_nodes``.
     """
-    pairs = neighbours(nodes, key, cutoff, by)
+    # the pairs are read three times
+    pairs, _ = stash(neighbours(nodes, key, cutoff, by), "neighbours")
     core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_nodes).select("a")
     edges = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").where("a <= b")
     comps = connected_components(edges, "a", "b")

@@ -13,6 +13,7 @@ from strandloom.operators.graph import connected_components
 from strandloom.operators.intervals import overlap_join
 from strandloom.plans.read_queries import FRAGS, J2, contigs, frags, hap_frags, reads
 from strandloom.plans.registry import query
+from strandloom.session import stash
 from strandloom.sources.views import view
 
 #: Calls made of each order and the next one of its customer: select lists that Spark and the check share.
@@ -55,9 +56,10 @@ def a4_twin_window_counts(spark, sf):
 
 
 def windows(spark, sf) -> DataFrame:
+    """Windows with their centroids, as a written table: the model reads it several times."""
     r, c = reads(spark, sf), contigs(spark, sf)
     centroids = depth.weighted_centroid(depth.densify(depth.read_depth(r), c)).withColumnRenamed("bin", "idx")
-    return twin.twin_windows(r, c).join(centroids, ["tid", "idx"])
+    return stash(twin.twin_windows(r, c).join(centroids, ["tid", "idx"]), "windows")[0]
 
 
 def _model(rows):
@@ -67,8 +69,9 @@ def _model(rows):
 
 @query()
 def m1_twin_window_model(spark, sf):
-    limits, coef = _model(windows(spark, sf))
-    return twin.in_limits(windows(spark, sf), limits).where("n0 >= 1").agg(F.count(F.lit(1)).alias("n_windows"), *[F.max(F.lit(round(c, 6))).alias(n) for c, n in zip(coef, ("intercept", "slope1", "slope2", "slope_d"), strict=True)])
+    rows = windows(spark, sf)
+    limits, coef = _model(rows)
+    return twin.in_limits(rows, limits).where("n0 >= 1").agg(F.count(F.lit(1)).alias("n_windows"), *[F.max(F.lit(round(c, 6))).alias(n) for c, n in zip(coef, ("intercept", "slope1", "slope2", "slope_d"), strict=True)])
 
 
 @query()
@@ -144,13 +147,13 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 @query()
 def g4_cluster_endpoint_nodes(spark, sf):
-    rows = nodes.remove_sparse(fragments.pair_nodes(frags(spark, sf), 5000), 20_000, 4)
-    return nodes.cluster(_keyed(rows), "key", 2_000, 3).select("component_id", "end_type", "x_tid", "x_pos", "y_tid", "y_pos", "frag1", "frag2")
+    rows, _ = stash(nodes.remove_sparse(fragments.pair_nodes(frags(spark, sf), 5000), 20_000, 4), "nodes")
+    return nodes.cluster(_keyed(rows), "key", 1_000, 3).select("component_id", "end_type", "x_tid", "x_pos", "y_tid", "y_pos", "frag1", "frag2")
 
 
 @query()
 def m4_predict_breakpoint(spark, sf):
-    rows = g4_cluster_endpoint_nodes(spark, sf)
+    rows, _ = stash(g4_cluster_endpoint_nodes(spark, sf), "clusters")
     out = None
     for s, at in (("x", 1), ("y", 2)):
         side = F.when(F.substring("end_type", at, 1) == "3", "R").otherwise("L")

@@ -25,7 +25,7 @@ def query(sql: str | None = None, *views: str):
 
 
 def _load() -> None:
-    from strandloom.plans import call_queries, evidence_queries, file_queries, read_queries, sequence_queries, variant_queries  # noqa: F401
+    from strandloom.plans import call_queries, evidence_queries, file_queries, late_queries, read_queries, sequence_queries, variant_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
