@@ -16,6 +16,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes of an Arrow batch: what a worker holds at once beside one text.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch limits where they are higher; texts can be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 @dataclass(frozen=True)
 class Step:
     """Columns made from other columns of the same row: ``fn`` gets and gives one Arrow array each."""
@@ -31,6 +43,7 @@ def with_arrow(df: DataFrame, *steps: Step, keep: list[str] | None = None) -> Da
     ``keep`` names the columns of the result (all by default). A column of ``df`` that has the name
     of a made column, whatever the case of its letters, gives way to it.
     """
+    small_batches(df.sparkSession)
     made = {f.name: f for s in steps for f in s.fields}
     low = {n.lower() for n in made}
     needed = {i for s in steps for i in s.inputs}
