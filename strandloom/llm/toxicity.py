@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Only documents have labels; sentences are the instances. A sentence scores the sigmoid of the
-weights of its distinct words, a document the noisy-or of its sentences: it is toxic unless every
+summed weights of its distinct words and their stems, a document the noisy-or of its sentences: it is toxic unless every
 sentence is clean. The likelihood of the document labels trains the word weights, so that the
 sentences that make a document toxic can be pointed at.
 """
@@ -26,8 +26,11 @@ from strandloom.llm.common import Step, with_arrow
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample, and of what it may teach.
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, MAX_VOCABULARY, MIN_DOCS = 4000, 40_000_000, 50_000, 4
-EPOCHS, RATE, SHRINK, BIAS = 80, 0.3, 2e-5, -6.0
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, MAX_VOCABULARY, MIN_DOCS = 6000, 40_000_000, 100_000, 10
+SHORTEST_STEM, LONGEST_STEM = 4, 8
+EPOCHS, RATE, SHRINK, BIAS = 80, 0.15, 1e-4, -6.0
+#: Words whose weight a worker keeps.
+REMEMBERED = 200_000
 _SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -37,42 +40,58 @@ class Model:
     weights: dict[str, float]
 
 
-def _bags(texts: list[str]) -> tuple[list[list[list[str]]], Counter]:
-    docs, df = [], Counter()
+def features(word: str) -> list[str]:
+    """The word itself and its beginnings: insults are built on stems, in any language."""
+    return ["=" + word, *("^" + word[:k] for k in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1))]
+
+
+def _bags(texts: list[str]) -> list[list[list[str]]]:
+    docs = []
     for t in texts:
         bags = [sorted(set(TOKEN.findall(s))) for s in SENTENCE.findall(t.lower())]
         docs.append([b for b in bags if b] or [[]])
-        df.update({w for b in bags for w in b})
-    return docs, df
+    return docs
 
 
 def fit_arrays(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Full-batch Adam on the documents' noisy-or log likelihood with a small L2 penalty."""
-    docs, df = _bags(texts)
-    common = [w for w, n in df.most_common(MAX_VOCABULARY) if n >= MIN_DOCS and n <= max(MIN_DOCS, 0.5 * len(docs))]
-    at = {w: i for i, w in enumerate(sorted(common))}
-    sentences = [[at[w] for w in s if w in at] for d in docs for s in d]
-    words = np.array([i for s in sentences for i in s], np.int64)
-    row = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    """Full-batch Adam on the documents' noisy-or log likelihood with a small L2 penalty.
+
+    A word weighs the sum of its features' weights, so an epoch touches each word of a sentence once.
+    """
+    docs = _bags(texts)
+    vocabulary: dict[str, int] = {}
+    words = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for s in d for w in s], np.int64)
+    of = [features(w) for w in vocabulary]
+    at = {w: k for k, w in enumerate(vocabulary)}
+    df: Counter = Counter()
+    for d in docs:
+        df.update({f for w in {w for s in d for w in s} for f in of[at[w]]})
+    common = [f for f, n in df.most_common(MAX_VOCABULARY) if n >= MIN_DOCS and n <= max(MIN_DOCS, 0.5 * len(docs))]
+    index = {f: i for i, f in enumerate(sorted(common))}
+    pairs = [(k, index[f]) for k, fs in enumerate(of) for f in fs if f in index]
+    of_word, of_feature = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    row = np.repeat(np.arange(sum(map(len, docs))), [len(s) for d in docs for s in d])
     starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]).astype(np.int64)
     size = np.array([len(d) for d in docs])
-    w, b = np.zeros(len(at)), BIAS
-    m, v, mb, vb = np.zeros(len(at)), np.zeros(len(at)), 0.0, 0.0
+    n_rows = int(size.sum())
+    w, b = np.zeros(len(index)), BIAS
+    m, v, mb, vb = np.zeros(len(index)), np.zeros(len(index)), 0.0, 0.0
     y = labels.astype(bool)
     for k in range(1, epochs + 1):
-        z = b + np.bincount(row, w[words], len(sentences))
-        p = 1 / (1 + np.exp(-z))
+        weight = np.bincount(of_word, w[of_feature], len(vocabulary))
+        z = b + np.bincount(row, weight[words], n_rows)
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         total = np.add.reduceat(np.logaddexp(0, z), starts)
-        pull = np.where(y, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0)
+        pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 60)), 1.0)
         g = np.repeat(pull, size) * p / len(docs)
-        gw = np.bincount(words, g[row], len(at)) + SHRINK * w
+        gw = np.bincount(of_feature, np.bincount(words, g[row], len(vocabulary))[of_word], len(index)) + SHRINK * w
         gb = float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c, d = 1 - 0.9**k, 1 - 0.999**k
         w = w - RATE * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b = b - RATE / 3 * (mb / c) / (math.sqrt(vb / d) + 1e-8)
-    return Model(float(b), {x: float(w[i]) for x, i in at.items() if abs(w[i]) > 1e-3})
+        b = b - RATE * (mb / c) / (math.sqrt(vb / d) + 1e-8)
+    return Model(float(b), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3})
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
@@ -104,21 +123,29 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
 def score_step(model: Model, text: str = "text") -> Step:
     bias, weights = model.bias, model.weights
     rest = math.log1p(math.exp(bias))
+    seen: dict[str, float] = {}
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         scores, spans = [], []
-        get = weights.get
+
+        def weigh(word: str) -> float:
+            known = [x for x in map(weights.get, features(word)) if x is not None]
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            total = seen[word] = math.fsum(known) if known else 0.0
+            return total
+
         for t in texts.to_pylist():
             t = t or ""
             low = t.lower()
             low = low if len(low) == len(t) else t
             total, found = 0.0, []
             for s in SENTENCE.finditer(low):
-                hit = [x for x in map(get, set(TOKEN.findall(s.group()))) if x is not None]
+                hit = [x for x in [seen[w] if w in seen else weigh(w) for w in set(TOKEN.findall(s.group()))] if x]
                 if not hit:
                     total += rest
                     continue
-                z = bias + sum(sorted(hit))
+                z = bias + math.fsum(hit)
                 total += z if z > 30 else math.log1p(math.exp(z))
                 if z >= 0:
                     found.append({"begin": s.start(), "end": s.end(), "score": 1 / (1 + math.exp(-z))})
