@@ -1,8 +1,8 @@
 """Line dedup over levelled sorted runs.
 
 The line keys of a corpus are kept as runs: tables of (key hash, documents that hold it, largest
-such doc_id), sorted by hash. A new batch is counted by itself, merge-anti-joined with the runs (its
-keys that no run has are new) and becomes a run of level 0. When a level has ``fanout`` runs they are
+such doc_id), sorted by hash. A new batch is counted by itself, merge-anti-joined with the runs (keys
+about which they know enough already go) and becomes a run of level 0. When a level has ``fanout`` runs they are
 merged into one run of the next level, so that n batches leave O(log n) runs and rewrite a key
 O(log n) times.
 """
@@ -69,6 +69,8 @@ class Runs:
 
     spark: SparkSession
     fanout: int = 4
+    #: From this many documents on a key is settled; 0: keys are never settled.
+    settled_at: int = 0
     levels: list[list[tuple[DataFrame, str]]] = field(default_factory=list)
 
     def _write(self, rows: DataFrame, level: int) -> None:
@@ -90,9 +92,16 @@ class Runs:
         return self._union([t for level in self.levels for t, _ in level])
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch (``doc_id, h1, h2``; no document of an earlier batch) and return its keys that were new."""
-        own = keys.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        """Add a batch (``doc_id, h1, h2``, each once; no document of an earlier batch) and return its keys that were new.
+
+        Keys that one of the runs has in ``settled_at`` documents already, with a doc_id above all of the
+        batch's, are merge-anti-joined away and not written again: they could change nothing.
+        """
+        own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         earlier = self.keys()
+        if earlier is not None and self.settled_at:
+            settled = earlier.where(F.col("n_docs") >= self.settled_at).select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("last_doc").alias("s_last"))
+            own = own.join(settled.hint("merge"), (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("last_doc") < F.col("s_last")), "left_anti")
         self._write(own, 0)
         batch = self.levels[0][-1][0]
         fresh = batch if earlier is None else batch.join(earlier, ["h1", "h2"], "left_anti")
@@ -110,16 +119,27 @@ class Runs:
             level += 1
 
     def totals(self, min_docs: int = 1) -> DataFrame:
-        """``h1, h2, n_docs, last_doc`` over all runs."""
+        """``h1, h2, n_docs, last_doc`` over all runs; of settled keys ``n_docs`` is at least ``settled_at``."""
         return self.merged(self.keys()).where(F.col("n_docs") >= min_docs)
 
 
-def build_runs(keys: DataFrame, batches: int = 4, fanout: int = 4) -> Runs:
-    """Add ``keys`` (a written table) batch by batch; a document's batch follows from its id."""
-    runs = Runs(keys.sparkSession, fanout)
-    parts = keys.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    for k in range(batches):
-        runs.add(parts.where(F.col("batch") == k).select("doc_id", "h1", "h2"))
+def build_runs(keys: DataFrame, batches: int = 4, fanout: int = 4, settled_at: int = 0) -> Runs:
+    """Add ``keys`` (a written table, each row once) batch by batch, the largest ids first.
+
+    The batches are ranges of ids with about as many rows each. Going down, the first batch that has
+    a key knows its largest doc_id, so that frequent keys are settled early. Where the ranges are cut
+    decides the cost, never the result.
+    """
+    runs = Runs(keys.sparkSession, fanout, settled_at)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(keys.agg(F.percentile_approx("doc_id", shares).alias("cuts")).first()["cuts"] or [])) if shares else []
+    for low, high in reversed(list(zip([None, *cuts], [*cuts, None], strict=True))):
+        part = keys
+        if low is not None:
+            part = part.where(F.col("doc_id") > low)
+        if high is not None:
+            part = part.where(F.col("doc_id") <= high)
+        runs.add(part.select("doc_id", "h1", "h2"))
         runs.compact()
     return runs
 
@@ -133,11 +153,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     are one empty line. Rows that repeat a doc_id count as one document and are treated alike; rows
     without a doc_id are counted nowhere and keep their lines.
     """
-    keys, _ = stash(line_keys(docs, text, doc_id, min_chars), "line-keys")
-    runs = build_runs(keys, batches, fanout)
+    keys, _ = stash(line_keys(docs, text, doc_id, min_chars).distinct(), "line-keys")
+    runs = build_runs(keys, batches, fanout, min_docs)
     doomed = (
-        keys.distinct()
-        .join(runs.totals(min_docs), ["h1", "h2"])
+        keys.join(runs.totals(min_docs), ["h1", "h2"])
         .where(F.col("doc_id") < F.col("last_doc"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))

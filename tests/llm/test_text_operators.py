@@ -185,6 +185,14 @@ def test_a_batch_returns_its_new_keys(spark):
     assert first.count() == 2 and [r.h1 for r in second.collect()] == [3]
 
 
+def test_settled_keys_are_not_written_again(spark):
+    runs = line_dedup.Runs(spark, settled_at=2)
+    runs.add(spark.createDataFrame([(8, 1, 1), (9, 1, 1), (9, 2, 2), (3, 3, 3), (4, 3, 3)], "doc_id long, h1 long, h2 long"))
+    runs.add(spark.createDataFrame([(5, 1, 1), (5, 2, 2), (5, 3, 3), (5, 4, 4)], "doc_id long, h1 long, h2 long"))
+    assert sorted(r.h1 for r in runs.levels[0][1][0].collect()) == [2, 3, 4]
+    assert sorted((r.h1, r.last_doc) for r in runs.totals(2).collect()) == [(1, 9), (2, 9), (3, 5)]
+
+
 # byte-level BPE
 
 
