@@ -153,20 +153,6 @@ f as (select k.doc_id, k.i, k.line, bad.key is not null and k.doc_id <> last_doc
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from f group by doc_id
 """
 
-OP8_TAKEN = rf"""
-with d as (select doc_id, source, len({_DUCK_WORDS})::bigint as size, md5(concat_ws('|', 'mix', doc_id::varchar)) as key from documents),
-s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, source) - 1) % 3 as k from d group by source),
-w as (select source, source_size, 2.0::double * source_size as most, case k when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from s),
-c as (select *, 1.5::double * sum(source_size) over () - sum(most) over o as rest_words, sum(w) over () - sum(w) over o as rest_weight,
-        1.5::double * sum(source_size) over () / sum(w) over () as even
-      from w window o as (order by most / w, source is null, source rows between unbounded preceding and current row)),
-lv as (select *, greatest(even, coalesce(max(case when rest_weight > 0.5 and rest_words / rest_weight >= most / w then rest_words / rest_weight end) over (), 0)) as level from c),
-t as (select source, source_size, round(least(most, level * w), 6) as target from lv),
-p as (select source, source_size, target, case when source_size > 0 then floor(target / source_size) else 0 end as passes from t),
-q as (select d.doc_id, size, source_size, target, passes, target - passes * source_size as rest, sum(size) over (partition by d.source order by key, size rows between unbounded preceding and current row) - size as before
-      from d join p on d.source is not distinct from p.source)
-"""
-
 
 def queries() -> dict:
     return {
