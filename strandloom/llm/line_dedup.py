@@ -154,9 +154,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     without a doc_id are counted nowhere and keep their lines.
     """
     keys, _ = stash(line_keys(docs, text, doc_id, min_chars).distinct(), "line-keys")
-    runs = build_runs(keys, batches, fanout, min_docs)
+    # a table of its own, so that Spark knows its size and may split the other side where one line is in very many documents
+    repeated, _ = stash(build_runs(keys, batches, fanout, min_docs).totals(min_docs), "repeated")
     doomed = (
-        keys.join(runs.totals(min_docs), ["h1", "h2"])
+        keys.join(repeated, ["h1", "h2"])
         .where(F.col("doc_id") < F.col("last_doc"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
