@@ -21,10 +21,14 @@ def shared_barcodes(side1: DataFrame, side2: DataFrame) -> DataFrame:
     return rows.withColumn("same", F.col("frag1") == F.col("frag2"))
 
 
-def read_pair_support(left: Column, right: Column, end1: Column, end2: Column) -> Column:
-    """True if a read id is in both lists (struct(read_id, flag)) in the strands that the end types ask for: R forward, L reverse."""
-    ids = lambda reads, end: F.transform(F.filter(reads, lambda r: has_flag(r["flag"], REVERSE) == (end == "L_end")), lambda r: r["read_id"])
-    return F.arrays_overlap(ids(left, end1), ids(right, end2))
+def read_pair_support(pairs: DataFrame, reads: DataFrame, end1: str = "R_end", end2: str = "L_end") -> DataFrame:
+    """``pairs`` (``frag1, frag2``) with ``supported``: a read id is in both fragments in the strands that the end types ask for, R forward and L reverse.
+
+    ``reads``: ``bcd, frag_id, read_id, flag``.
+    """
+    side = lambda k, end: reads.where(has_flag("flag", REVERSE) == F.lit(end == "L_end")).select("bcd", "read_id", F.col("frag_id").alias(f"frag{k}")).distinct()
+    met = side(1, end1).join(side(2, end2), ["bcd", "read_id"]).select("frag1", "frag2", F.lit(True).alias("supported")).distinct()
+    return pairs.join(met, ["frag1", "frag2"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
 
 
 def lookup(points: DataFrame, values: DataFrame, value: str, size: int = 100) -> DataFrame:
@@ -85,8 +89,9 @@ def assembly_breakpoints(alignments: DataFrame, min_mapq: int = 10) -> DataFrame
     """Events between alignments of one query (``qname, qbeg, qend, tid, start, end, reverse, mapq``) that follow each other.
 
     X: other contig; V: other strand; D: a gap in the reference; I: a gap in the query; C: anything else.
+    All columns order them, so that only rows that are equal throughout are tied.
     """
-    w = Window.partitionBy("qname").orderBy("qbeg", "qend", "tid", "start")
+    w = Window.partitionBy("qname").orderBy("qbeg", "qend", "tid", "start", "end", "reverse", "mapq")
     cols = ["qend", "tid", "start", "end", "reverse", "mapq"]
     rows = alignments.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in cols]).where("p_tid is not null")
     ref_gap = F.when(F.col("reverse"), F.col("p_start") - F.col("end")).otherwise(F.col("start") - F.col("p_end"))

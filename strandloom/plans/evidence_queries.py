@@ -45,11 +45,26 @@ def j8_shared_barcode_join(spark, sf):
     "reads",
 )
 def j9_read_pair_support(spark, sf):
-    lists = reads(spark, sf).where("mapq < 30").groupBy("bcd", "tid").agg(F.collect_list(F.struct("read_id", "flag")).alias("r"))
-    rows = frags(spark, sf).where("frag = 1").select("bcd", "tid", "frag_id").join(lists, ["bcd", "tid"], "left").withColumn("r", F.coalesce("r", F.expr("cast(array() as array<struct<read_id:string,flag:int>>)")))
-    a, b = (rows.select("bcd", *[F.col(c).alias(f"{p}_{c}") for c in ("tid", "frag_id", "r")]) for p in "ab")
-    pairs = a.join(b, "bcd").where("a_tid < b_tid")
-    return pairs.select(F.col("a_frag_id").alias("frag1"), F.col("b_frag_id").alias("frag2"), evidence.read_pair_support(F.col("a_r"), F.col("b_r"), F.lit("R_end"), F.lit("L_end")).alias("supported"))
+    rows = frags(spark, sf).where("frag = 1").select("bcd", "tid", "frag_id")
+    a, b = (rows.select("bcd", *[F.col(c).alias(f"{p}_{c}") for c in ("tid", "frag_id")]) for p in "ab")
+    pairs = a.join(b, "bcd").where("a_tid < b_tid").select(F.col("a_frag_id").alias("frag1"), F.col("b_frag_id").alias("frag2"))
+    # all reads of a barcode on a contig count for its first fragment, as in the SQL
+    near = reads(spark, sf).where("mapq < 30").select("bcd", F.concat_ws(":", "bcd", "tid", F.lit(1)).alias("frag_id"), "read_id", "flag")
+    return evidence.read_pair_support(pairs, near)
+
+
+@query(
+    f"""with {FRAGS}, rd as (select bcd, bcd || ':' || tid || ':' || frag as frag_id, read_id, flag from sessions where mapq < 30), sup as (select distinct x.frag_id as f1, y.frag_id as f2 from rd x join rd y on x.bcd = y.bcd and x.read_id = y.read_id and (x.flag & 16) = 0 and (y.flag & 16) <> 0)
+    select a.frag_id as frag1, b.frag_id as frag2, f1 is not null as supported from frags a join frags b on a.bcd = b.bcd and (a.tid, a.frag) < (b.tid, b.frag) left join sup on f1 = a.frag_id and f2 = b.frag_id""",
+    "reads",
+)
+def j9_read_pair_support_all(spark, sf):
+    """J9 over every two fragments of a barcode, each with its own reads."""
+    marked = fragments.gap_sessions(reads(spark, sf)).withColumn("frag_id", F.concat_ws(":", "bcd", "tid", "frag"))
+    rows = marked.select("bcd", "frag_id", F.struct("tid", "frag").alias("at")).distinct()
+    a, b = (rows.select("bcd", F.col("frag_id").alias(f"frag{k}"), F.col("at").alias(f"at{k}")) for k in (1, 2))
+    pairs = a.join(b, "bcd").where("at1 < at2").select("frag1", "frag2")
+    return evidence.read_pair_support(pairs, marked.where("mapq < 30").select("bcd", "frag_id", "read_id", "flag"))
 
 
 @query(f"""with {CALLS}, {_DENSE} select call_id, coalesce(d.total, 0)::double as total from calls left join d on d.tid = substr(chrom1, 4)::int - 1 and d.bin = start1 // 100""", "reads")
@@ -150,6 +165,11 @@ def a19_discordant_cluster_summary(spark, sf):
     return rows.join(comps.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("end1"), 6).alias("mean1"), F.round(F.avg("start2"), 6).alias("mean2"))
 
 
+def _contig_rows(rows: DataFrame) -> DataFrame:
+    """Reads as alignments of assembled contigs."""
+    return rows.select(F.col("read_id").alias("qname"), (F.col("line") * 200).alias("qbeg"), (F.col("line") * 200 + 100).alias("qend"), "tid", "start", "end", R.has_flag("flag", R.REVERSE).alias("reverse"), "mapq")
+
+
 @query(
     """with o as (select *, lag("end") over w as p_end, lag(tid) over w as p_tid, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(mapq) over w as p_mapq, lag(line) over w as p_line from reads window w as (partition by read_id order by line * 200, line * 200 + 100, tid, start)),
     g as (select *, (flag & 16) <> 0 as r, (p_flag & 16) <> 0 as pr, case when (flag & 16) <> 0 then p_start - "end" else start - p_end end as rg, line * 200 - (p_line * 200 + 100) as qg from o where p_tid is not null)
@@ -160,8 +180,18 @@ def a19_discordant_cluster_summary(spark, sf):
 def g9_assembly_breakpoints(spark, sf):
     clean = reads(spark, sf).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("k")).where("n = k").select("read_id")
     rows = reads(spark, sf).join(clean, "read_id", "left_semi")
-    rows = rows.select(F.col("read_id").alias("qname"), (F.col("line") * 200).alias("qbeg"), (F.col("line") * 200 + 100).alias("qend"), "tid", "start", "end", R.has_flag("flag", R.REVERSE).alias("reverse"), "mapq")
-    return evidence.assembly_breakpoints(rows)
+    return evidence.assembly_breakpoints(_contig_rows(rows))
+
+
+@query(
+    """with o as (select *, lag("end") over w as p_end, lag(tid) over w as p_tid, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(mapq) over w as p_mapq, lag(line) over w as p_line from reads window w as (partition by read_id order by line, tid, start, "end", flag & 16, mapq)),
+    g as (select *, (flag & 16) <> 0 as r, (p_flag & 16) <> 0 as pr, case when (flag & 16) <> 0 then p_start - "end" else start - p_end end as rg, line * 200 - (p_line * 200 + 100) as qg from o where p_tid is not null)
+    select read_id as qname, p_tid, p_end, tid, start, case when tid <> p_tid then 'X' when r <> pr then 'V' when rg > qg then 'D' when rg < qg then 'I' else 'C' end as event, case when tid = p_tid then abs(rg - qg) end as length, least(mapq, p_mapq) as mapq, case when least(mapq, p_mapq) < 10 then 'LowSupp' else '.' end as filter from g""",
+    "reads",
+)
+def g9_assembly_breakpoints_all(spark, sf):
+    """G9 over every read id, those with repeated line numbers too."""
+    return evidence.assembly_breakpoints(_contig_rows(reads(spark, sf)))
 
 
 @query(
