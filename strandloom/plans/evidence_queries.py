@@ -412,24 +412,43 @@ def c7_call_variants_from_contigs(spark, sf):
 # sequences beside alignments
 
 
-@query("with a as (select name, substr(seq, 1, 300) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, length(x.s) + 1)) as i from a x join a y on y.name = x.name + 1) select name, string_agg(case when i <= length(t) and t[i] in ('G', 'C') then 'N' else s[i] end, '' order by i) as seq from p group by name", "seqs")
-def j22_mask_sequence(spark, sf):
-    rows = view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq"))
+def _masked(rows: DataFrame) -> DataFrame:
+    """Each sequence with N where that of the next name has G or C."""
     other = rows.select((F.col("name") - 1).alias("name"), F.col("seq").alias("m"))
     both = rows.join(other, "name").where("seq <> ''")
     masked = F.zip_with(F.split("seq", ""), F.split("m", ""), lambda a, b: F.when(b.isin("G", "C"), "N").otherwise(a))
     return both.select("name", F.array_join(F.slice(masked, 1, F.length("seq")), "").alias("seq"))
 
 
-@query("with b as (select name, i, substr(s, i, 1) as c from (select name, substr(seq, 1, 300) as s, unnest(range(1, length(substr(seq, 1, 300)) + 1)) as i from seqs)), v as (select doc_id as name, (10 + doc_id % 7)::bigint as i, 'T' as c from labels where quality = 1) select b.name, string_agg(coalesce(v.c, b.c), '' order by b.i) as seq from b left join v on v.name = b.name and v.i = b.i group by b.name", "seqs")
-def j22_apply_point_mutations(spark, sf):
+def _mutated(spark, sf, seqs: DataFrame) -> DataFrame:
+    """The sequences with the point mutations that the labels give them."""
     changes = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("name"), (10 + F.col("doc_id") % 7).cast("int").alias("i"), F.lit("T").alias("c")).distinct()
     by_name = changes.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
-    rows = view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq")).where("seq <> ''").join(by_name, "name", "left")
+    rows = seqs.where("seq <> ''").join(by_name, "name", "left")
     out = F.transform(F.split("seq", ""), lambda c, i: F.coalesce(F.element_at("m", i + 1), c))
     return rows.select("name", F.array_join(F.when(F.col("m").isNull(), F.split("seq", "")).otherwise(out), "").alias("seq"))
 
 
+@query("with a as (select name, substr(seq, 1, 300) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, length(x.s) + 1)) as i from a x join a y on y.name = x.name + 1) select name, string_agg(case when i <= length(t) and t[i] in ('G', 'C') then 'N' else s[i] end, '' order by i) as seq from p group by name", "seqs")
+def j22_mask_sequence(spark, sf):
+    return _masked(view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq")))
+
+
+@query("with p as (select x.name, x.seq as s, y.seq as t, unnest(range(1, length(x.seq) + 1)) as i from seqs x join seqs y on y.name = x.name + 1) select name, string_agg(case when i <= length(t) and t[i] in ('G', 'C') then 'N' else s[i] end, '' order by i) as seq from p group by name", "seqs")
+def j22_mask_sequence_whole(spark, sf):
+    return _masked(view(spark, sf, "seqs").select("name", "seq"))
+
+
+@query("with b as (select name, i, substr(s, i, 1) as c from (select name, substr(seq, 1, 300) as s, unnest(range(1, length(substr(seq, 1, 300)) + 1)) as i from seqs)), v as (select doc_id as name, (10 + doc_id % 7)::bigint as i, 'T' as c from labels where quality = 1) select b.name, string_agg(coalesce(v.c, b.c), '' order by b.i) as seq from b left join v on v.name = b.name and v.i = b.i group by b.name", "seqs")
+def j22_apply_point_mutations(spark, sf):
+    return _mutated(spark, sf, view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq")))
+
+
+@query("with b as (select name, i, substr(seq, i, 1) as c from (select name, seq, unnest(range(1, length(seq) + 1)) as i from seqs)), v as (select doc_id as name, (10 + doc_id % 7)::bigint as i, 'T' as c from labels where quality = 1) select b.name, string_agg(coalesce(v.c, b.c), '' order by b.i) as seq from b left join v on v.name = b.name and v.i = b.i group by b.name", "seqs")
+def j22_apply_point_mutations_whole(spark, sf):
+    return _mutated(spark, sf, view(spark, sf, "seqs").select("name", "seq"))
+
+
 @query("select conv_id, row_number() over (order by conv_id, case role when 'user' then 0 else 1 end, turn) as place, turn, role from conversations where role in ('user', 'assistant')")
 def j24_interleave_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role")

@@ -108,6 +108,20 @@ def s14_explode_alternative_hits(spark, sf):
     return files.explode_alternative_hits(sam)
 
 
+@query(
+    """with b as (select name, 'chr' || (name % 5) as chrom, (name * 7)::int as pos, name % 2 = 1 as reverse, seq, length(seq) as n from seqs) select name, chrom, pos, reverse, seq, n || 'M' as cigar, false as secondary from b
+    union all select name, 'chrA', pos + 5, false, case when reverse then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end, greatest(n - 1, 0) || 'M1S', true from b union all select name, 'chrB', pos + 9, true, case when reverse then seq else reverse(translate(seq, 'ACGT', 'TGCA')) end, greatest(n - 2, 0) || 'M2S', true from b where name % 3 = 0""",
+    "seqs",
+)
+def s14_explode_alternative_hits_whole(spark, sf):
+    """S14 on whole texts; the CIGARs follow their length."""
+    pos, n = (F.col("name") * 7).cast("int"), F.length("seq")
+    clip = lambda k: F.concat(F.greatest(n - k, F.lit(0)).cast("string"), F.lit(f"M{k}S,{k};"))
+    xa = F.concat(F.lit("chrA,+"), (pos + 5).cast("string"), F.lit(","), clip(1), F.when(F.col("name") % 3 == 0, F.concat(F.lit("chrB,-"), (pos + 9).cast("string"), F.lit(","), clip(2))).otherwise(""))
+    sam = seqs(spark, sf).select("name", F.concat(F.lit("chr"), (F.col("name") % 5).cast("string")).alias("chrom"), pos.alias("pos"), (F.col("name") % 2 == 1).alias("reverse"), "seq", F.concat(n.cast("string"), F.lit("M")).alias("cigar"), xa.alias("xa"))
+    return files.explode_alternative_hits(sam)
+
+
 @query("select bcd, count(*) as n from reads group by bcd", "reads")
 def k3_write_stage_table(spark, sf):
     path = new_path(spark, "stage")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import sequences as S
@@ -114,14 +114,10 @@ def f13_subset_by_region(spark, sf):
     return seqs(spark, sf).join(wanted, "name", "left_semi").select("name", F.substr("seq", (F.col("name") % 50 + 1).cast("int"), F.lit(60)).alias("part"))
 
 
-@query(
-    """with a as (select name, substr(seq, 1, 200) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, least(length(x.s), length(y.s)) + 1)) as i from a x join a y on y.name = x.name + 1)
-    select name, count(*) filter (s[i] = t[i]) as n_same, count(*) filter (s[i] <> t[i]) as n_different, string_agg(case when s[i] = t[i] then s[i] else 'N' end, '' order by i) as merged from p group by name""",
-    "seqs",
-)
-def j21_merge_sequences(spark, sf):
+def _merged(rows: DataFrame) -> DataFrame:
+    """Each sequence with that of the next name: N where they differ."""
     # one base each
-    a = seqs(spark, sf).select("name", F.split(F.substring("seq", 1, 200), "").alias("s"))
+    a = rows.select("name", F.split("seq", "").alias("s"))
     b = a.select((F.col("name") - 1).alias("name"), F.col("s").alias("t"))
     n = F.least(F.size("s"), F.size("t"))
     rows = a.join(b, "name").where((F.size("s") > 0) & (F.size("t") > 0)).withColumn("z", F.zip_with(F.slice("s", 1, n), F.slice("t", 1, n), lambda x, y: F.when(x == y, x).otherwise("N")))
@@ -129,17 +125,48 @@ def j21_merge_sequences(spark, sf):
     return rows.select("name", same.cast("long").alias("n_same"), (n - same).cast("long").alias("n_different"), F.array_join("z", "").alias("merged"))
 
 
+@query(
+    """with a as (select name, substr(seq, 1, 200) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, least(length(x.s), length(y.s)) + 1)) as i from a x join a y on y.name = x.name + 1)
+    select name, count(*) filter (s[i] = t[i]) as n_same, count(*) filter (s[i] <> t[i]) as n_different, string_agg(case when s[i] = t[i] then s[i] else 'N' end, '' order by i) as merged from p group by name""",
+    "seqs",
+)
+def j21_merge_sequences(spark, sf):
+    return _merged(seqs(spark, sf).select("name", F.substring("seq", 1, 200).alias("seq")))
+
+
+@query(
+    """with a as (select name, seq as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, least(length(x.s), length(y.s)) + 1)) as i from a x join a y on y.name = x.name + 1)
+    select name, count(*) filter (s[i] = t[i]) as n_same, count(*) filter (s[i] <> t[i]) as n_different, string_agg(case when s[i] = t[i] then s[i] else 'N' end, '' order by i) as merged from p group by name""",
+    "seqs",
+)
+def j21_merge_sequences_whole(spark, sf):
+    return _merged(seqs(spark, sf))
+
+
 _QUALS = "q as (select name, list_transform(range(1, least(length(seq), 150) + 1), lambda i: ((i * 7 + name * 3) % 41)::int) as quals from seqs)"
 
 
-def quals(spark, sf):
-    n = F.least(F.length("seq"), F.lit(150))
+_QUALS_WHOLE = _QUALS.replace("least(length(seq), 150)", "length(seq)")
+
+
+def quals(spark, sf, most: int | None = 150) -> DataFrame:
+    """A quality for each base; of the first ``most`` bases only, unless that is None."""
+    n = F.length("seq") if most is None else F.least(F.length("seq"), F.lit(most))
     return seqs(spark, sf).select("name", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: ((i * 7 + F.col("name") * 3) % 41).cast("int"))).otherwise(F.expr("cast(array() as array<int>)")).alias("quals"))
 
 
 @query(f"with {_QUALS} select name, array_to_string(list_transform(quals, lambda x: case when x >= 30 then 30 when x >= 20 then 20 when x >= 10 then 10 when x >= 3 then 3 else 0 end), ',') as binned from q", "seqs")
 def p27_quality_bin(spark, sf):
-    return quals(spark, sf).select("name", F.array_join(S.quality_bin("quals").cast("array<string>"), ",").alias("binned"))
+    return _binned(quals(spark, sf))
+
+
+@query(f"with {_QUALS_WHOLE} select name, array_to_string(list_transform(quals, lambda x: case when x >= 30 then 30 when x >= 20 then 20 when x >= 10 then 10 when x >= 3 then 3 else 0 end), ',') as binned from q", "seqs")
+def p27_quality_bin_whole(spark, sf):
+    return _binned(quals(spark, sf, None))
+
+
+def _binned(rows: DataFrame) -> DataFrame:
+    return rows.select("name", F.array_join(S.quality_bin("quals").cast("array<string>"), ",").alias("binned"))
 
 
 @query(
@@ -148,7 +175,17 @@ def p27_quality_bin(spark, sf):
     "seqs",
 )
 def p28_trim_by_quality(spark, sf):
-    rows = quals(spark, sf).withColumn("t", S.trim_by_quality("quals"))
+    return _trimmed(quals(spark, sf))
+
+
+@query()
+def p28_trim_by_quality_whole(spark, sf):
+    """Without SQL, whose pairs of bases are too many here; a test holds it against brute force."""
+    return _trimmed(quals(spark, sf, None))
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("t", S.trim_by_quality("quals"))
     score = F.aggregate(F.slice("quals", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")), F.lit(0.0), lambda t, q: t + F.round(F.lit(0.05) - F.pow(F.lit(10.0), -q / 10.0), 9))
     return rows.where("t.end > t.start").select("name", F.round(score, 9).alias("best_score"))
 
@@ -158,8 +195,23 @@ def p28_trim_by_quality(spark, sf):
     "seqs",
 )
 def a26_base_quality_profile(spark, sf):
-    rows = quals(spark, sf).select(F.posexplode("quals").alias("i", "q")).withColumn("pos", F.col("i") + 1)
-    return rows.rollup("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q"), 9).alias("mean_q"), F.count_if(F.col("q") < 20).alias("n_low"))
+    return _profile(quals(spark, sf))
+
+
+@query(
+    f"""with {_QUALS_WHOLE}, e as (select unnest(range(1, len(quals) + 1)) as pos, unnest(quals) as q from q) select pos::int as pos, count(*) as n, round(avg(q), 9) as mean_q, count(*) filter (q < 20) as n_low from e group by rollup (pos)""",
+    "seqs",
+)
+def a26_base_quality_profile_whole(spark, sf):
+    return _profile(quals(spark, sf, None))
+
+
+def _profile(quals: DataFrame) -> DataFrame:
+    """By position and in all; the total is drawn from the positions, so that a base is one row."""
+    rows = quals.select(F.posexplode("quals").alias("i", "q")).groupBy((F.col("i") + 1).alias("pos"))
+    by_pos = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("s"), F.count_if(F.col("q") < 20).alias("n_low"))
+    total = by_pos.agg(F.lit(None).cast("int").alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.coalesce(F.sum("n_low"), F.lit(0)).alias("n_low"))
+    return by_pos.unionByName(total).select("pos", "n", F.round(F.col("s") / F.col("n"), 9).alias("mean_q"), "n_low")
 
 
 @query(

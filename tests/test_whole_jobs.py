@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from strandloom.operators import evidence
 from strandloom.plans import evidence_queries as Q
+from strandloom.plans import file_queries, sequence_queries
 from strandloom.plans.read_queries import frags
 from strandloom.sources.views import view
 
@@ -32,3 +36,32 @@ def test_support_of_later_fragments(spark):
     reads = spark.createDataFrame([("b", "b:0:1", "r", 16), ("b", "b:0:2", "r", 64), ("b", "b:1:1", "r", 16), ("c", "c:0:2", "r", 0)], "bcd string, frag_id string, read_id string, flag int")
     pairs = spark.createDataFrame([("b:0:1", "b:0:2"), ("b:0:1", "b:1:1"), ("b:0:2", "b:1:1"), ("c:0:2", "c:1:1")], "frag1 string, frag2 string")
     assert {(r.frag1, r.frag2) for r in evidence.read_pair_support(pairs, reads).where("supported").collect()} == {("b:0:2", "b:1:1")}
+
+
+@pytest.fixture(scope="module")
+def lengths(spark, sf):
+    rows = {r.name: r.n for r in view(spark, sf, "seqs").select("name", F.length("seq").alias("n")).collect()}
+    assert max(rows.values()) > 300
+    return rows
+
+
+def test_whole_texts(spark, sf, lengths):
+    for f in (Q.j22_mask_sequence_whole, Q.j22_apply_point_mutations_whole, file_queries.s14_explode_alternative_hits_whole):
+        got = f(spark, sf).select("name", F.length("seq").alias("n")).collect()
+        assert got and all(r.n == lengths[r.name] for r in got)
+    for r in sequence_queries.j21_merge_sequences_whole(spark, sf).collect():
+        assert len(r.merged) == r.n_same + r.n_different == min(lengths[r.name], lengths[r.name + 1])
+    for r in sequence_queries.p27_quality_bin_whole(spark, sf).collect():
+        assert len(r.binned.split(",")) == max(lengths[r.name], 1)
+    total = sequence_queries.a26_base_quality_profile_whole(spark, sf).where("pos is null").first()
+    assert total.n == sum(lengths.values())
+
+
+def test_whole_trims(spark, sf, lengths):
+    got = {r.name: r.best_score for r in sequence_queries.p28_trim_by_quality_whole(spark, sf).collect()}
+    for name, n in sorted(lengths.items())[:30]:
+        sums, least, best = [0.0], 0.0, 0.0
+        for i in range(1, n + 1):
+            sums.append(sums[-1] + round(0.05 - 10 ** (-((i * 7 + name * 3) % 41) / 10), 9))
+            best, least = max(best, sums[-1] - least), min(least, sums[-1])
+        assert got.get(name, 0.0) == pytest.approx(best, abs=1e-6)
