@@ -91,23 +91,44 @@ def normalise(sentence: str) -> str:
 
 
 def sentence_hits(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``hits``: code point ranges and identifiers of the known sentences, in text order."""
+    """``docs`` with ``hits``: code point ranges and identifiers of the known sentences, in text order.
+
+    Line ends, comment signs at wrapped lines and marks such as the one of ``v. 2.0`` cut sentences too,
+    so parts that follow each other are joined as long as a known sentence begins with them; the
+    longest that is known whole is the hit.
+    """
     known = {normalise(s): i for i, s in (sentences or SENTENCES).items()}
     longest = max(map(len, known), default=0) * 2
     firsts = {k.split(" ", 1)[0] for k in known}
+    begun = {" ".join(k.split(" ")[:n]) for k in known for n in range(1, k.count(" ") + 2)}
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         out = []
         for t in texts.to_pylist():
-            hits, at = [], 0
+            parts, at = [], 0
             for m in [*BOUNDARY.finditer(t or ""), None]:
                 end, after = (m.start(), m.end()) if m else (len(t or ""), 0)
-                if at < end <= at + longest:
-                    s = t[at:end]
-                    first = PART.search(s)
-                    if first and first.group().lower() in firsts and (i := known.get(normalise(s))):
-                        hits.append({"begin": at, "end": end, "id": i})
+                if at < end:
+                    parts.append((at, end))
                 at = after
+            hits, i = [], 0
+            while i < len(parts):
+                whole, words, past, j = None, "", i + 1, i
+                while j < len(parts) and parts[j][1] - parts[j][0] <= longest:
+                    s = t[slice(*parts[j])]
+                    first = PART.search(s)
+                    if j == i and not (first and first.group().lower() in firsts):
+                        break
+                    if first:
+                        words = f"{words} {normalise(s)}".lstrip()
+                        if words not in begun:
+                            break
+                        if words in known:
+                            whole, past = {"begin": parts[i][0], "end": parts[j][1], "id": known[words]}, j + 1
+                    j += 1
+                if whole:
+                    hits.append(whole)
+                i = past
             out.append(hits)
         return [pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("id", pa.string())])))]
 

@@ -473,6 +473,24 @@ def test_licences(spark, nothing, odd):
     assert licences.scan(odd).where("size(licences) > 0").count() == 0
 
 
+def test_every_licence_rule_matches_its_text(spark):
+    import textwrap
+
+    wrap = lambda text, sign: "\n".join(sign + x for p in text.split("\n") for x in textwrap.wrap(p, 50, break_on_hyphens=False))
+    texts = []
+    for name, ids in licences.RULES:
+        whole = "\n".join(licences.SENTENCES[i] + "." for i in ids)
+        texts += [(name, whole), *((name, wrap(whole, sign)) for sign in ("", " * ", "# ", "// "))]
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope"
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    apache = "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by law"
+    texts += [("GPL-3.0", gpl), ("MPL-2.0", mpl), ("Apache-2.0", apache)]
+    near = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "This program is free software: use it. Either version 3 of the License"]
+    rows = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate([t for _, t in texts] + near)), "doc_id long, text string")).collect()}
+    assert [(n, t) for k, (n, t) in enumerate(texts) if n not in rows[k].licences] == []
+    assert all(rows[len(texts) + k].licences == [] for k in range(len(near)))
+
+
 # columns
 
 
