@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import evidence
+from strandloom.operators import evidence, segmentation
 from strandloom.plans import evidence_queries as Q
 from strandloom.plans import file_queries, sequence_queries
 from strandloom.plans.read_queries import frags
@@ -65,3 +65,35 @@ def test_whole_trims(spark, sf, lengths):
             sums.append(sums[-1] + round(0.05 - 10 ** (-((i * 7 + name * 3) % 41) / 10), 9))
             best, least = max(best, sums[-1] - least), min(least, sums[-1])
         assert got.get(name, 0.0) == pytest.approx(best, abs=1e-6)
+
+
+def cut_again(values, window=200):
+    """The reference's loop over one contig: (start, end) of its segments."""
+    out, queue = [], [(0, len(values))]
+    while queue:
+        b, e = queue.pop()
+        v, n = values[b:e], e - b
+        order, counts = sorted(v), {x: v.count(x) for x in v}
+        rank = {x: order.index(x) + 1 + (c - 1) / 2 for x, c in counts.items()}
+        unit = (n + 1 - sum(c * (c * c - 1) for c in counts.values()) / n / max(n - 1, 1)) / 12
+        sums, best = [0.0], (0.0, 0, 0)
+        for x in v:
+            sums.append(sums[-1] + rank[x])
+        for j in range(1, n + 1):
+            for i in range(max(0, j - window), j):
+                m = j - i
+                if m < n and unit > 0 and (z := abs(sums[j] - sums[i] - m * (n + 1) / 2) / (m * (n - m) * unit) ** 0.5) > best[0] + 1e-12:
+                    best = (z, i, j)
+        parts = [(b, b + best[1]), (b + best[1], b + best[2]), (b + best[2], e)] if best[0] > 3.891 else []
+        for p in parts:
+            (queue if p[1] - p[0] >= 4 else out).append(p)
+        out += [] if parts else [(b, e)]
+    return sorted((b, e - 1) for b, e in out if e > b)
+
+
+def test_short_aberration_is_cut_out(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(90) + (1000 if 200 <= i < 220 else 0) for i in range(400)]
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)], "tid int, pos int, value double")
+    got = sorted((r.start, r.end) for r in segmentation.rank_segments(df).collect())
+    assert (200, 219) in got and got == cut_again(values)
