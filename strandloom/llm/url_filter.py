@@ -59,18 +59,36 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 0) & ~w.rlike(r"^\p{N}+$")))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.5, max_tokens: int = 12) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.5, min_bad: int = 5, min_lower: float = 0.5) -> DataFrame:
     """``items, confidence, lift, support, anchor``: token sets that mark bad pages.
 
-    ``pages`` has ``page_id, url``; ``labels`` has ``page_id, bad``. Pages without a label or URL teach
-    nothing. A transaction has the ``max_tokens`` first tokens of its URL in order of their hash: the
-    number of item sets is exponential in it.
+    ``pages`` has ``page_id, url``; ``labels`` has ``page_id, bad``; pages and labels belong together by
+    equal id. Pages without a label or URL teach nothing, equal rows teach once. A rule needs
+    ``min_support`` of all labelled pages, ``min_bad`` bad pages whatever their share, and a lower 95 %
+    bound (Wilson) of ``min_lower`` on its confidence, so that few pages teach no rule.
+
+    All tokens of a URL take part. Tokens in fewer than ``min_bad`` pages can be in no rule and go
+    first; tokens that are in exactly the same labelled pages have the same support in any set, so
+    they are mined as one item and a rule asks for all of them. No labelled page: no rules.
     """
     known = pages.where("url is not null").select("page_id", "url").join(labels.where("bad is not null").select("page_id", "bad"), "page_id")
-    own = F.transform(F.slice(F.array_sort(F.transform(tokens(F.col("url")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, max_tokens), lambda s: s["w"])
-    baskets = known.select(F.when(F.col("bad"), F.array_union(own, F.array(F.lit(BAD)))).otherwise(own).alias("items"))
+    known = known.distinct().withColumn("t", F.xxhash64("page_id", "url", "bad"))
+    held = known.select("t", F.explode(tokens(F.col("url"))).alias("w"))
+    marks = [F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("x")]
+    words = held.groupBy("w").agg(*marks).where(F.col("n") >= min_bad)
+    classes = words.groupBy("n", "s", "x").agg(F.array_sort(F.collect_list("w")).alias("members"))  # no more of them than one URL has
+    classes = classes.select(F.element_at("members", 1).alias("item"), "members")
+    # the items of a page are the classes whose first member it has
+    own = held.join(classes.select(F.col("item").alias("w")), "w").groupBy("t").agg(F.collect_set("w").alias("own"))
+    baskets = known.join(own, "t", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    baskets = baskets.select(F.when(F.col("bad"), F.array_union("own", F.array(F.lit(BAD)))).otherwise(F.col("own")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
+    n, c = F.lit(float(known.count())), F.col("confidence")
+    bad = F.round(F.col("support") * n)
+    met = F.round(bad / c)
+    z = 1.96
+    lower = (c + z * z / (2 * met) - z * F.sqrt(c * (1 - c) / met + z * z / (4 * met * met))) / (1 + z * z / met)
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift) & (bad >= min_bad) & (lower >= min_lower))
     rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "lift", "support")
     # a rule that holds all items of a surer, shorter one adds nothing; such pairs share the shorter one's first item
     short = rules.select(F.col("items").alias("s_items"), F.col("confidence").alias("s_conf"), F.element_at("items", 1).alias("first"))
@@ -79,7 +97,9 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002,
     rules = rules.join(needless, "items", "left_anti")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     rarest = rules.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
-    return rules.join(rarest, "items")
+    rules = rules.join(rarest, "items")
+    whole = rules.select("items", F.explode("items").alias("item")).join(classes, "item").groupBy("items").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("all_items"))
+    return rules.join(whole, "items").select(F.col("all_items").alias("items"), "confidence", "lift", "support", "anchor")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,7 +115,9 @@ def judge(pages: DataFrame, rules: list[ListedRule], mined: DataFrame) -> DataFr
     """``page_id, host, path, rule, verdict, confidence, items`` for each row of ``pages``.
 
     A listed rule decides where one fits; else a page is blocked if a mined rule fits, else allowed.
-    Null URLs, and those without ``://``, have an empty host and path and no listed rule. Equal URLs are judged alike.
+    Null URLs, and those without ``://``, have an empty host and path and no listed rule. Equal URLs are
+    judged alike, repeated rows each by itself; URLs of any length are read whole. An empty table
+    gives no rows. Other columns of ``pages`` are left out, whatever their names.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     own = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("hit", listed(F.col("host"), F.col("path"), rules))
