@@ -6,9 +6,11 @@ of that set, and permuted: in turn A moves by a keyed function of B and B by one
 out has the same format and is valid again; equal values get equal pseudonyms in all documents,
 different values different ones, and who holds the key can go back. All of it is SQL over a row.
 
+An address with leading zeros in a part has no single reading and is none.
+
 Kinds: card (13 to 19 digits that pass the Luhn test; the first digit stays, the check digit
 follows), phone, ssn, ip and date (yyyy-mm-dd; it stays in its century). E-mail addresses and hex
-secrets are no numbers: their names become keyed digests of the same kind, linked but one-way.
+secrets (32 digits or more, in one case of letters) are no numbers: their names become keyed digests of the same kind, linked but one-way.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ ROUNDS = 10
 #: One alternative for each kind. Possessive runs and look-behind keep it linear in very long words.
 PATTERN = "|".join(
     [
-        r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+",
-        r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}+(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+",
+        r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}.])\d{1,3}+(?:\.\d{1,3}+){3}+(?![\p{L}\p{N}]|\.\d)",
         r"(?<![\p{L}\p{N}\-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}\-])",
         r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
@@ -49,8 +51,8 @@ def _steps(key: str, rounds: int, back: bool) -> list[str]:
     sign = "-" if back else "+"
     kind = """case
         when m like '%@%' then 'email'
-        when m rlike '^[0-9a-f]{32,64}$' then 'secret'
-        when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then if(forall(split(m, '[.]'), o -> cast(o as int) < 256), 'ip', null)
+        when m rlike '^([0-9a-f]{32,}|[0-9A-F]{32,})$' then if(m rlike '[0-9]', 'secret', null)
+        when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then if(forall(split(m, '[.]'), o -> cast(o as int) < 256 and o rlike '^(0|[1-9][0-9]*)$'), 'ip', null)
         when m rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' then if(try_to_timestamp(m, 'yyyy-MM-dd') is not null and substr(m, 1, 4) > '0000', 'date', null)
         when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then if(substr(m, 1, 3) not in ('000', '666') and substr(m, 1, 1) <> '9' and substr(m, 5, 2) <> '00' and substr(m, 8) <> '0000', 'ssn', null)
         when m rlike '[0-9]{3}[)]? ?[.-]?[0-9]{3}[ .-][0-9]{4}$' and length(regexp_replace(m, '[^0-9]', '')) between 10 and 13 and m rlike '[(]|^[0-9]{3}[.-]' then 'phone'
@@ -84,10 +86,12 @@ def _steps(key: str, rounds: int, back: bool) -> list[str]:
         end"""
     filled = "aggregate(split(s.m, ''), named_struct('o', '', 'k', 1), (z, c) -> if(c between '0' and '9', named_struct('o', concat(z.o, substr(s.n, z.k, 1)), 'k', z.k + 1), named_struct('o', concat(z.o, c), 'k', z.k)), z -> z.o)"
     digest = f"sha2(concat_ws('|', '{key}', s.kind, lower(s.m), '{key}'), 256)"
+    # as many digests behind each other as the secret is long
+    long = f"substr(array_join(transform(sequence(0, (length(s.m) - 1) div 64), k -> if(k = 0, {digest}, sha2(concat_ws('|', '{key}', s.kind, k, lower(s.m), '{key}'), 256))), ''), 1, length(s.m))"
     new = f"""case
         when s.kind is null then s.m
         when s.kind = 'email' then concat('u', substr({digest}, 1, 12), '@', substring_index(s.m, '@', -1))
-        when s.kind = 'secret' then substr({digest}, 1, length(s.m))
+        when s.kind = 'secret' then if(s.m rlike '[A-F]', upper({long}), {long})
         when s.kind = 'ip' then concat_ws('.', s.z.A div 256, s.z.A % 256, s.z.B div 256, s.z.B % 256)
         when s.kind = 'date' then date_format(date_add(make_date({century} * 100 + 1, 1, 1), cast(s.z.A * s.rb + s.z.B as int)), 'yyyy-MM-dd')
         else {filled} end"""
@@ -107,7 +111,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", rounds: int = RO
     """``docs`` with ``safe_text``, ``found`` (array of struct(value, kind, pseudonym), in text order) and ``n_replaced``.
 
     Numbers that look like a kind but fail its test have a null kind and stay as they are. Null
-    texts stay null with nothing found; empty ones stay empty. ``back=True`` undoes the numbers and
+    texts stay null with nothing found; empty ones stay empty; texts, names and secrets of any length
+    are read whole. Repeated rows are treated each by itself, and an empty table gives no rows. ``back=True`` undoes the numbers and
     dates of a text made with the same key. Columns called like the results give way to them.
     """
     if "'" in key or "\\" in key:
