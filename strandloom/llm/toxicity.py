@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ from strandloom.llm.common import Step, with_arrow
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample, and of what it may teach.
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, MAX_VOCABULARY, MIN_DOCS = 6000, 40_000_000, 100_000, 10
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, MIN_DOCS = 6000, 40_000_000, 10
 SHORTEST_STEM, LONGEST_STEM = 4, 8
 EPOCHS, RATE, SHRINK, BIAS = 80, 0.15, 1e-4, -6.0
 #: Words whose weight a worker keeps.
@@ -40,6 +40,11 @@ class Model:
     weights: dict[str, float]
 
 
+def lowered(text: str) -> str:
+    """In lower case, code point by code point: only one letter becomes two, and is one here."""
+    return text.replace("\u0130", "i").lower()
+
+
 def features(word: str) -> list[str]:
     """The word itself and its beginnings: insults are built on stems, in any language."""
     return ["=" + word, *("^" + word[:k] for k in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1))]
@@ -48,7 +53,7 @@ def features(word: str) -> list[str]:
 def _bags(texts: list[str]) -> list[list[list[str]]]:
     docs = []
     for t in texts:
-        bags = [sorted(set(TOKEN.findall(s))) for s in SENTENCE.findall(t.lower())]
+        bags = [sorted(set(TOKEN.findall(s))) for s in SENTENCE.findall(lowered(t))]
         docs.append([b for b in bags if b] or [[]])
     return docs
 
@@ -66,7 +71,8 @@ def fit_arrays(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Mo
     df: Counter = Counter()
     for d in docs:
         df.update({f for w in {w for s in d for w in s} for f in of[at[w]]})
-    common = [f for f, n in df.most_common(MAX_VOCABULARY) if n >= MIN_DOCS and n <= max(MIN_DOCS, 0.5 * len(docs))]
+    # bounded by the sample: a feature has MIN_DOCS of its documents at least
+    common = [f for f, n in df.items() if MIN_DOCS <= n <= max(MIN_DOCS, 0.5 * len(docs))]
     index = {f: i for i, f in enumerate(sorted(common))}
     pairs = [(k, index[f]) for k, fs in enumerate(of) for f in fs if f in index]
     of_word, of_feature = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
@@ -94,12 +100,13 @@ def fit_arrays(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Mo
     return Model(float(b), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3})
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
+def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Train on at most ``max_docs`` rows of ``labelled`` (``doc_id, text, toxic``), those of the lowest id hashes.
 
-    Beyond ``MAX_TRAIN_CHARS`` of text no more documents are taken. Rows without a label or text
-    teach nothing; without any row the model calls everything clean. One executor trains; the driver
-    gets the weights, at most ``MAX_VOCABULARY`` of them.
+    From the first row on that would take the texts beyond ``max_chars`` no more are taken; which rows
+    these are is found from ids and lengths, before any text is moved. Rows without a label or text
+    teach nothing, rows that repeat teach once; without any row the model calls everything clean. One
+    executor trains; the driver gets the weights, whose number the sample bounds.
     """
 
     def train(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,15 +114,19 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
         if not got:
             return
         rows = pd.concat(got, ignore_index=True)
-        rows = rows.sort_values(["h", "doc_id"], kind="stable")
-        rows = rows[rows["text"].str.len().cumsum() <= MAX_TRAIN_CHARS]
-        if not len(rows):
-            return
+        rows = rows.sort_values(["h", "doc_id", "th", "toxic"], kind="stable").drop_duplicates()
         model = fit_arrays(rows["text"].tolist(), rows["toxic"].to_numpy())
         yield pd.DataFrame({"word": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
-    got = rows.orderBy("h", "doc_id").limit(max_docs).coalesce(1).mapInPandas(train, "word string, weight double").collect()
+    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"))
+    order = ["h", "th", "toxic"]
+    sizes = rows.select(*order, F.length("text").alias("n")).distinct().orderBy(*order).limit(max_docs)
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of max_docs rows at most
+    last = sizes.withColumn("upto", upto).where(F.col("upto") <= max_chars).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    if last is None:
+        return Model(BIAS, {})
+    taken = rows.where(F.struct(*order) <= F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("long", "long", "int"), strict=True)]))
+    got = taken.dropDuplicates(["doc_id", *order]).coalesce(1).mapInPandas(train, "word string, weight double").collect()
     weights = {r["word"]: r["weight"] for r in got}
     return Model(weights.pop("", BIAS), weights)
 
@@ -137,8 +148,7 @@ def score_step(model: Model, text: str = "text") -> Step:
 
         for t in texts.to_pylist():
             t = t or ""
-            low = t.lower()
-            low = low if len(low) == len(t) else t
+            low = lowered(t)
             total, found = 0.0, []
             for s in SENTENCE.finditer(low):
                 hit = [x for x in [seen[w] if w in seen else weigh(w) for w in set(TOKEN.findall(s.group()))] if x]
@@ -160,6 +170,8 @@ def score_step(model: Model, text: str = "text") -> Step:
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``toxic_spans``: code point ranges of the sentences that score 0.5 or more.
 
-    Null and empty texts have no sentence and score 0. The score depends on the text alone.
+    Null and empty texts have no sentence and score 0. The score depends on the text alone, so repeated
+    rows score alike; texts of any length are scored whole. Columns called like the results give way
+    to them.
     """
     return with_arrow(docs, score_step(model, text), keep=None if keep is None else [*keep, "score", "toxic_spans"])
