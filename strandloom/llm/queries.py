@@ -59,9 +59,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    known = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic").where(fold != 0)
+    known = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic").where(fold != 0).distinct()
     # the sample is chosen by id, so that only its texts are moved
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxicity.MAX_TRAIN_DOCS)
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.MAX_TRAIN_DOCS)
     model = toxicity.fit(docs.join(F.broadcast(drawn), "doc_id"))
     rows = toxicity.score(docs, model, keep=["doc_id"])
     held_out = F.coalesce(fold == 0, F.lit(False))
@@ -69,9 +69,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sha256_of_ids(lists: pa.Array) -> list[pa.Array]:
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    return [pa.array([hashlib.sha256(flat[a:b].astype("<i4", copy=False).tobytes()).hexdigest() for a, b in zip([0, *ends], ends, strict=False)], pa.string())]
+    flat = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+    ends = (4 * np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).tolist()
+    return [pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)], pa.string())]
 
 
 def bpe_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketches.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.as_string("sketch").alias("fingerprint"), sketches.as_string("edited_sketch").alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.as_string("sketch", "digest").alias("fingerprint"), sketches.as_string("edited_sketch", "edited_digest").alias("edited_fingerprint"),
         "near_edited", "near_next", "contained_edited",
     )
 

@@ -3,6 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. What is kept does not
 depend on how much there is, so the sketch of a union is the union of sketches, and the share of a
 small document's hashes found in a large one's estimates its containment, however unequal the two.
+A short text may have no hash below the threshold: its sketch is empty and says nothing, which a
+digest of all its shingles beside it makes up for where it is compared with the same shingles.
 Everything is SQL over a row; comparing neighbours costs one shuffle of the texts.
 """
 
@@ -18,94 +20,141 @@ SHINGLE = 5
 SCALE = 4
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes (array of long) of the text's shingles of words, A-Z as a-z, below the threshold.
+def sketch_and_digest(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """struct(sketch, digest) of the text's shingles of words, A-Z as a-z.
 
-    A text of fewer words is one shingle. If no hash is below the threshold the smallest is kept, so
-    that only wordless and null texts have an empty sketch. Hashes compare as signed numbers.
+    ``sketch`` (array of long) has their sorted distinct hashes below the threshold, as signed numbers;
+    ``digest`` (long) is equal for equal sets of shingles. A text of fewer words is one shingle; null
+    and wordless texts have none, an empty sketch and the digest 0.
     """
     words = F.transform(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     top = -(1 << 63) + (1 << 64) // scale - 1
 
     def kept(h: Column) -> Column:
-        low = F.filter(h, lambda x: x <= F.lit(top).cast("long"))
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.struct(F.filter(h, lambda x: x <= F.lit(top).cast("long")).alias("sketch"), F.when(F.size(h) > 0, F.xxhash64(h)).otherwise(F.lit(0).cast("long")).alias("digest"))
 
     def hashes(w: Column) -> Column:
         full = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, shingle)]))
-        return F.when(F.size(w) >= shingle, full).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        own = F.when(F.size(w) >= shingle, full).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.array_sort(F.array_distinct(own))
 
     # one-element arrays let the words, then the hashes, be made once
     return F.element_at(F.transform(F.transform(F.array(words), hashes), kept), 1)
 
 
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """The sketch alone: every shingle hash below the threshold, and no other."""
+    return sketch_and_digest(text, shingle, scale)["sketch"]
+
+
 def merge_sketches(df: DataFrame, by: list[str], col: str = "sketch") -> DataFrame:
     """The sketch of each group's union; equal hashes meet before the shuffle."""
     rows = df.select(*by, F.explode(col).alias("h")).distinct()
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list("h")).alias(col))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity; two empty sketches are alike."""
+def likeness(a: str, b: str, same: Column | None = None) -> Column:
+    """Estimated Jaccard similarity of two sketches; ``same`` tells whether the digests agree (then 1).
+
+    Where neither sketch has a hash, only the digests can tell: 1 if they agree, else 0 (without
+    ``same``: null).
+    """
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    blind = F.lit(None).cast("double") if same is None else F.lit(0.0)
+    known = F.when(either == 0, blind).otherwise(both / either)
+    return known if same is None else F.when(same, F.lit(1.0)).otherwise(known)
 
 
-def containment(a: str, b: str) -> Column:
-    """Estimated share of a's shingles that b has; an empty sketch is contained in any."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: str, b: str, same: Column | None = None) -> Column:
+    """Estimated share of a's shingles that b has; null where a's sketch has no hash, which tells nothing of it."""
+    known = F.when(F.size(a) == 0, F.lit(None).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return known if same is None else F.when(same, F.lit(1.0)).otherwise(known)
 
 
-def as_string(col: str) -> Column:
-    """16 hex digits a hash."""
-    return F.array_join(F.transform(F.col(col), lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def as_string(col: str, digest: str) -> Column:
+    """16 hex digits for the digest and for each hash."""
+    return F.array_join(F.transform(F.concat(F.array(digest), F.col(col)), lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``docs`` (``doc_id, text``) with ``sketch`` and the ``next_text, next_sketch`` of the document that follows in descending id.
+def _ranges(rows: DataFrame, buckets: int | None, bytes_a_range: int) -> tuple[Column, int]:
+    """The range of a row in the order by (doc_id, tie), nulls first, as an int that grows with it; and about how many there are.
 
-    After the last comes the first; null ids come last; rows that repeat an id follow in the order
-    of their texts' hashes. Ids are cut into ranges of about equal numbers of rows, each of which is
-    one window; what follows the end of a range comes from the table of the ranges' first documents.
+    An id that fills several ranges, or null, is cut by ``tie``, the hash of the text.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100_000)).first()[0] if buckets > 1 else None
-    cuts = sorted(set(cuts or []))
-    at = F.when(F.col("doc_id").isNull(), -1)
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", at.otherwise(place).cast("int")).withColumn("tie", F.xxhash64("text"))
-    first = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), "tie")).alias("top"))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), F.sum(F.octet_length("text")).alias("size")).first()
+    buckets = buckets or max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts["size"] or 0) // bytes_a_range))
+    n, named = facts["n"], facts["named"]
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100_000)).first()[0] if buckets > 1 and named else None
+    times: dict = {}
+    for c in cuts or []:
+        times[c] = times.get(c, 0) + 1
+    heavy = {c: k for c, k in times.items() if k > 1}
+    nulls = -(-(n - named) * buckets // n) if n else 0
+    most = max([1, nulls, *heavy.values()])
+
+    def part(k: Column | int) -> Column:
+        return F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * k).cast("int")
+
+    place, sub = F.lit(0), F.lit(0)
+    if times:
+        place = 2 * F.size(F.filter(F.array(*[F.lit(c) for c in sorted(times)]), lambda c: c < F.col("doc_id")))
+    if heavy:
+        filled = F.create_map(*[F.lit(x) for c, k in heavy.items() for x in (c, k)])
+        k = F.try_element_at(filled, F.col("doc_id"))
+        place, sub = place + k.isNotNull().cast("int"), F.when(k.isNotNull(), F.least(part(k), k - 1)).otherwise(0)
+    at = place * most + sub
+    if nulls:
+        at = F.when(F.col("doc_id").isNull(), F.least(part(nulls), F.lit(nulls - 1)) - nulls).otherwise(at)
+    return at.cast("int"), buckets
+
+
+def with_next(docs: DataFrame, buckets: int | None = None, bytes_a_range: int = 32 << 20) -> DataFrame:
+    """``docs`` (``doc_id, text``) with ``sketch, digest`` and the ``next_text, next_sketch, next_digest`` of the document that follows in descending id.
+
+    After the last comes the first; null ids come last; rows that repeat an id follow in the order of
+    their texts' hashes, which also cuts null ids and much repeated ones into several ranges. Ranges
+    have about equal numbers of rows, and are as many as the texts' bytes ask for; each is one window.
+    What follows the end of a range comes from the table of the ranges' first documents. Other columns
+    of ``docs`` are left out.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    at, buckets = _ranges(rows, buckets, bytes_a_range)
+    rows = rows.withColumn("bucket", at)
+    first = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
     # one row for each range
     follow = Window.orderBy(F.desc("bucket"))
     order = first.select("bucket", F.lead("bucket").over(follow).alias("then"))
     order = order.withColumn("then", F.coalesce("then", F.max("bucket").over(Window.partitionBy())))
-    tops = first.select(F.col("bucket").alias("b"), F.col("top.d").alias("d"), F.col("top.tie").alias("t"))
-    head = rows.join(F.broadcast(tops), (F.col("bucket") == F.col("b")) & (F.coalesce("doc_id", F.lit(0)) == F.col("d")) & (F.col("tie") == F.col("t")))
+    tops = first.select(F.col("bucket").alias("b"), F.col("top.doc_id").alias("d"), F.col("top.tie").alias("t"))
+    head = rows.join(F.broadcast(tops), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     head = head.groupBy("bucket").agg(F.first("text").alias("head_text")).withColumnRenamed("bucket", "then")
     heads = order.join(head, "then").select("bucket", "head_text")
-    dealt = rows.repartition(F.col("bucket")).withColumn("sketch", sketch(F.col("text")))
+    dealt = rows.repartition(buckets, F.col("bucket")).withColumn("own", sketch_and_digest(F.col("text")))
     w = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("tie"))
-    pairs = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))
+    pairs = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("next_own", F.lead("own").over(w))
     out = pairs.join(heads, "bucket", "left")
-    out = out.withColumn("next_sketch", F.when(F.col("next_text").isNull(), sketch(F.col("head_text"))).otherwise(F.col("next_sketch")))
-    return out.withColumn("next_text", F.coalesce("next_text", "head_text")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    out = out.withColumn("next_own", F.when(F.col("next_text").isNull(), sketch_and_digest(F.col("head_text"))).otherwise(F.col("next_own")))
+    return out.select(
+        "doc_id", "text", "own.sketch", "own.digest", F.coalesce("next_text", "head_text").alias("next_text"), F.col("next_own.sketch").alias("next_sketch"), F.col("next_own.digest").alias("next_digest")
+    )
 
 
 def compare_with_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document's sketch against that of its edited text and of the next document.
 
     The edited text ends with the start of the next document in place of its last third. Returns
-    ``doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next, contained_edited``. Null
-    texts count as empty ones.
+    ``doc_id, n_chars, edited, sketch, digest, edited_sketch, edited_digest, near_edited, near_next,
+    contained_edited``, one row for each row of ``docs``, repeated rows too. Null texts count as empty
+    ones; an empty table gives no rows.
     """
     rows = with_next(docs, buckets).withColumn("n_chars", F.length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substr("next_text", F.lit(1), k))
-    rows = rows.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
+    rows = rows.withColumn("edited", edited).withColumn("_own", sketch_and_digest(F.col("edited")))
+    rows = rows.withColumn("edited_sketch", F.col("_own.sketch")).withColumn("edited_digest", F.col("_own.digest"))
+    same, same_next = F.col("digest") == F.col("edited_digest"), F.col("digest") == F.col("next_digest")
     return rows.select(
-        "doc_id", "n_chars", "edited", "sketch", "edited_sketch",
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"), containment("sketch", "edited_sketch").alias("contained_edited"),
+        "doc_id", "n_chars", "edited", "sketch", "digest", "edited_sketch", "edited_digest",
+        likeness("sketch", "edited_sketch", same).alias("near_edited"), likeness("sketch", "next_sketch", same_next).alias("near_next"), containment("sketch", "edited_sketch", same).alias("contained_edited"),
     )
