@@ -18,7 +18,9 @@ from strandloom.session import stash
 
 WEIGHTS = (5, 2, 1)
 FACTOR, CAP = 1.5, 2.0
-SHARDS, BLOCK_DIGITS, SEED = 16, 3, "mix"
+SHARDS, SEED = 16, "mix"
+#: Rows that a block should have about; the number of blocks of a source follows from it.
+BLOCK_ROWS = 500
 
 
 def word_count(text: Column) -> Column:
@@ -95,25 +97,38 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> D
     return node.select(F.col("lo_shard").alias("shard"), F.inline("counts")).select("shard", "idx", F.col("K").alias("blocks"))
 
 
-def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, shards: int = SHARDS, seed: str = SEED, block_digits: int = BLOCK_DIGITS) -> DataFrame:
+def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, shards: int = SHARDS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies`` and ``shards``, the shard of each copy.
 
     A document's size is its number of words (null: 0). ``copies`` is 0 to 2. The words taken from a
     source differ from its target by half the size of one document at most. Which documents are
     taken follows from their ids, so reruns agree; rows that repeat an id and size are alike.
-    Sources may be null. ``16 ** block_digits`` blocks a source bound what one task sorts; raise it with
-    the data. Columns called like the results give way to them.
+    Sources may be null; rows without an id are told apart by their texts. The largest source is cut
+    into blocks of about ``block_rows`` rows, so that more documents make more blocks and not larger
+    ones. Repeated rows of one id are one place of the order and are alike. An empty table gives no
+    rows. Columns called like the results give way to them; all others pass, whatever their names.
     """
-    given = docs.drop("size", "source_size", "target", "copies", "shards")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(doc_id).cast("string")))
-    sized = given.withColumn("size", word_count(F.col(text))).withColumn("_skey", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))).withColumn("_key", key).withColumn("_block", F.substring("_key", 1, block_digits))
-    blocks, _ = stash(sized.groupBy("_skey", "_block").agg(F.first(source).alias("source"), F.sum("size").alias("words")), "blocks")
+    results = ("size", "source_size", "target", "copies", "shards")
+    given = docs.drop(*results)
+    named = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.concat(F.lit("~"), F.xxhash64(text).cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(seed), named))
+    sized = given.select(F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("given"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_skey"), key.alias("_key"))
+    largest = docs.groupBy(source).count().agg(F.max("count")).first()[0] or 1
+    digits = next(d for d in range(1, 16) if 16**d * block_rows >= largest)
+    sized = sized.withColumn("_block", F.substring("_key", 1, digits))
+    blocks, _ = stash(sized.groupBy("_skey", "_block").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "blocks")
     own = targets(blocks.groupBy(F.col("_skey").alias("skey")).agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, factor, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     own = own.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    by_block = Window.partitionBy("_skey").orderBy("_block")
-    placed = blocks.drop("source").join(own.withColumnRenamed("skey", "_skey"), "_skey")
+    # places and words before each block in two steps: over the parts of a source, then within a part
+    placed = blocks.drop("source").withColumn("_part", F.substring("_block", 1, (digits + 1) // 2))
+    parts = placed.groupBy("_skey", "_part").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
+    by_part = Window.partitionBy("_skey").orderBy("_part")
+    parts = parts.select("_skey", "_part", (F.sum("w").over(by_part) - F.col("w")).alias("w0"), (F.sum("n").over(by_part) - F.col("n")).alias("n0"))
+    by_block = Window.partitionBy("_skey", "_part").orderBy("_block")
     placed = placed.withColumn("start", F.sum("words").over(by_block) - F.col("words")).withColumn("rank", F.row_number().over(by_block) - 1)
+    placed = placed.join(parts, ["_skey", "_part"]).join(own.withColumnRenamed("skey", "_skey"), "_skey")
+    placed = placed.withColumn("start", F.col("start") + F.col("w0")).withColumn("rank", F.col("rank") + F.col("n0")).drop("w0", "n0", "_part")
     in_rest = (F.col("start") < F.col("rest")).cast("long")
     placed, _ = stash(placed.withColumn("drawn", F.col("passes") + in_rest), "placed")
     quotas = placed.groupBy("idx").agg(F.sum("drawn").alias("quota"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("drawn") > 0, 1).otherwise(0)).alias("first_pass"))
@@ -122,24 +137,28 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     draws = dealt.withColumn("upto", upto).where("blocks > 0").select("idx", "shard", F.explode(F.expr("sequence(upto - blocks, upto - 1)")).alias("turn"))
     turns = placed.join(quotas.select("idx", "first_pass"), "idx").where("drawn > 0")
     turns = turns.select("idx", "_skey", "_block", F.posexplode(F.expr("if(drawn = 1, array(rank), array(rank, first_pass + rank))")).alias("copy", "turn"))
-    homes = turns.withColumn("idx", F.col("idx").cast("long")).withColumn("turn", F.col("turn").cast("long")).join(draws, ["idx", "turn"])
+    homes = turns.withColumn("idx", F.col("idx").cast("long")).withColumn("turn", F.col("turn").cast("long")).join(draws.hint("merge"), ["idx", "turn"])
     homes = homes.groupBy("_skey", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda s: s["shard"]).alias("homes"))
-    facts = placed.select("_skey", "_block", "source_size", "target", "passes", "rest", "start").join(homes, ["_skey", "_block"], "left")
+    facts = placed.select("_skey", "_block", "source_size", "target", "passes", "rest", "start").join(homes.hint("merge"), ["_skey", "_block"], "left")
     within = Window.partitionBy("_skey", "_block").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sized.withColumn("_upto", F.sum("size").over(within)).join(facts, ["_skey", "_block"])
+    rows = sized.withColumn("_upto", F.sum("size").over(within)).join(facts.hint("merge"), ["_skey", "_block"])
     before = F.col("start") + F.col("_upto") - F.col("size")
     extra = (F.col("start") < F.col("rest")) & (2 * before + F.col("size") <= 2 * F.col("rest"))
     copies = (F.col("passes") + extra.cast("long")).cast("int")
     none = F.expr("cast(array() as array<int>)")
     rows = rows.withColumn("copies", copies).withColumn("shards", F.when(F.col("copies") > 0, F.slice("homes", 1, F.col("copies"))).otherwise(none))
-    return rows.select(*given.columns, "size", "source_size", "target", "copies", "shards")
+    return rows.select("given.*", *results)
 
 
-def mixed(planned: DataFrame, doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """The mix: each row of ``plan_mix`` once for each copy, with its ``shard``, shuffled within the shard."""
-    names = [c for c in planned.columns if c not in ("size", "source_size", "target", "copies", "shards")]
-    rows = planned.select(*names, F.posexplode("shards").alias("_copy", "shard"))
-    order = F.xxhash64(F.lit(seed), F.col(doc_id), "_copy")
+def mixed(planned: DataFrame, doc_id: str = "doc_id", seed: str = SEED, parts: int = 16) -> DataFrame:
+    """The mix: each row of ``plan_mix`` once for each copy, with its ``shard``, shuffled within the shard.
+
+    A given column called ``shard`` gives way to it; the others pass, whatever their names.
+    """
+    results = {"size", "source_size", "target", "copies", "shards", "shard"}
+    names = [c for c in planned.columns if c.lower() not in results]
+    rows = planned.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"), F.col(doc_id).alias("_id"), F.posexplode("shards").alias("_copy", "shard"))
+    order = F.xxhash64(F.lit(seed), F.col("_id"), "_copy")
     # a shard's rows are spread over several tasks, each of which sorts a range of the random order
-    rows = rows.withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(16)))
-    return rows.repartition("shard", "_part").sortWithinPartitions("shard", "_order").drop("_order", "_copy", "_part")
+    rows = rows.withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(parts)))
+    return rows.repartition("shard", "_part").sortWithinPartitions("shard", "_order").select("given.*", "shard")
