@@ -1,8 +1,10 @@
 """Line dedup over levelled sorted runs.
 
-The line keys of a corpus are kept as runs: tables of (key hash, documents that hold it, largest
-such doc_id), sorted by hash. A new batch is counted by itself, merge-anti-joined with the runs (keys
-about which they know enough already go) and becomes a run of level 0. When a level has ``fanout`` runs they are
+The line keys of a corpus are kept as runs: tables bucketed and sorted by key hash, each key in one
+run only, with the documents that hold it and the largest of them. A new batch is counted by itself
+and merge-anti-joined with each run, which is not shuffled again: keys that no run has are added
+as a run of level 0; for the others the batch adds its count beside them, unless the run has them in
+so many documents already that it could change nothing. When a level has ``fanout`` runs they are
 merged into one run of the next level, so that n batches leave O(log n) runs and rewrite a key
 O(log n) times.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import Step, with_arrow
-from strandloom.session import drop_path, stash
+from strandloom.session import drop_path, new_path, stash
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _LONGS = T.ArrayType(T.LongType())
@@ -65,97 +67,135 @@ def line_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_c
 
 @dataclass
 class Runs:
-    """The levelled runs of one corpus: ``levels[k]`` holds (table, path) of the runs of level k."""
+    """The levelled runs of one corpus: ``levels[k]`` names the tables of level k.
+
+    A table has ``h1, h2, n_docs, last_doc`` and ``seen``: false for the keys that it added, true for
+    counts of keys that an earlier run has. Batches come with descending ids, so that the run that
+    added a key knows its largest document.
+    """
 
     spark: SparkSession
+    buckets: int
     fanout: int = 4
     #: From this many documents on a key is settled; 0: keys are never settled.
     settled_at: int = 0
-    levels: list[list[tuple[DataFrame, str]]] = field(default_factory=list)
+    levels: list[list[tuple[str, str]]] = field(default_factory=list)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stash(rows.sortWithinPartitions("h1", "h2"), f"run-{level}"))
-
-    def _union(self, tables: list[DataFrame]) -> DataFrame | None:
+        path = new_path(self.spark, f"run-{level}")
+        name = "run_" + path.rsplit("-", 1)[1]
+        dealt = rows.repartition(self.buckets, "h1", "h2")
+        dealt.write.format("parquet").option("path", path).partitionBy("seen").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.levels[level].append((name, path))
+
+    def _drop(self, name: str, path: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        drop_path(self.spark, path)
+
+    def runs(self) -> list[DataFrame]:
+        """The keys of each run; no key is in two of them."""
+        return [self.spark.table(n).where("not seen").drop("seen") for level in self.levels for n, _ in level]
+
+    def repeats(self, names: list[str] | None = None) -> DataFrame | None:
+        """Counts of keys beside those of the run that added them, each key once."""
         out = None
-        for t in tables:
+        for n in names or [n for level in self.levels for n, _ in level]:
+            t = self.spark.table(n).where("seen").drop("seen")
             out = t if out is None else out.unionAll(t)
-        return out
-
-    @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def keys(self) -> DataFrame | None:
-        return self._union([t for level in self.levels for t, _ in level])
+        return None if out is None else out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch (``doc_id, h1, h2``, each once; no document of an earlier batch) and return its keys that were new.
-
-        Keys that one of the runs has in ``settled_at`` documents already, with a doc_id above all of the
-        batch's, are merge-anti-joined away and not written again: they could change nothing.
-        """
+        """Add a batch (``doc_id, h1, h2``, each once; ids below those of earlier batches) and return the run of its new keys."""
         own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        earlier = self.keys()
-        if earlier is not None and self.settled_at:
-            settled = earlier.where(F.col("n_docs") >= self.settled_at).select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("last_doc").alias("s_last"))
-            own = own.join(settled.hint("merge"), (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("last_doc") < F.col("s_last")), "left_anti")
-        self._write(own, 0)
-        batch = self.levels[0][-1][0]
-        fresh = batch if earlier is None else batch.join(earlier, ["h1", "h2"], "left_anti")
-        return fresh
+        most = F.lit(0).cast("long")
+        for k, run in enumerate(self.runs()):
+            held = run.select("h1", "h2", F.col("n_docs").alias(f"held{k}"))
+            own = own.join(held.hint("merge"), ["h1", "h2"], "left")
+            most = F.greatest(most, F.coalesce(f"held{k}", F.lit(0)))
+        rows = own.select("h1", "h2", "n_docs", "last_doc", (most > 0).alias("seen"), most.alias("most"))
+        if self.settled_at:
+            rows = rows.where(F.col("most") < self.settled_at)
+        self._write(rows.drop("most"), 0)
+        return self.spark.table(self.levels[0][-1][0]).where("not seen").drop("seen")
 
     def compact(self) -> None:
         """Merge each level that is full into one run of the next."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                full, self.levels[level] = self.levels[level], []
-                self._write(self.merged(self._union([t for t, _ in full])), level + 1)
-                for _, path in full:
-                    drop_path(self.spark, path)
+                full = self.levels[level]
+                names = [n for n, _ in full]
+                rows = self.repeats(names).withColumn("seen", F.lit(True))
+                for n in names:
+                    rows = rows.unionByName(self.spark.table(n).where("not seen").drop("seen").withColumn("seen", F.lit(False)))
+                self._write(rows, level + 1)
+                self.levels[level] = []
+                for name, path in full:
+                    self._drop(name, path)
             level += 1
 
     def totals(self, min_docs: int = 1) -> DataFrame:
-        """``h1, h2, n_docs, last_doc`` over all runs; of settled keys ``n_docs`` is at least ``settled_at``."""
-        return self.merged(self.keys()).where(F.col("n_docs") >= min_docs)
+        """``h1, h2, n_docs, last_doc`` of the keys in ``min_docs`` documents or more; of settled keys ``n_docs`` is at least ``settled_at``."""
+        out, more = None, self.repeats()
+        if more is None:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
+        more, _ = stash(more.select("h1", "h2", F.col("n_docs").alias("again")), "repeats")
+        for run in self.runs():
+            t = run.join(more.hint("merge"), ["h1", "h2"], "left").withColumn("n_docs", F.col("n_docs") + F.coalesce("again", F.lit(0))).drop("again")
+            out = t if out is None else out.unionAll(t)
+        return out.where(F.col("n_docs") >= min_docs)
+
+    def close(self) -> None:
+        """Drop the tables of all runs."""
+        for level in self.levels:
+            for name, path in level:
+                self._drop(name, path)
+        self.levels = []
 
 
-def build_runs(keys: DataFrame, batches: int = 4, fanout: int = 4, settled_at: int = 0) -> Runs:
+def build_runs(keys: DataFrame, batches: int = 5, fanout: int = 2, settled_at: int = 0, bucket_rows: int = 2_000_000) -> Runs:
     """Add ``keys`` (a written table, each row once) batch by batch, the largest ids first.
 
-    The batches are ranges of ids with about as many rows each. Going down, the first batch that has
-    a key knows its largest doc_id, so that frequent keys are settled early. Where the ranges are cut
-    decides the cost, never the result.
+    The batches are ranges of ids with about as many rows each; full levels are compacted between
+    batches. Going down, the first batch that has a key knows its largest doc_id, so that frequent keys
+    are settled early. Buckets hold about ``bucket_rows`` keys. Where the ranges are cut decides the
+    cost, never the result.
     """
-    runs = Runs(keys.sparkSession, fanout, settled_at)
+    spark = keys.sparkSession
     shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(keys.agg(F.percentile_approx("doc_id", shares).alias("cuts")).first()["cuts"] or [])) if shares else []
+    facts = keys.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", shares or [0.5]).alias("cuts")).first()
+    cuts = sorted(set(facts["cuts"] or [])) if shares else []
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // bucket_rows))
+    runs = Runs(spark, buckets, fanout, settled_at)
     for low, high in reversed(list(zip([None, *cuts], [*cuts, None], strict=True))):
         part = keys
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        runs.add(part.select("doc_id", "h1", "h2"))
         runs.compact()
+        runs.add(part.select("doc_id", "h1", "h2"))
     return runs
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 5, fanout: int = 2) -> DataFrame:
     """``docs`` with ``kept`` (the text without its repeated lines), ``n_lines`` and ``n_dropped``.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at
     least ``min_chars`` code points that at least ``min_docs`` documents hold lose their lines in all
     documents but the one of the largest id. The others stay in their order. Null and empty texts
     are one empty line. Rows that repeat a doc_id count as one document and are treated alike; rows
-    without a doc_id are counted nowhere and keep their lines.
+    without a doc_id are counted nowhere and keep their lines. Texts of any length are read whole; an
+    empty table gives no rows. Columns called like the results give way to them.
     """
     keys, _ = stash(line_keys(docs, text, doc_id, min_chars).distinct(), "line-keys")
+    runs = build_runs(keys, batches, fanout, min_docs)
     # a table of its own, so that Spark knows its size and may split the other side where one line is in very many documents
-    repeated, _ = stash(build_runs(keys, batches, fanout, min_docs).totals(min_docs), "repeated")
+    repeated, _ = stash(runs.totals(min_docs), "repeated")
+    runs.close()
+    place = docs.columns.index(text)
     doomed = (
         keys.join(repeated, ["h1", "h2"])
         .where(F.col("doc_id") < F.col("last_doc"))
@@ -164,8 +204,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         .select(F.col("doc_id").alias("_doc"), "_drop")
     )
 
-    def fn(texts: pa.Array, drops: pa.Array) -> list[pa.Array]:
+    def fn(given: pa.StructArray, drops: pa.Array) -> list[pa.Array]:
         kept, n_lines, n_dropped = [], [], []
+        texts = given.field(place)
         lists = drops.to_pylist()
         for t, d in zip(texts.to_pylist(), lists, strict=True):
             lines = (t or "").split("\n")
@@ -179,6 +220,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         return [pa.array(kept, pa.string()), pa.array(np.array(n_lines, np.int64)), pa.array(np.array(n_dropped, np.int64))]
 
     fields = (T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()))
-    given = docs.drop("_doc", "_drop")
-    joined = given.join(doomed, F.col(f"`{doc_id}`") == F.col("_doc"), "left").drop("_doc")
-    return with_arrow(joined, Step((text, "_drop"), fields, fn), keep=[*given.columns, "kept", "n_lines", "n_dropped"])
+    # rows without an id match nothing; their texts spread them over the tasks of the join
+    spread = F.when(F.col("given")[doc_id].isNull(), F.pmod(F.xxhash64(F.col("given")[text]), F.lit(1 << 16))).otherwise(0).cast("int")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
+    packed = packed.withColumn("_doc", F.col("given")[doc_id]).withColumn("_spread", spread)
+    joined = packed.join(doomed.withColumn("_spread", F.lit(0)), ["_doc", "_spread"], "left")
+    kept = with_arrow(joined.select("given", "_drop"), Step(("given", "_drop"), fields, fn), keep=["given", "kept", "n_lines", "n_dropped"])
+    made = ("kept", "n_lines", "n_dropped")
+    return kept.select(*[F.col("given")[c].alias(c) for c in docs.columns if c.lower() not in made], *made)
