@@ -6,11 +6,14 @@ radius - m + 1: if two fingerprints differed by more than t_i in every partition
 by more than the radius, so every link shows in some partition. Bits that go together share a
 partition, which leaves the partitions nearly independent; the thresholds are the cheapest by
 dynamic programming over candidate counts estimated from a bounded sample of fingerprints. A
-partition of threshold t is probed with each block value within t bits. What meets in a bucket is
-verified on all 64 bits.
+partition of threshold t is probed with the block values within t bits of the own one that are not
+below it, so that each pair meets once. What meets in a bucket is verified on all 64 bits.
 
 A bucket yields a spanning forest of its links, never its pairs; a bucket with more than
-``max_bucket`` fingerprints is dealt out as pairs of chunks, which together compare all its members.
+``max_bucket`` fingerprints is dealt out as chunks of owners against chunks of probers.
+
+64 bits tell similarities of 0.8 and more of sets of shingles apart only if the radius is wide; links
+so found are then verified on 256 bits (``wide``), from which the similarity is estimated.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +38,61 @@ BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Fingerprints from which the partitions and thresholds are chosen; they decide the cost, never the result.
 SAMPLE = 4096
 MAX_BUCKET = 4096
+#: Longs of a wide print. For shingle sets of similarity J its bits differ with chance acos(2 J / (1 + J)) / pi.
+WIDE = 4
 _SLICE = 1 << 15
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """The 64 bits of a text: bit b is 1 if set in over half of the shingles' hashes; 0 without words."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes made from the first: one round of a 64-bit mixer, started apart for each k."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return h ^ h >> np.uint64(31)
+
+
+def prints_of(raw: bytes, shingle: int = SHINGLE, words64: int = 1) -> list[int]:
+    """The 64 bits of a text, bit b being 1 if set in over half of the shingles' hashes, 0 without words; then more such from mixed hashes."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return [0] * words64
     buf, n = b" ".join(words), max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.concatenate([[0], np.cumsum(size)])
     last = start[min(shingle, len(words)) :] - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(buf[a:b], 42) for a, b in zip(start[:n].tolist(), last.tolist(), strict=False)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, n, _SLICE):
-        part = hashes[k : k + _SLICE]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(words64):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, n, _SLICE):
+            part = hashes[at : at + _SLICE]
+            part = _mixed(part, k) if k else part
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]))
+    return out
 
 
-def _fingerprints(text: pa.Array) -> list[pa.Array]:
-    prints = np.array([fingerprint(t) for t in raw_texts(text)], np.uint64)
-    return [pa.array(prints.view(np.int64))]
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    return prints_of(raw, shingle)[0]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``fp`` (long): A-Z count as a-z, words are free of ASCII white space, shingles have four words, repeats count."""
-    return with_arrow(docs, Step((text,), (T.StructField("fp", T.LongType()),), _fingerprints), keep=None if keep is None else [*keep, "fp"])
+def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """``docs`` with ``fp`` (long): A-Z count as a-z, words are free of ASCII white space, shingles have ``shingle`` words, repeats count.
+
+    ``wide`` adds a column of that name: ``WIDE`` longs, the fingerprint first.
+    """
+
+    def fn(texts: pa.Array) -> list[pa.Array]:
+        prints = np.array([prints_of(t, shingle, WIDE if wide else 1) for t in raw_texts(texts)], np.uint64).reshape(len(texts), -1).view(np.int64)
+        out = [pa.array(prints[:, 0])]
+        if wide:
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, prints.size + 1, WIDE, dtype=np.int32)), pa.array(prints.ravel())))
+        return out
+
+    fields = (T.StructField("fp", T.LongType()), *([T.StructField("wide", T.ArrayType(T.LongType()))] if wide else []))
+    return with_arrow(docs, Step((text,), fields, fn), keep=None if keep is None else [*keep, *(f.name for f in fields)])
 
 
 def hex_digits(fp: str = "fp") -> Column:
@@ -122,21 +152,21 @@ def _meeting(block: np.ndarray, width: int, limit: int) -> float:
     return (pairs + 1e4 * chance) / (n * max(1, n - 1) + 1e4)
 
 
-def choose_plan(sample: np.ndarray, n: int, radius: int = RADIUS, probe_cost: float = 200.0) -> Plan:
+def choose_plan(sample: np.ndarray, n: int, radius: int = RADIUS, probe_cost: float = 500.0) -> Plan:
     """The cheapest partitions and thresholds for ``n`` fingerprints like the sample's.
 
     A probe costs as much as ``probe_cost`` comparisons.
     """
     best: tuple[float, Plan] | None = None
     sample = sample if len(sample) > 1 else np.array([0, (1 << BITS) - 1], np.uint64)
-    for m in range(2, radius + 2):
+    for m in range(2, min(radius, 10) + 2):
         parts = _grouped(sample, m)
         # state: sum of limits so far -> (cost, limits)
         states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for part in parts:
             block, grown = _block(sample, part), {}
-            for limit in range(-1, 3):
-                cost = 0.0 if limit < 0 else n * n / 2 * _meeting(block, len(part), limit) + probe_cost * n * len(_flips(len(part), limit))
+            for limit in range(-1, 4):
+                cost = 0.0 if limit < 0 else n * n / 2 * _meeting(block, len(part), limit) + probe_cost * n * (len(_flips(len(part), limit)) + 1) / 2
                 for total, (before, limits) in states.items():
                     new = (before + cost, (*limits, limit))
                     if total + limit not in grown or new < grown[total + limit]:
@@ -148,45 +178,52 @@ def choose_plan(sample: np.ndarray, n: int, radius: int = RADIUS, probe_cost: fl
     return best[1]
 
 
-def links_within(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, as (member, root) positions."""
-    n = len(fps)
-    if n < 2:
-        return []
-    if n <= 256:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+def links_within(own: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``own`` and between ``own`` and ``probing``, as pairs of positions in the two laid end to end.
+
+    All fingerprints are distinct; each pair given is a link itself.
+    """
+    every, n = np.concatenate([own, probing]), len(own)
+    if n * len(every) <= 1 << 18:
+        near = np.bitwise_count(own[:, None] ^ every[None, :]) <= radius
         if int(near.sum()) == n:
             return []
     out: list[tuple[int, int]] = []
-    rest = np.arange(n)
-    while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
-        while front and len(rest):
-            hit = np.bitwise_count(fps[rest] ^ fps[front.pop()]) <= radius
-            if hit.any():
-                new = rest[hit].tolist()
-                out += [(x, int(root)) for x in new]
-                front += new
-                rest = rest[~hit]
+    owners, others = np.arange(n), np.arange(n, len(every))
+    while len(owners):
+        front, owners = [int(owners[0])], owners[1:]
+        while front:
+            at = front.pop()
+            hit = np.bitwise_count(every[owners] ^ every[at]) <= radius
+            new = owners[hit].tolist()
+            owners = owners[~hit]
+            if at < n and len(others):
+                hit = np.bitwise_count(every[others] ^ every[at]) <= radius
+                new += others[hit].tolist()
+                others = others[~hit]
+            out += [(x, at) for x in new]
+            front += new
     return out
 
 
 def _signatures(plan: Plan) -> Step:
-    """``sig`` (array of struct(part, block)) of a fingerprint: its own block values and those that it probes."""
+    """``sig`` (array of struct(part, block, own)) of a fingerprint: its own block values and those that it probes."""
     flips = [_flips(len(p), t) if t >= 0 else None for p, t in zip(plan.parts, plan.limits, strict=True)]
-    kind = T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("own", T.BooleanType())]))
 
     def fn(fp: pa.Array) -> list[pa.Array]:
         prints = fp.to_numpy(zero_copy_only=False).view(np.uint64)
-        part, block = [], []
+        part, block, own, meant = [], [], [], []
         for i, (bits, masks) in enumerate(zip(plan.parts, flips, strict=True)):
             if masks is not None:
-                block.append(_block(prints, bits)[:, None] ^ masks[None, :])
+                base = _block(prints, bits)[:, None]
+                block.append(base ^ masks[None, :])
                 part.append(np.full(block[-1].shape, i, np.int32))
-        blocks, parts = np.concatenate(block, 1), np.concatenate(part, 1)
-        offsets = pa.array(np.arange(0, blocks.size + 1, blocks.shape[1], dtype=np.int32))
-        values = pa.StructArray.from_arrays([pa.array(parts.ravel()), pa.array(blocks.ravel().view(np.int64))], ["part", "block"])
+                own.append(np.broadcast_to(masks == 0, block[-1].shape))
+                meant.append(block[-1] >= base)
+        parts, blocks, owns, use = (np.concatenate(x, 1) for x in (part, block, own, meant))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32))
+        values = pa.StructArray.from_arrays([pa.array(parts[use]), pa.array(blocks[use].view(np.int64)), pa.array(owns[use])], ["part", "block", "own"])
         return [pa.ListArray.from_arrays(offsets, values)]
 
     return Step(("fp",), (T.StructField("sig", kind),), fn)
@@ -194,36 +231,47 @@ def _signatures(plan: Plan) -> Step:
 
 def _verify(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket, which may go over the end of a batch."""
-
-        def found(fps: np.ndarray) -> None:
-            fps = np.unique(fps)
-            for member, root in links_within(fps.view(np.uint64), radius):
-                src.append(fps[member])
-                dst.append(fps[root])
-
-        key, held = None, []
+        """Rows (part, block, c, d, own, fp) come sorted by bucket, which may go over the end of a batch."""
         src: list = []
         dst: list = []
+
+        def found(fps: np.ndarray, own: np.ndarray) -> None:
+            mine = np.unique(fps[own])
+            if not len(mine):
+                return
+            rest = np.setdiff1d(fps[~own], mine) if not own.all() else fps[:0]
+            if len(mine) + len(rest) < 2:
+                return
+            every = np.concatenate([mine, rest])
+            for member, root in links_within(mine.view(np.uint64), rest.view(np.uint64), radius):
+                src.append(every[member])
+                dst.append(every[root])
+
+        key, held, useful = None, [], False
+
+        def close() -> None:
+            if held:
+                found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+
         for batch in batches:
             if not len(batch):
                 continue
             ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            fps = batch.column(4).to_numpy(zero_copy_only=False)
+            own = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            fps = batch.column(5).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(fps)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 now = tuple(ids[:, a].tolist())
                 if now != key:
-                    if sum(map(len, held)) > 1:
-                        found(np.concatenate(held))
-                    key, held = now, []
-                held.append(fps[a:b])
+                    close()
+                    key, held, useful = now, [], bool(own[a])
+                if useful:  # owners come first; probers of a block without any meet nobody
+                    held.append((fps[a:b], own[a:b]))
             if len(src) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
                 src.clear()
                 dst.clear()
-        if sum(map(len, held)) > 1:
-            found(np.concatenate(held))
+        close()
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return run
@@ -237,55 +285,81 @@ def similar_links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BU
         plan = choose_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), n, radius)
     rows = with_arrow(fps.select("fp"), _signatures(plan)).select("fp", F.inline("sig"))
     rows, _ = stash(rows, "signatures")
-    full = rows.groupBy("part", "block").count().where(F.col("count") > max_bucket)
-    full = full.select("part", "block", F.ceil(F.col("count") / max_bucket).cast("int").alias("n"))
-    dealt = rows.join(full, ["part", "block"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("n")).cast("int")
-    # every chunk meets every other: a fingerprint of chunk c goes to the pairs {c, d} of all d
-    other = F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))).alias("d")
-    pairs = dealt.withColumn("c", chunk).select("part", "block", "fp", "c", other)
-    pairs = pairs.select("part", "block", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "fp")
+    full = rows.groupBy("part", "block").agg(F.sum(F.col("own").cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("b") > max_bucket) & (F.col("a") > 0))
+    full = full.select("part", "block", F.ceil(F.col("a") / max_bucket).cast("int").alias("a"), F.ceil(F.col("b") / max_bucket).cast("int").alias("b"))
+    dealt = rows.join(full, ["part", "block"], "left").withColumn("a", F.coalesce("a", F.lit(1))).withColumn("b", F.coalesce("b", F.lit(1)))
+    h = F.xxhash64("fp", F.lit("chunk"))
+
+    def spread(role: DataFrame, fixed: str, other: str, n: str, m: str) -> DataFrame:
+        """A chunk of one side meets all chunks of the other."""
+        rows = role.withColumn(fixed, F.pmod(h, F.col(n)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("part", "block", "c", "d", "own", "fp")
+
+    # where a bucket is cut, its owners also stand among the probers
+    owners = spread(dealt.where("own"), "c", "d", "a", "b")
+    probers = spread(dealt.where("not own or b > 1").withColumn("own", F.lit(False)), "d", "c", "b", "a")
     keys = ["part", "block", "c", "d"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(radius), "src long, dst long")
+    return owners.unionByName(probers).repartition(*keys).sortWithinPartitions(*keys, F.desc("own")).mapInArrow(_verify(radius), "src long, dst long")
+
+
+def alike(links: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The ``links`` whose wide prints (``prints``: ``fp, wide``, one row a fingerprint) tell of at least ``similarity``."""
+    limit = int(WIDE * BITS * acos(2 * similarity / (1 + similarity)) / pi)
+    ends = links.join(prints.select(F.col("fp").alias("src"), F.col("wide").alias("ws")), "src").join(prints.select(F.col("fp").alias("dst"), F.col("wide").alias("wd")), "dst")
+    apart = F.aggregate(F.zip_with("ws", "wd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return ends.where(apart <= limit).select("src", "dst")
 
 
-def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """``fp, component_id``: for each distinct fingerprint of ``prints`` the smallest doc_id that links reach."""
-    own, _ = stash(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "prints")
-    comps = connected_components(similar_links(own.select("fp"), radius, max_bucket))
-    rooted = own.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, similarity: float | None = None) -> DataFrame:
+    """``fp, component_id``: for each distinct fingerprint of ``prints`` the smallest doc_id that links reach.
+
+    With ``similarity`` only links count that the wide prints bear out; of texts that share a
+    fingerprint one wide print speaks for all.
+    """
+    facts = [F.min(doc_id).alias("least"), *([F.min("wide").alias("wide")] if similarity is not None else [])]
+    own, _ = stash(prints.groupBy("fp").agg(*facts), "prints")
+    links = similar_links(own.select("fp"), radius, max_bucket)
+    if similarity is not None:
+        links, _ = stash(links, "links")
+        links = alike(links, own, similarity)
+    comps = connected_components(links)
+    rooted = own.select("fp", "least").join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rooted, _ = stash(rooted, "rooted")
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "component").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Equal texts share a
-    fingerprint. Rows without a doc_id take part; a component of such rows alone has a null
-    component_id. Repeated ids are kept as they come.
+    fingerprint; texts of any length are read whole. Rows without a doc_id take part; a component of
+    such rows alone has a null component_id. Repeated ids are kept as they come, an empty table gives
+    no rows, and other columns of ``docs`` are left out. ``similarity`` asks for links of at least that
+    estimated similarity of the shingle sets, among those within ``radius``.
     """
-    prints, _ = stash(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "fingerprints")
-    return prints.join(classes(prints, "doc_id", radius, max_bucket), "fp").select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    prints, _ = stash(fingerprints(rows, keep=["doc_id"], shingle=shingle, wide=similarity is not None), "fingerprints")
+    return prints.join(classes(prints, "doc_id", radius, max_bucket, similarity), "fp").select("doc_id", hex_digits().alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest doc_id.
 
     Rows without a doc_id cannot be named and stay only if no row of their component has an id, one
-    for each text. Of rows that repeat the smallest id one stays.
+    for each text. Of rows that repeat the smallest id one stays. All columns pass, whatever their names.
     """
-    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket), "classes")
+    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket, shingle, similarity), "classes")
     named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named, _ = stash(named.select(F.col("doc_id").alias("_stay"), "n"), "stay")
-    out = docs.join(named, F.col(f"`{doc_id}`") == F.col("_stay"), "inner")
-    once = out.where("n = 1").drop("_stay", "n")
+    named, _ = stash(named.select(F.col("doc_id").alias("stay"), "n"), "stay")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("words"))
+    out = packed.join(named, F.col("id") == F.col("stay"), "inner")
+    once = out.where("n = 1").select("given")
     if named.where("n > 1").limit(1).count():
-        once = once.unionByName(out.where("n > 1").drop("_stay", "n").dropDuplicates([doc_id]))
+        once = once.unionByName(out.where("n > 1").dropDuplicates(["id"]).select("given"))
     if found.where("component_id is null").limit(1).count():
         lone = found.where("component_id is null").select("fingerprint").distinct()
-        orphans = docs.where(F.col(f"`{doc_id}`").isNull())
-        prints = fingerprints(orphans, text).withColumn("_print", hex_digits()).dropDuplicates([text])
-        once = once.unionByName(prints.join(lone, F.col("_print") == F.col("fingerprint"), "left_semi").select(*docs.columns))
-    return once
+        orphans = packed.where("id is null").dropDuplicates(["words"])
+        prints = fingerprints(orphans.select("given", "words"), "words", keep=["given"], shingle=shingle).withColumn("print", hex_digits())
+        once = once.unionByName(prints.join(lone, F.col("print") == F.col("fingerprint"), "left_semi").select("given"))
+    return once.select("given.*")
