@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now, path = stash(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     paths, before = [path], None
     for _ in range(max_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        # two 64-bit digests of the edge set, one summed and one xor-ed
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u", F.lit("mark")))).first()
         if mark[0] == 0 or mark == before:
             break
         before = mark
