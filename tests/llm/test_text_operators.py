@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -170,27 +171,42 @@ def test_line_dedup_equals_brute_force(spark, documents, odd, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def test_runs_stay_few(spark):
-    keys = spark.range(2000).selectExpr("id % 300 as doc_id", "id % 90 as h1", "id % 7 as h2")
+def test_runs_stay_few_and_disjoint(spark):
+    keys = spark.range(2000).selectExpr("id % 300 as doc_id", "id % 90 as h1", "id % 7 as h2").distinct()
     runs = line_dedup.build_runs(keys, batches=7, fanout=2)
-    assert all(len(level) < 2 for level in runs.levels)
-    want = keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    assert all(len(level) <= 2 for level in runs.levels) and len(runs.levels) > 1
+    held = [tuple(r) for run in runs.runs() for r in run.select("h1", "h2").collect()]
+    assert len(held) == len(set(held)) == keys.select("h1", "h2").distinct().count()
+    want = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     assert by_id(runs.totals().collect()) == by_id(want.select("h1", "h2", "n_docs", "last_doc").collect())
+    runs.close()
 
 
-def test_a_batch_returns_its_new_keys(spark):
-    runs = line_dedup.Runs(spark)
-    first = runs.add(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "doc_id long, h1 long, h2 long"))
-    second = runs.add(spark.createDataFrame([(2, 2, 2), (2, 3, 3)], "doc_id long, h1 long, h2 long"))
+def test_a_batch_adds_its_new_keys_only(spark):
+    runs = line_dedup.Runs(spark, 4)
+    first = runs.add(spark.createDataFrame([(2, 1, 1), (2, 2, 2)], "doc_id long, h1 long, h2 long"))
+    second = runs.add(spark.createDataFrame([(1, 2, 2), (1, 3, 3)], "doc_id long, h1 long, h2 long"))
     assert first.count() == 2 and [r.h1 for r in second.collect()] == [3]
+    assert [tuple(r) for r in runs.repeats().collect()] == [(2, 2, 1, 1)]
+    runs.close()
+
+
+def test_runs_are_not_shuffled_again(spark):
+    runs = line_dedup.Runs(spark, 4)
+    runs.add(spark.range(100).selectExpr("id + 100 as doc_id", "id as h1", "id as h2"))
+    run = runs.runs()[0]
+    plan = spark.range(50).selectExpr("id as h1", "id as h2", "1 as n").groupBy("h1", "h2").count().join(run.hint("merge"), ["h1", "h2"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    runs.close()
 
 
 def test_settled_keys_are_not_written_again(spark):
-    runs = line_dedup.Runs(spark, settled_at=2)
-    runs.add(spark.createDataFrame([(8, 1, 1), (9, 1, 1), (9, 2, 2), (3, 3, 3), (4, 3, 3)], "doc_id long, h1 long, h2 long"))
+    runs = line_dedup.Runs(spark, 4, settled_at=2)
+    runs.add(spark.createDataFrame([(8, 1, 1), (9, 1, 1), (9, 2, 2)], "doc_id long, h1 long, h2 long"))
     runs.add(spark.createDataFrame([(5, 1, 1), (5, 2, 2), (5, 3, 3), (5, 4, 4)], "doc_id long, h1 long, h2 long"))
-    assert sorted(r.h1 for r in runs.levels[0][1][0].collect()) == [2, 3, 4]
-    assert sorted((r.h1, r.last_doc) for r in runs.totals(2).collect()) == [(1, 9), (2, 9), (3, 5)]
+    assert [r.h1 for r in runs.repeats().collect()] == [2] and sorted(r.h1 for r in runs.runs()[1].collect()) == [3, 4]
+    assert sorted((r.h1, r.last_doc) for r in runs.totals(2).collect()) == [(1, 9), (2, 9)]
+    runs.close()
 
 
 # byte-level BPE
@@ -495,7 +511,7 @@ def test_every_licence_rule_matches_its_text(spark):
 
 
 def test_made_columns_replace_given_ones(odd):
-    rows = with_arrow(odd.withColumn("Fp", F.lit("x")), Step(("text",), (T.StructField("fp", T.LongType()),), simhash._fingerprints))
+    rows = with_arrow(odd.withColumn("Fp", F.lit("x")), Step(("text",), (T.StructField("fp", T.LongType()),), lambda x: [pa.nulls(len(x), pa.int64())]))
     assert rows.columns == [*odd.columns, "fp"]
 
 
