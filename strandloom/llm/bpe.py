@@ -28,7 +28,7 @@ from strandloom.llm.common import Step, with_arrow
 #: Bits of a leaf of the bitmap.
 LEAF = 256
 #: Pre-tokens of one generation of a worker's memory; two generations are held.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pre-tokens longer than this are not kept.
 LONGEST_REMEMBERED = 64
 
@@ -138,7 +138,7 @@ class Vocabulary:
     """Ranks, their pattern, and the ids of pre-tokens met before."""
 
     #: Bytes of new pre-tokens that are merged in one list.
-    SPAN = 1 << 18
+    SPAN = 1 << 14
 
     def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_file.splitlines() if x)}
