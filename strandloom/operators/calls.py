@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import connected_components
+from strandloom.operators.ranks import numbered
 
 PASS = "PASS"
 
@@ -137,9 +138,8 @@ def merge_by_fragments(calls: DataFrame, least_score: float = 20) -> DataFrame:
 
 def bedpe_rows(calls: DataFrame, prefix: str = "ID") -> DataFrame:
     """The twelve columns of the passing calls; ids are counted over all calls, zero-padded to one digit more than needed."""
-    order = Window.orderBy("chrom1", "start1", "chrom2", "start2", "sv_type", "call_id")
-    width = F.floor(F.log10(F.greatest(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(1)))) + 2
-    rows = calls.withColumn("_n", F.row_number().over(order)).withColumn("_w", width.cast("int"))
+    total = calls.agg((F.floor(F.log10(F.greatest(F.count(F.lit(1)), F.lit(1)))) + 2).cast("int").alias("_w"))
+    rows = numbered(calls, ["chrom1", "start1", "chrom2", "start2", "sv_type", "call_id"], "_n").join(F.broadcast(total))
     sv_id = F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), F.col("_w"), "0"))
     length = F.coalesce(sv_length(F.col("chrom1"), F.col("start1"), F.col("chrom2"), F.col("start2")).cast("string"), F.lit("N.A."))
     return rows.where(F.col("filter") == PASS).select(

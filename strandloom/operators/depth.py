@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.reads import usable
+from strandloom.operators.ranks import numbered
 from strandloom.operators.intervals import delta_counts, expand_runs, merge_intervals
 
 BIN = 100
@@ -95,12 +96,11 @@ def depth_distribution(depth: DataFrame, col: str = "total") -> DataFrame:
 def depth_rate(read_depth: DataFrame, frag_depth: DataFrame, steps: int = 1000) -> DataFrame:
     """Quantiles (by rank ``int(n * b + 0.5)``) of read depth over fragment depth, in bins that have both."""
     rows = read_depth.join(frag_depth, ["tid", "bin"]).where("total > 0 and d3 > 0").select((F.col("total") / F.col("d3")).alias("rate"), "tid", "bin")
-    w = Window.orderBy("rate", "tid", "bin")
-    ranked = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    ranked = numbered(rows, ["rate", "tid", "bin"], "i", 0)
     wanted = rows.sparkSession.range(steps + 1).select(F.col("id").alias("k"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     at = wanted.join(F.broadcast(n)).select("k", F.least(F.floor(F.col("n") * F.col("k") / steps + 0.5), F.col("n") - 1).alias("i"))
-    return at.join(ranked.drop("n"), "i").select("k", "rate")
+    return at.join(ranked, "i").select("k", "rate")
 
 
 def densify(depth: DataFrame, contigs: DataFrame, size: int = BIN, extra: int = 2) -> DataFrame:

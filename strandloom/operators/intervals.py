@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 10_000
+#: Places of a contig that one task may count at once.
+TILE = 1 << 20
 
 
 def _bins(df: DataFrame, key: str, start: str, end: str, size: int, out: str) -> DataFrame:
@@ -54,17 +56,38 @@ def band_join(points: DataFrame, ranges: DataFrame, pos: str, size: int = BIN) -
     return left.join(right, (left["tid"] == right["r_tid"]) & (left["_k"] == right["_kr"]) & F.col(pos).between(F.col("r_lo"), F.col("r_hi"))).drop("_k", "_kr")
 
 
-def merge_intervals(df: DataFrame, by: list[str] | None = None, gap: int = 0, aggs: list[Column] | None = None) -> DataFrame:
+def _tiled(rows: DataFrame, by: list[str], place: str, facts: list[Column], running: list[Column], tile: int) -> DataFrame:
+    """``rows`` with ``_tile`` and, from the tiles of a contig (one row each), ``running`` expressions over their ``facts``.
+
+    A contig is cut into tiles so that no task holds the whole of it: what holds along the contig is
+    counted within a tile and carried from tile to tile.
+    """
+    rows = rows.withColumn("_tile", F.floor(F.col(place) / tile))
+    tiles = rows.groupBy(*by, "_tile").agg(*facts).select(*by, "_tile", *running)
+    mine = tiles.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_tile")], *[c for c in tiles.columns if c not in (*by, "_tile")])
+    on = F.lit(True)
+    for c in (*by, "_tile"):
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(mine, on).drop(*[f"_of_{c}" for c in (*by, "_tile")])
+
+
+def merge_intervals(df: DataFrame, by: list[str] | None = None, gap: int = 0, aggs: list[Column] | None = None, tile: int = TILE) -> DataFrame:
     """Intervals of each contig that touch or overlap (or lie within ``gap``), as one: ``start, end, n``."""
     by = by or ["tid"]
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= reach + gap, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("_island", island)
+    along = Window.partitionBy(*by).orderBy("_tile")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    rows = _tiled(df, by, "start", [F.max("end").alias("_m")], [F.max("_m").over(before).alias("_reach")], tile)
+    w = Window.partitionBy(*by, "_tile").orderBy("start", "end")
+    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    rows = rows.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1)).drop("_reach", "_tile")
+    rows = _tiled(rows, by, "start", [F.sum("_new").alias("_m")], [F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_earlier")], tile)
+    # of rows that tie the first is new, as it was before
+    w = Window.partitionBy(*by, "_tile").orderBy("start", "end", F.desc("_new"))
+    rows = rows.withColumn("_island", F.col("_earlier") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), *(aggs or [])).drop("_island")
 
 
-def delta_counts(df: DataFrame, lo: str, hi: str, by: list[str], weights: dict[str, Column]) -> DataFrame:
+def delta_counts(df: DataFrame, lo: str, hi: str, by: list[str], weights: dict[str, Column], tile: int = TILE) -> DataFrame:
     """For each index of the closed ranges [lo, hi]: the sum of each weight over the ranges that hold it.
 
     A range adds its weight at lo and takes it back after hi; running sums between these events give
@@ -74,8 +97,14 @@ def delta_counts(df: DataFrame, lo: str, hi: str, by: list[str], weights: dict[s
     part = df.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *[w.alias(n) for n, w in weights.items()]).where("_lo <= _hi")
     events = part.select(*by, F.inline(F.array(*[F.struct(at.cast("long").alias("idx"), *[(F.col(n) * sign).alias(n) for n in weights]) for at, sign in ((F.col("_lo"), 1), (F.col("_hi") + 1, -1))])))
     events = events.groupBy(*by, "idx").agg(*[F.sum(n).alias(n) for n in weights])
-    w = Window.partitionBy(*by).orderBy("idx")
-    run = events.select(*by, "idx", (F.lead("idx").over(w) - 1).alias("to"), *[F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in weights])
+    along = Window.partitionBy(*by).orderBy("_tile")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    facts = [F.min("idx").alias("_first"), *[F.sum(n).alias(f"_t_{n}") for n in weights]]
+    carried = [F.lead("_first").over(along).alias("_next"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in weights]]
+    events = _tiled(events, by, "idx", facts, carried, tile)
+    w = Window.partitionBy(*by, "_tile").orderBy("idx")
+    upto = [(F.col(f"_b_{n}") + F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias(n) for n in weights]
+    run = events.select(*by, "idx", (F.coalesce(F.lead("idx").over(w), "_next") - 1).alias("to"), *upto)
     some = F.lit(False)
     for n in weights:
         some = some | (F.col(n) != 0)

@@ -12,6 +12,7 @@ from strandloom.operators.intervals import band_join, merge_intervals
 from strandloom.operators.variants import copy_number_genotype, deoverlap, hard_filter, pileup
 from strandloom.plans.call_queries import CALLS, calls
 from strandloom.plans.read_queries import _DENSE, _FD, _HAP, _PAIRS, FRAGS, contigs, frags, hap_frags, reads
+from strandloom.operators.ranks import running_before
 from strandloom.plans.registry import query
 from strandloom.plans.variant_queries import bases
 from strandloom.sources.views import view
@@ -39,27 +40,12 @@ def j8_shared_barcode_join(spark, sf):
     return evidence.shared_barcodes(*sides(spark, sf))
 
 
-@query(
-    f"""with {FRAGS}, rd as (select bcd, tid, read_id, flag from reads where mapq < 30) select a.frag_id as frag1, b.frag_id as frag2, exists (select 1 from rd x join rd y on x.read_id = y.read_id where x.bcd = a.bcd and x.tid = a.tid and y.bcd = b.bcd and y.tid = b.tid and (x.flag & 16) = 0 and (y.flag & 16) <> 0) as supported
-    from frags a join frags b on a.bcd = b.bcd and a.tid < b.tid where a.frag = 1 and b.frag = 1""",
-    "reads",
-)
-def j9_read_pair_support(spark, sf):
-    rows = frags(spark, sf).where("frag = 1").select("bcd", "tid", "frag_id")
-    a, b = (rows.select("bcd", *[F.col(c).alias(f"{p}_{c}") for c in ("tid", "frag_id")]) for p in "ab")
-    pairs = a.join(b, "bcd").where("a_tid < b_tid").select(F.col("a_frag_id").alias("frag1"), F.col("b_frag_id").alias("frag2"))
-    # all reads of a barcode on a contig count for its first fragment, as in the SQL
-    near = reads(spark, sf).where("mapq < 30").select("bcd", F.concat_ws(":", "bcd", "tid", F.lit(1)).alias("frag_id"), "read_id", "flag")
-    return evidence.read_pair_support(pairs, near)
-
-
 @query(
     f"""with {FRAGS}, rd as (select bcd, bcd || ':' || tid || ':' || frag as frag_id, read_id, flag from sessions where mapq < 30), sup as (select distinct x.frag_id as f1, y.frag_id as f2 from rd x join rd y on x.bcd = y.bcd and x.read_id = y.read_id and (x.flag & 16) = 0 and (y.flag & 16) <> 0)
     select a.frag_id as frag1, b.frag_id as frag2, f1 is not null as supported from frags a join frags b on a.bcd = b.bcd and (a.tid, a.frag) < (b.tid, b.frag) left join sup on f1 = a.frag_id and f2 = b.frag_id""",
     "reads",
 )
-def j9_read_pair_support_all(spark, sf):
-    """J9 over every two fragments of a barcode, each with its own reads."""
+def j9_read_pair_support(spark, sf):
     marked = fragments.gap_sessions(reads(spark, sf)).withColumn("frag_id", F.concat_ws(":", "bcd", "tid", "frag"))
     rows = marked.select("bcd", "frag_id", F.struct("tid", "frag").alias("at")).distinct()
     a, b = (rows.select("bcd", F.col("frag_id").alias(f"frag{k}"), F.col("at").alias(f"at{k}")) for k in (1, 2))
@@ -170,27 +156,13 @@ def _contig_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("read_id").alias("qname"), (F.col("line") * 200).alias("qbeg"), (F.col("line") * 200 + 100).alias("qend"), "tid", "start", "end", R.has_flag("flag", R.REVERSE).alias("reverse"), "mapq")
 
 
-@query(
-    """with o as (select *, lag("end") over w as p_end, lag(tid) over w as p_tid, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(mapq) over w as p_mapq, lag(line) over w as p_line from reads window w as (partition by read_id order by line * 200, line * 200 + 100, tid, start)),
-    g as (select *, (flag & 16) <> 0 as r, (p_flag & 16) <> 0 as pr, case when (flag & 16) <> 0 then p_start - "end" else start - p_end end as rg, line * 200 - (p_line * 200 + 100) as qg from o where p_tid is not null)
-    select read_id as qname, p_tid, p_end, tid, start, case when tid <> p_tid then 'X' when r <> pr then 'V' when rg > qg then 'D' when rg < qg then 'I' else 'C' end as event, case when tid = p_tid then abs(rg - qg) end as length, least(mapq, p_mapq) as mapq, case when least(mapq, p_mapq) < 10 then 'LowSupp' else '.' end as filter
-    from g where (read_id, line) in (select read_id, line from reads group by 1, 2 having count(*) = 1) and read_id in (select read_id from reads group by read_id having count(*) = count(distinct line))""",
-    "reads",
-)
-def g9_assembly_breakpoints(spark, sf):
-    clean = reads(spark, sf).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("k")).where("n = k").select("read_id")
-    rows = reads(spark, sf).join(clean, "read_id", "left_semi")
-    return evidence.assembly_breakpoints(_contig_rows(rows))
-
-
 @query(
     """with o as (select *, lag("end") over w as p_end, lag(tid) over w as p_tid, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(mapq) over w as p_mapq, lag(line) over w as p_line from reads window w as (partition by read_id order by line, tid, start, "end", flag & 16, mapq)),
     g as (select *, (flag & 16) <> 0 as r, (p_flag & 16) <> 0 as pr, case when (flag & 16) <> 0 then p_start - "end" else start - p_end end as rg, line * 200 - (p_line * 200 + 100) as qg from o where p_tid is not null)
     select read_id as qname, p_tid, p_end, tid, start, case when tid <> p_tid then 'X' when r <> pr then 'V' when rg > qg then 'D' when rg < qg then 'I' else 'C' end as event, case when tid = p_tid then abs(rg - qg) end as length, least(mapq, p_mapq) as mapq, case when least(mapq, p_mapq) < 10 then 'LowSupp' else '.' end as filter from g""",
     "reads",
 )
-def g9_assembly_breakpoints_all(spark, sf):
-    """G9 over every read id, those with repeated line numbers too."""
+def g9_assembly_breakpoints(spark, sf):
     return evidence.assembly_breakpoints(_contig_rows(reads(spark, sf)))
 
 
@@ -429,23 +401,13 @@ def _mutated(spark, sf, seqs: DataFrame) -> DataFrame:
     return rows.select("name", F.array_join(F.when(F.col("m").isNull(), F.split("seq", "")).otherwise(out), "").alias("seq"))
 
 
-@query("with a as (select name, substr(seq, 1, 300) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, length(x.s) + 1)) as i from a x join a y on y.name = x.name + 1) select name, string_agg(case when i <= length(t) and t[i] in ('G', 'C') then 'N' else s[i] end, '' order by i) as seq from p group by name", "seqs")
-def j22_mask_sequence(spark, sf):
-    return _masked(view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq")))
-
-
 @query("with p as (select x.name, x.seq as s, y.seq as t, unnest(range(1, length(x.seq) + 1)) as i from seqs x join seqs y on y.name = x.name + 1) select name, string_agg(case when i <= length(t) and t[i] in ('G', 'C') then 'N' else s[i] end, '' order by i) as seq from p group by name", "seqs")
-def j22_mask_sequence_whole(spark, sf):
+def j22_mask_sequence(spark, sf):
     return _masked(view(spark, sf, "seqs").select("name", "seq"))
 
 
-@query("with b as (select name, i, substr(s, i, 1) as c from (select name, substr(seq, 1, 300) as s, unnest(range(1, length(substr(seq, 1, 300)) + 1)) as i from seqs)), v as (select doc_id as name, (10 + doc_id % 7)::bigint as i, 'T' as c from labels where quality = 1) select b.name, string_agg(coalesce(v.c, b.c), '' order by b.i) as seq from b left join v on v.name = b.name and v.i = b.i group by b.name", "seqs")
-def j22_apply_point_mutations(spark, sf):
-    return _mutated(spark, sf, view(spark, sf, "seqs").select("name", F.substring("seq", 1, 300).alias("seq")))
-
-
 @query("with b as (select name, i, substr(seq, i, 1) as c from (select name, seq, unnest(range(1, length(seq) + 1)) as i from seqs)), v as (select doc_id as name, (10 + doc_id % 7)::bigint as i, 'T' as c from labels where quality = 1) select b.name, string_agg(coalesce(v.c, b.c), '' order by b.i) as seq from b left join v on v.name = b.name and v.i = b.i group by b.name", "seqs")
-def j22_apply_point_mutations_whole(spark, sf):
+def j22_apply_point_mutations(spark, sf):
     return _mutated(spark, sf, view(spark, sf, "seqs").select("name", "seq"))
 
 
@@ -454,7 +416,8 @@ def j24_interleave_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role")
     both = rows.where("role = 'user'").withColumn("mate", F.lit(0)).unionByName(rows.where("role = 'assistant'").withColumn("mate", F.lit(1)))
     # global places: ranks within a conversation after the rows of all earlier ones
-    n = both.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("conv_id")) - F.col("n"))
+    n = both.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    n = running_before(n, ["conv_id"], "n")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("mate", "turn"))
     return both.withColumn("r", rank).join(n, "conv_id").select("conv_id", (F.col("before") + F.col("r")).cast("long").alias("place"), "turn", "role")
 

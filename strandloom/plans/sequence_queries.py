@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import sequences as S
+from strandloom.operators.ranks import numbered
 from strandloom.plans.registry import query
 from strandloom.sources.views import view
 
@@ -98,7 +99,7 @@ def o3_sample_records(spark, sf):
 def o6_rename_records(spark, sf):
     # mates share a number: distinct names are numbered once, then looked up
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn")
-    names = rows.select("conv_id").distinct().withColumn("record", F.row_number().over(Window.orderBy("conv_id")))
+    names = numbered(rows.select("conv_id").distinct(), ["conv_id"], "record")
     return rows.join(names, "conv_id").select("conv_id", "turn", F.col("record").cast("long").alias("record"))
 
 
@@ -125,33 +126,21 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.select("name", same.cast("long").alias("n_same"), (n - same).cast("long").alias("n_different"), F.array_join("z", "").alias("merged"))
 
 
-@query(
-    """with a as (select name, substr(seq, 1, 200) as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, least(length(x.s), length(y.s)) + 1)) as i from a x join a y on y.name = x.name + 1)
-    select name, count(*) filter (s[i] = t[i]) as n_same, count(*) filter (s[i] <> t[i]) as n_different, string_agg(case when s[i] = t[i] then s[i] else 'N' end, '' order by i) as merged from p group by name""",
-    "seqs",
-)
-def j21_merge_sequences(spark, sf):
-    return _merged(seqs(spark, sf).select("name", F.substring("seq", 1, 200).alias("seq")))
-
-
 @query(
     """with a as (select name, seq as s from seqs), p as (select x.name, x.s as s, y.s as t, unnest(range(1, least(length(x.s), length(y.s)) + 1)) as i from a x join a y on y.name = x.name + 1)
     select name, count(*) filter (s[i] = t[i]) as n_same, count(*) filter (s[i] <> t[i]) as n_different, string_agg(case when s[i] = t[i] then s[i] else 'N' end, '' order by i) as merged from p group by name""",
     "seqs",
 )
-def j21_merge_sequences_whole(spark, sf):
+def j21_merge_sequences(spark, sf):
     return _merged(seqs(spark, sf))
 
 
-_QUALS = "q as (select name, list_transform(range(1, least(length(seq), 150) + 1), lambda i: ((i * 7 + name * 3) % 41)::int) as quals from seqs)"
-
-
-_QUALS_WHOLE = _QUALS.replace("least(length(seq), 150)", "length(seq)")
+_QUALS = "q as (select name, list_transform(range(1, length(seq) + 1), lambda i: ((i * 7 + name * 3) % 41)::int) as quals from seqs)"
 
 
-def quals(spark, sf, most: int | None = 150) -> DataFrame:
-    """A quality for each base; of the first ``most`` bases only, unless that is None."""
-    n = F.length("seq") if most is None else F.least(F.length("seq"), F.lit(most))
+def quals(spark, sf) -> DataFrame:
+    """A quality for each base."""
+    n = F.length("seq")
     return seqs(spark, sf).select("name", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: ((i * 7 + F.col("name") * 3) % 41).cast("int"))).otherwise(F.expr("cast(array() as array<int>)")).alias("quals"))
 
 
@@ -160,30 +149,19 @@ def p27_quality_bin(spark, sf):
     return _binned(quals(spark, sf))
 
 
-@query(f"with {_QUALS_WHOLE} select name, array_to_string(list_transform(quals, lambda x: case when x >= 30 then 30 when x >= 20 then 20 when x >= 10 then 10 when x >= 3 then 3 else 0 end), ',') as binned from q", "seqs")
-def p27_quality_bin_whole(spark, sf):
-    return _binned(quals(spark, sf, None))
-
-
 def _binned(rows: DataFrame) -> DataFrame:
     return rows.select("name", F.array_join(S.quality_bin("quals").cast("array<string>"), ",").alias("binned"))
 
 
 @query(
     f"""with {_QUALS}, s as (select name, i, round(0.05 - 10 ** (-quals[i] / 10.0), 9) as s from (select name, quals, unnest(range(1, len(quals) + 1)) as i from q)), c as (select name, i, round(sum(s) over (partition by name order by i rows unbounded preceding), 9) as cum from s),
-    z as (select name, 0 as i, 0.0 as cum from q union all select name, i, cum from c), b as (select a.name, max(round(y.cum - a.cum, 9)) as best from z a join z y on a.name = y.name and a.i < y.i group by a.name) select name, best as best_score from b where best > 0""",
+    m as (select name, cum, least(0, coalesce(min(cum) over (partition by name order by i rows between unbounded preceding and 1 preceding), 0)) as low from c) select name, max(round(cum - low, 9)) as best_score from m group by name having max(round(cum - low, 9)) > 0""",
     "seqs",
 )
 def p28_trim_by_quality(spark, sf):
     return _trimmed(quals(spark, sf))
 
 
-@query()
-def p28_trim_by_quality_whole(spark, sf):
-    """Without SQL, whose pairs of bases are too many here; a test holds it against brute force."""
-    return _trimmed(quals(spark, sf, None))
-
-
 def _trimmed(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("t", S.trim_by_quality("quals"))
     score = F.aggregate(F.slice("quals", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")), F.lit(0.0), lambda t, q: t + F.round(F.lit(0.05) - F.pow(F.lit(10.0), -q / 10.0), 9))
@@ -198,14 +176,6 @@ def a26_base_quality_profile(spark, sf):
     return _profile(quals(spark, sf))
 
 
-@query(
-    f"""with {_QUALS_WHOLE}, e as (select unnest(range(1, len(quals) + 1)) as pos, unnest(quals) as q from q) select pos::int as pos, count(*) as n, round(avg(q), 9) as mean_q, count(*) filter (q < 20) as n_low from e group by rollup (pos)""",
-    "seqs",
-)
-def a26_base_quality_profile_whole(spark, sf):
-    return _profile(quals(spark, sf, None))
-
-
 def _profile(quals: DataFrame) -> DataFrame:
     """By position and in all; the total is drawn from the positions, so that a base is one row."""
     rows = quals.select(F.posexplode("quals").alias("i", "q")).groupBy((F.col("i") + 1).alias("pos"))

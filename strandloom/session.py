@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a table and reading it again. The folder is the
 one that the cluster names in ``spark.checkpoint.dir``; where that is unset (tests, local runs) a
-folder of this process is used, which suits a local master only.
+folder of this process is used, and only under a local master: elsewhere executors would not see each
+other's files, so that an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="spark-strandloom-")

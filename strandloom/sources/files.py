@@ -175,10 +175,6 @@ def tile_contigs(contigs: DataFrame, size: int = 200_000) -> DataFrame:
     return contigs.select("tid", "length", F.explode(starts).alias("start")).where(F.col("start") + size <= F.col("length")).select("tid", "start", (F.col("start") + size).alias("end"))
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))
-
-
 def indel_to_deletion(vcf: DataFrame, least: int = 50) -> DataFrame:
     """Assembled variants (``contig`` = ``chrom:start-end``, ``pos, ref, alt, info``) as deletions: ``chrom, start, end, length, score``.
 

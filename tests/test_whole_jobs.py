@@ -14,7 +14,7 @@ from strandloom.sources.views import view
 
 def test_every_read_has_a_breakpoint_row(spark, sf):
     rows = view(spark, sf, "reads")
-    assert Q.g9_assembly_breakpoints_all(spark, sf).count() == rows.count() - rows.select("read_id").distinct().count()
+    assert Q.g9_assembly_breakpoints(spark, sf).count() == rows.count() - rows.select("read_id").distinct().count()
 
 
 def test_tied_alignments_have_one_order(spark):
@@ -29,7 +29,7 @@ def test_tied_alignments_have_one_order(spark):
 
 def test_every_two_fragments_are_paired(spark, sf):
     n = [r["count"] for r in frags(spark, sf).groupBy("bcd").count().collect()]
-    assert Q.j9_read_pair_support_all(spark, sf).count() == sum(k * (k - 1) // 2 for k in n)
+    assert Q.j9_read_pair_support(spark, sf).count() == sum(k * (k - 1) // 2 for k in n)
 
 
 def test_support_of_later_fragments(spark):
@@ -46,19 +46,19 @@ def lengths(spark, sf):
 
 
 def test_whole_texts(spark, sf, lengths):
-    for f in (Q.j22_mask_sequence_whole, Q.j22_apply_point_mutations_whole, file_queries.s14_explode_alternative_hits_whole):
+    for f in (Q.j22_mask_sequence, Q.j22_apply_point_mutations, file_queries.s14_explode_alternative_hits):
         got = f(spark, sf).select("name", F.length("seq").alias("n")).collect()
         assert got and all(r.n == lengths[r.name] for r in got)
-    for r in sequence_queries.j21_merge_sequences_whole(spark, sf).collect():
+    for r in sequence_queries.j21_merge_sequences(spark, sf).collect():
         assert len(r.merged) == r.n_same + r.n_different == min(lengths[r.name], lengths[r.name + 1])
-    for r in sequence_queries.p27_quality_bin_whole(spark, sf).collect():
+    for r in sequence_queries.p27_quality_bin(spark, sf).collect():
         assert len(r.binned.split(",")) == max(lengths[r.name], 1)
-    total = sequence_queries.a26_base_quality_profile_whole(spark, sf).where("pos is null").first()
+    total = sequence_queries.a26_base_quality_profile(spark, sf).where("pos is null").first()
     assert total.n == sum(lengths.values())
 
 
 def test_whole_trims(spark, sf, lengths):
-    got = {r.name: r.best_score for r in sequence_queries.p28_trim_by_quality_whole(spark, sf).collect()}
+    got = {r.name: r.best_score for r in sequence_queries.p28_trim_by_quality(spark, sf).collect()}
     for name, n in sorted(lengths.items())[:30]:
         sums, least, best = [0.0], 0.0, 0.0
         for i in range(1, n + 1):
