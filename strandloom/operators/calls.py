@@ -109,7 +109,7 @@ def same_call(a: DataFrame, b: DataFrame, near: int = 10_000, overlap: float = 0
 
 def dedupe(calls: DataFrame) -> DataFrame:
     """The first call of each group of same calls, by ``call_id``."""
-    edges = same_call(calls, calls)
+    edges = same_call(calls, calls).where("a_id <= b_id")
     firsts = connected_components(edges, "a_id", "b_id").select(F.col("component").alias("call_id")).distinct()
     return calls.join(firsts, "call_id", "left_semi")
 

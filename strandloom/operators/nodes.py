@@ -20,9 +20,11 @@ def _around(i: str = "i", j: str = "j") -> Column:
 def remove_sparse(nodes: DataFrame, cutoff: int, min_nodes: int, by: list[str] | None = None) -> DataFrame:
     """Nodes whose grid cell (side cutoff + 1) and its eight neighbours hold more than ``min_nodes`` nodes.
 
-    Only counts of cells are compared, so the work follows the occupied cells.
+    Only counts of cells are compared, so the work follows the occupied cells. The nodes are written
+    first, as they are read twice and mostly come out of a costly join.
     """
     by = by or PLANE
+    nodes, _ = stash(nodes, "nodes")
     cells = nodes.withColumn("i", F.floor(F.col("x_pos") / (cutoff + 1))).withColumn("j", F.floor(F.col("y_pos") / (cutoff + 1)))
     counts = cells.groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"))
     near = counts.select(*by, "n", F.inline(_around())).groupBy(*by, "i", "j").agg(F.sum("n").alias("near"))
