@@ -38,6 +38,8 @@ BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Fingerprints from which the partitions and thresholds are chosen; they decide the cost, never the result.
 SAMPLE = 4096
 MAX_BUCKET = 4096
+#: Partitions and thresholds are chosen for so many fingerprints at least, so that smaller tables take the same plan as large ones.
+PLAN_FOR = 4_000_000
 #: Longs of a wide print. For shingle sets of similarity J its bits differ with chance acos(2 J / (1 + J)) / pi.
 WIDE = 4
 _SLICE = 1 << 15
@@ -282,7 +284,7 @@ def similar_links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BU
     if plan is None:
         n = fps.count()
         drawn = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-        plan = choose_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), n, radius)
+        plan = choose_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), max(n, PLAN_FOR), radius)
     rows = with_arrow(fps.select("fp"), _signatures(plan)).select("fp", F.inline("sig"))
     rows, _ = stash(rows, "signatures")
     full = rows.groupBy("part", "block").agg(F.sum(F.col("own").cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("b") > max_bucket) & (F.col("a") > 0))
@@ -353,7 +355,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
     named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     named, _ = stash(named.select(F.col("doc_id").alias("stay"), "n"), "stay")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("words"))
-    out = packed.join(named, F.col("id") == F.col("stay"), "inner")
+    # the list of those that stay grows with the table: never broadcast, at any size
+    out = packed.join(named.hint("merge"), F.col("id") == F.col("stay"), "inner")
     once = out.where("n = 1").select("given")
     if named.where("n > 1").limit(1).count():
         once = once.unionByName(out.where("n > 1").dropDuplicates(["id"]).select("given"))
