@@ -10,8 +10,6 @@ from strandloom.plans import registry
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: May be empty on these tables.
 EMPTY = {"a6_high_coverage_regions", "c4_detect_large_cnv", "j9_read_pair_support", "c3_detect_small_deletions", "w8_gc_rich_regions"}
-#: Iterative, many short rounds; not run by these tests.
-SLOW = {"m4_predict_breakpoint", "g4_cluster_endpoint_nodes", "g8_group_support", "c5_refine_breakpoints", "m13_segment_depth", "c4_detect_large_cnv", "m1_twin_window_model", "m2_residual_distribution", "c2_detect_barcode_overlap_drop", "c3_detect_small_deletions"}
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +39,6 @@ def test_equals_sql(spark, sf, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0 or name in EMPTY
