@@ -14,8 +14,8 @@ from strandloom.llm import line_dedup, mixing, quality_rules, simhash
 from strandloom.llm.queries import bpe_digests
 from strandloom.session import stash
 
-#: Fingerprints that differ in so many bits are candidates; 0.8 of the shingles alike means 10 of 64 bits on average.
-NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 10, 5, 0.78
+#: Texts are candidates if one of so many fingerprints differs in so many bits; 0.8 of the shingles alike means 10 of 64 bits on average.
+NEAR_WORDS64, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 2, 9, 5, 0.78
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near duplicates share five-word shingles to a similarity of about 0.8 or more.
     """
-    return simhash.one_of_each(docs, radius=NEAR_RADIUS, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY).select(*COLUMNS)
+    found = simhash.one_of_each(docs, radius=NEAR_RADIUS, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY, words64=NEAR_WORDS64)
+    return found.select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ below it, so that each pair meets once. What meets in a bucket is verified on al
 A bucket yields a spanning forest of its links, never its pairs; a bucket with more than
 ``max_bucket`` fingerprints is dealt out as chunks of owners against chunks of probers.
 
-64 bits tell similarities of 0.8 and more of sets of shingles apart only if the radius is wide; links
-so found are then verified on 256 bits (``wide``), from which the similarity is estimated.
+64 bits tell similarities of 0.8 and more of sets of shingles apart only roughly. For these a text has
+256 bits (``wide``), four such prints; the first ``words64`` of them are searched, each by itself, and
+what meets in a bucket is verified on all 256, from which the similarity is estimated, before it
+enters the bucket's forest.
 """
 
 from __future__ import annotations
@@ -180,27 +182,33 @@ def choose_plan(sample: np.ndarray, n: int, radius: int = RADIUS, probe_cost: fl
     return best[1]
 
 
-def links_within(own: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def links_within(own: np.ndarray, probing: np.ndarray, radius: int, word: int = 0, limit: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``own`` and between ``own`` and ``probing``, as pairs of positions in the two laid end to end.
 
-    All fingerprints are distinct; each pair given is a link itself.
+    All fingerprints are distinct; each pair given is a link itself. Of wide prints (a row each) the
+    one numbered ``word`` is held to the radius, and all their bits together to ``limit``.
     """
     every, n = np.concatenate([own, probing]), len(own)
-    if n * len(every) <= 1 << 18:
-        near = np.bitwise_count(own[:, None] ^ every[None, :]) <= radius
-        if int(near.sum()) == n:
-            return []
+    every = every.reshape(len(every), -1)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(x ^ y)
+        out = bits[..., word] <= radius
+        return out if limit is None else out & (bits.sum(-1, dtype=np.int32) <= limit)
+
+    if n * every.size <= 1 << 18 and int(near(every[:n, None], every[None]).sum()) == n:
+        return []
     out: list[tuple[int, int]] = []
     owners, others = np.arange(n), np.arange(n, len(every))
     while len(owners):
         front, owners = [int(owners[0])], owners[1:]
         while front:
             at = front.pop()
-            hit = np.bitwise_count(every[owners] ^ every[at]) <= radius
+            hit = near(every[owners], every[at])
             new = owners[hit].tolist()
             owners = owners[~hit]
             if at < n and len(others):
-                hit = np.bitwise_count(every[others] ^ every[at]) <= radius
+                hit = near(every[others], every[at])
                 new += others[hit].tolist()
                 others = others[~hit]
             out += [(x, at) for x in new]
@@ -208,67 +216,75 @@ def links_within(own: np.ndarray, probing: np.ndarray, radius: int) -> list[tupl
     return out
 
 
-def _signatures(plan: Plan) -> Step:
-    """``sig`` (array of struct(part, block, own)) of a fingerprint: its own block values and those that it probes."""
+#: A bucket's key holds the print's number, its partition and the block; no partition is wider than 32 bits.
+_PART_AT, _WORD_AT = 40, 48
+
+
+def _signatures(plan: Plan, words64: int | None = None) -> Step:
+    """``sig`` (array of struct(key, own)) of a fingerprint: its own block values and those that it probes.
+
+    With ``words64`` the column ``wide`` is read instead of ``fp``, and so many of its prints have signatures.
+    """
     flips = [_flips(len(p), t) if t >= 0 else None for p, t in zip(plan.parts, plan.limits, strict=True)]
-    kind = T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("own", T.BooleanType())]))
-
-    def fn(fp: pa.Array) -> list[pa.Array]:
-        prints = fp.to_numpy(zero_copy_only=False).view(np.uint64)
-        part, block, own, meant = [], [], [], []
-        for i, (bits, masks) in enumerate(zip(plan.parts, flips, strict=True)):
-            if masks is not None:
-                base = _block(prints, bits)[:, None]
-                block.append(base ^ masks[None, :])
-                part.append(np.full(block[-1].shape, i, np.int32))
-                own.append(np.broadcast_to(masks == 0, block[-1].shape))
-                meant.append(block[-1] >= base)
-        parts, blocks, owns, use = (np.concatenate(x, 1) for x in (part, block, own, meant))
+    kind = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.BooleanType())]))
+
+    def fn(given: pa.Array) -> list[pa.Array]:
+        prints = (given.to_numpy(zero_copy_only=False) if words64 is None else given.flatten().to_numpy()).view(np.uint64).reshape(len(given), -1)
+        key, own, meant = [], [], []
+        for word in range(words64 or 1):
+            for i, (bits, masks) in enumerate(zip(plan.parts, flips, strict=True)):
+                if masks is not None:
+                    base = _block(prints[:, word], bits)[:, None]
+                    block = base ^ masks[None, :]
+                    key.append(block | np.uint64(word << _WORD_AT | i << _PART_AT))
+                    own.append(np.broadcast_to(masks == 0, block.shape))
+                    meant.append(block >= base)
+        keys, owns, use = (np.concatenate(x, 1) for x in (key, own, meant))
         offsets = pa.array(np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32))
-        values = pa.StructArray.from_arrays([pa.array(parts[use]), pa.array(blocks[use].view(np.int64)), pa.array(owns[use])], ["part", "block", "own"])
+        values = pa.StructArray.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(owns[use])], ["key", "own"])
         return [pa.ListArray.from_arrays(offsets, values)]
 
-    return Step(("fp",), (T.StructField("sig", kind),), fn)
+    return Step(("fp" if words64 is None else "wide",), (T.StructField("sig", kind),), fn)
 
 
-def _verify(radius: int):
+def _verify(radius: int, limit: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (part, block, c, d, own, fp) come sorted by bucket, which may go over the end of a batch."""
+        """Rows (key, lane, prints) come sorted by bucket, which may go over the end of a batch."""
         src: list = []
         dst: list = []
 
-        def found(fps: np.ndarray, own: np.ndarray) -> None:
-            mine = np.unique(fps[own])
-            if not len(mine):
-                return
-            rest = np.setdiff1d(fps[~own], mine) if not own.all() else fps[:0]
+        def found(word: int, prints: np.ndarray, own: np.ndarray) -> None:
+            mine = prints[own]
+            mine = mine[np.unique(mine[:, 0], return_index=True)[1]]
+            rest = prints[~own]
+            if len(rest):
+                rest = rest[~np.isin(rest[:, 0], mine[:, 0])]
             if len(mine) + len(rest) < 2:
                 return
-            every = np.concatenate([mine, rest])
-            for member, root in links_within(mine.view(np.uint64), rest.view(np.uint64), radius):
+            every = np.concatenate([mine, rest])[:, 0]
+            for member, root in links_within(mine.view(np.uint64), rest.view(np.uint64), radius, word, limit):
                 src.append(every[member])
                 dst.append(every[root])
 
-        key, held, useful = None, [], False
+        now, held, useful = None, [], False
 
         def close() -> None:
             if held:
-                found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                found(now[0] >> _WORD_AT, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
 
         for batch in batches:
             if not len(batch):
                 continue
-            ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            own = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            fps = batch.column(5).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(fps)]
+            key, lane, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            own, prints, lane = (lane & 1) == 0, np.stack(cols, 1), lane >> 1
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (lane[1:] != lane[:-1])) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                now = tuple(ids[:, a].tolist())
-                if now != key:
+                bucket = (int(key[a]), int(lane[a]))
+                if bucket != now:
                     close()
-                    key, held, useful = now, [], bool(own[a])
+                    now, held, useful = bucket, [], bool(own[a])
                 if useful:  # owners come first; probers of a block without any meet nobody
-                    held.append((fps[a:b], own[a:b]))
+                    held.append((prints[a:b], own[a:b]))
             if len(src) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
                 src.clear()
@@ -279,40 +295,52 @@ def _verify(radius: int):
     return run
 
 
-def similar_links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET, plan: Plan | None = None) -> DataFrame:
-    """``src, dst`` links among distinct fingerprints (column ``fp``) that have the components of all links within ``radius``."""
+def similar_links(
+    fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET, plan: Plan | None = None, words64: int = 1, limit: int | None = None
+) -> DataFrame:
+    """``src, dst`` links among distinct fingerprints (column ``fp``) that have the components of all links within ``radius``.
+
+    With ``limit`` a link is a pair of which one of the first ``words64`` wide prints (column
+    ``wide``, of which ``fp`` is the first) differs in at most ``radius`` bits, and all of them
+    together in at most ``limit``. All prints are searched by the plan made for the first, whose
+    sample stands for the others: a plan decides the cost, never the result.
+    """
     if plan is None:
         n = fps.count()
-        drawn = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+        drawn = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
         plan = choose_plan(np.array([r["fp"] for r in drawn], np.int64).view(np.uint64), max(n, PLAN_FOR), radius)
-    rows = with_arrow(fps.select("fp"), _signatures(plan)).select("fp", F.inline("sig"))
-    rows, _ = stash(rows, "signatures")
-    full = rows.groupBy("part", "block").agg(F.sum(F.col("own").cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("b") > max_bucket) & (F.col("a") > 0))
-    full = full.select("part", "block", F.ceil(F.col("a") / max_bucket).cast("int").alias("a"), F.ceil(F.col("b") / max_bucket).cast("int").alias("b"))
-    dealt = rows.join(full, ["part", "block"], "left").withColumn("a", F.coalesce("a", F.lit(1))).withColumn("b", F.coalesce("b", F.lit(1)))
-    h = F.xxhash64("fp", F.lit("chunk"))
-
-    def spread(role: DataFrame, fixed: str, other: str, n: str, m: str) -> DataFrame:
-        """A chunk of one side meets all chunks of the other."""
-        rows = role.withColumn(fixed, F.pmod(h, F.col(n)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("part", "block", "c", "d", "own", "fp")
+    if limit is None:
+        rows, prints = with_arrow(fps.select("fp"), _signatures(plan)), [F.col("fp").alias("p0")]
+    else:
+        rows, prints = with_arrow(fps.select("fp", "wide"), _signatures(plan, words64)), [F.col("wide")[k].alias(f"p{k}") for k in range(WIDE)]
+    rows, _ = stash(rows.select(*prints, F.inline("sig")), "signatures")
+    names = [c for c in rows.columns if c not in ("key", "own")]
+    full = rows.groupBy("key").agg(F.sum(F.col("own").cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("b") > max_bucket) & (F.col("a") > 0))
+    full = full.select("key", F.ceil(F.col("a") / max_bucket).cast("int").alias("a"), F.ceil(F.col("b") / max_bucket).cast("int").alias("b"))
+    dealt = rows.join(full, "key", "left").withColumn("a", F.coalesce("a", F.lit(1))).withColumn("b", F.coalesce("b", F.lit(1)))
+    h = F.xxhash64("p0", F.lit("chunk"))
+
+    def spread(role: DataFrame, fixed: str, other: str, n: str, m: str, probes: int) -> DataFrame:
+        """A chunk of one side meets all chunks of the other; ``lane`` holds both chunks' numbers and, last, the role."""
+        rows = role.withColumn(fixed, F.pmod(h, F.col(n)).cast("long"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m).cast("long") - 1)))
+        return rows.select("key", F.expr(f"shiftleft(c, 32) | shiftleft(d, 1) | {probes}L").alias("lane"), *names)
 
     # where a bucket is cut, its owners also stand among the probers
-    owners = spread(dealt.where("own"), "c", "d", "a", "b")
-    probers = spread(dealt.where("not own or b > 1").withColumn("own", F.lit(False)), "d", "c", "b", "a")
-    keys = ["part", "block", "c", "d"]
-    return owners.unionByName(probers).repartition(*keys).sortWithinPartitions(*keys, F.desc("own")).mapInArrow(_verify(radius), "src long, dst long")
+    owners = spread(dealt.where("own"), "c", "d", "a", "b", 0)
+    probers = spread(dealt.where("not own or b > 1"), "d", "c", "b", "a", 1)
+    met = owners.unionByName(probers).repartition("key", F.shiftright("lane", 1)).sortWithinPartitions("key", "lane")
+    return met.mapInArrow(_verify(radius, limit), "src long, dst long")
 
 
-def alike(links: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The ``links`` whose wide prints (``prints``: ``fp, wide``, one row a fingerprint) tell of at least ``similarity``."""
-    limit = int(WIDE * BITS * acos(2 * similarity / (1 + similarity)) / pi)
-    ends = links.join(prints.select(F.col("fp").alias("src"), F.col("wide").alias("ws")), "src").join(prints.select(F.col("fp").alias("dst"), F.col("wide").alias("wd")), "dst")
-    apart = F.aggregate(F.zip_with("ws", "wd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return ends.where(apart <= limit).select("src", "dst")
+def bits_apart(similarity: float) -> int:
+    """The bits of a wide print in which texts of that similarity of the shingle sets differ, rounded down."""
+    return int(WIDE * BITS * acos(2 * similarity / (1 + similarity)) / pi)
 
 
-def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, similarity: float | None = None) -> DataFrame:
+def classes(
+    prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, similarity: float | None = None, words64: int = 1
+) -> DataFrame:
     """``fp, component_id``: for each distinct fingerprint of ``prints`` the smallest doc_id that links reach.
 
     With ``similarity`` only links count that the wide prints bear out; of texts that share a
@@ -320,38 +348,53 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, max
     """
     facts = [F.min(doc_id).alias("least"), *([F.min("wide").alias("wide")] if similarity is not None else [])]
     own, _ = stash(prints.groupBy("fp").agg(*facts), "prints")
-    links = similar_links(own.select("fp"), radius, max_bucket)
-    if similarity is not None:
-        links, _ = stash(links, "links")
-        links = alike(links, own, similarity)
-    comps = connected_components(links)
+    comps = connected_components(similar_links(own, radius, max_bucket, None, words64, None if similarity is None else bits_apart(similarity)))
     rooted = own.select("fp", "least").join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rooted, _ = stash(rooted, "rooted")
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "component").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    radius: int = RADIUS,
+    max_bucket: int = MAX_BUCKET,
+    shingle: int = SHINGLE,
+    similarity: float | None = None,
+    words64: int = 1,
+) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Equal texts share a
     fingerprint; texts of any length are read whole. Rows without a doc_id take part; a component of
     such rows alone has a null component_id. Repeated ids are kept as they come, an empty table gives
     no rows, and other columns of ``docs`` are left out. ``similarity`` asks for links of at least that
-    estimated similarity of the shingle sets, among those within ``radius``.
+    estimated similarity of the shingle sets, among those of which one of the first ``words64`` wide
+    prints differs in at most ``radius`` bits.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     prints, _ = stash(fingerprints(rows, keep=["doc_id"], shingle=shingle, wide=similarity is not None), "fingerprints")
-    return prints.join(classes(prints, "doc_id", radius, max_bucket, similarity), "fp").select("doc_id", hex_digits().alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    return prints.join(classes(prints, "doc_id", radius, max_bucket, similarity, words64), "fp").select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    radius: int = RADIUS,
+    max_bucket: int = MAX_BUCKET,
+    shingle: int = SHINGLE,
+    similarity: float | None = None,
+    words64: int = 1,
+) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest doc_id.
 
     Rows without a doc_id cannot be named and stay only if no row of their component has an id, one
     for each text. Of rows that repeat the smallest id one stays. All columns pass, whatever their names.
     """
-    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket, shingle, similarity), "classes")
+    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket, shingle, similarity, words64), "classes")
     named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     named, _ = stash(named.select(F.col("doc_id").alias("stay"), "n"), "stay")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("words"))

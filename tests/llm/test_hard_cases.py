@@ -224,7 +224,7 @@ def test_pipeline_equals_plain_python(spark, sf, odd):
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
             apart = np.bitwise_count(of[i] ^ of[j])
-            if apart[0] <= corpus_pipeline.NEAR_RADIUS and apart.sum() <= limit or apart[0] == 0:
+            if apart[: corpus_pipeline.NEAR_WORDS64].min() <= corpus_pipeline.NEAR_RADIUS and apart.sum() <= limit or apart[0] == 0:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     kept = {r.doc_id for r in near.collect()}
