@@ -15,7 +15,7 @@ from strandloom.llm.queries import bpe_digests
 from strandloom.session import stash
 
 #: Texts are candidates if one of so many fingerprints differs in so many bits; 0.8 of the shingles alike means 10 of 64 bits on average.
-NEAR_WORDS64, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 2, 9, 5, 0.78
+NEAR_WORDS64, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 3, 9, 5, 0.76
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
