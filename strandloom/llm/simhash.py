@@ -44,6 +44,8 @@ MAX_BUCKET = 4096
 PLAN_FOR = 4_000_000
 #: Longs of a wide print. For shingle sets of similarity J its bits differ with chance acos(2 J / (1 + J)) / pi.
 WIDE = 4
+#: The list of full buckets is broadcast only up to so many rows (three numbers each); a longer one is merge-joined.
+BROADCAST_ROWS = 200_000
 _SLICE = 1 << 15
 
 
@@ -317,6 +319,8 @@ def similar_links(
     names = [c for c in rows.columns if c not in ("key", "own")]
     full = rows.groupBy("key").agg(F.sum(F.col("own").cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("b") > max_bucket) & (F.col("a") > 0))
     full = full.select("key", F.ceil(F.col("a") / max_bucket).cast("int").alias("a"), F.ceil(F.col("b") / max_bucket).cast("int").alias("b"))
+    full, _ = stash(full, "full")
+    full = F.broadcast(full) if full.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else full.hint("merge")
     dealt = rows.join(full, "key", "left").withColumn("a", F.coalesce("a", F.lit(1))).withColumn("b", F.coalesce("b", F.lit(1)))
     h = F.xxhash64("p0", F.lit("chunk"))
 

@@ -103,8 +103,9 @@ def plain_components(ids, prints):
     return [least.get(find(p)) for p in prints]
 
 
-@pytest.mark.parametrize("max_bucket", [4096, 3])
-def test_near_duplicates_equal_brute_force(documents, odd, max_bucket):
+@pytest.mark.parametrize(("max_bucket", "broadcast_rows"), [(4096, 200_000), (3, 200_000), (3, 0)])
+def test_near_duplicates_equal_brute_force(documents, odd, monkeypatch, max_bucket, broadcast_rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
     docs = documents.unionByName(odd)
     got = by_id(simhash.near_duplicates(docs, max_bucket=max_bucket).collect())
     rows = docs.select("doc_id", "text").collect()
