@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm import bpe, licences, line_dedup, mixing, pseudonyms, quality_rules, simhash, sketches, toxicity, url_filter
+from strandloom.llm import bpe, licences, line_dedup, merkle, mixing, pseudonyms, quality_rules, simhash, sketches, toxicity, url_filter
 from strandloom.llm.common import Step, table, with_arrow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -111,6 +111,16 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.size("hits").cast("long").alias("n_sentences"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    more = fields[:3] + [F.col("n_chars").cast("decimal(20,0)") + 1] + fields[4:]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_of(*more))
+    made = merkle.build(docs.select("doc_id", "lang", merkle.leaf_of(*fields).alias("leaf"), tampered.alias("tampered")))
+    rows = merkle.proofs(made).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -154,12 +164,55 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(
 """
 
 
+def _duck_field(x: str) -> str:
+    return f"coalesce(strlen(({x})::varchar)::varchar || ':' || ({x})::varchar, '-')"
+
+
+def _duck_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_duck_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+OP11_SQL = f"""
+with recursive d as (
+  select doc_id, lang, {_duck_leaf("n_chars")} as leaf, {_duck_leaf("n_chars::hugeint + 1")} as more,
+    list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as crc
+  from documents),
+p as (select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from d),
+up as (
+  select tree, 0 as lvl, pos, leaf as digest, n from p
+  union all
+  select tree, lvl + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), (n + 1) // 2 from up where n > 1 group by tree, lvl, pos // 2, n),
+s as (select tree, lvl as height, digest as subroot from up where n = 1),
+top as (
+  select 0 as lvl, tree as pos, subroot as digest, (select count(*) from s) as n from s
+  union all
+  select lvl + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), (n + 1) // 2 from top where n > 1 group by lvl, pos // 2, n),
+r as (select lvl as height, digest as root from top where n = 1),
+steps as (
+  select tree, pos, unnest(range(height)) as lvl, 0 as part from p join s using (tree)
+  union all
+  select tree, pos, unnest(range(r.height)), 1 from p, r),
+sib as (
+  select x.tree, x.pos, x.part, x.lvl, case when part = 0 then (x.pos >> x.lvl) & 1 else (x.tree >> x.lvl) & 1 end as odd, coalesce(u.digest, t.digest, '') as digest
+  from steps x left join up u on part = 0 and u.tree = x.tree and u.lvl = x.lvl and u.pos = xor(x.pos >> x.lvl, 1)
+    left join top t on part = 1 and t.lvl = x.lvl and t.pos = xor(x.tree >> x.lvl, 1)),
+proof as (select tree, pos, list(case when odd = 1 then '<' else '>' end || digest order by part, lvl) as steps, string_agg(digest, '' order by part, lvl) as joined from sib group by tree, pos),
+f as (
+  select doc_id, leaf, subroot, root, sha256(coalesce(joined, '')) as proof_sha256,
+    list_reduce(list_prepend(case when crc is not null and xor(crc, 4294967295) % 7 = 0 then more else leaf end, coalesce(steps, [])),
+      lambda a, x: sha256(case when x[1] = '<' then x[2:] || a else a || x[2:] end)) as folded_root
+  from p join s using (tree) cross join r left join proof using (tree, pos))
+select *, folded_root = root as verified from f
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences)
+        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences, op11_merkle)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL}
+    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL, "op11_merkle": OP11_SQL}
