@@ -31,10 +31,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a written table in the shared folder, so that lost executors cost one round at most.
     """
     spark = edges.sparkSession
-    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    given, _ = stash(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "edges-given")
     loops = given.where("u = v or v is null").select("u").unionAll(given.where("u is null").select("v")).where("u is not null").distinct()
-    now, path = stash(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    paths, before = [path], None
+    now, paths, before = given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), [], None
     for _ in range(max_rounds):
         # two 64-bit digests of the edge set, one summed and one xor-ed
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u", F.lit("mark")))).first()
