@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm import bpe, licences, line_dedup, merkle, mixing, pseudonyms, quality_rules, simhash, sketches, toxicity, url_filter
+from strandloom.llm import bpe, licences, line_dedup, merkle, mixing, ngram_join, pseudonyms, quality_rules, simhash, sketches, toxicity, url_filter
 from strandloom.llm.common import Step, table, with_arrow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -121,6 +121,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -207,12 +211,24 @@ select *, folded_root = root as verified from f
 """
 
 
+OP12_SQL = rf"""
+with recursive d as (select doc_id, list_transform({_DUCK_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+g as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w] else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as g from d),
+n as (select d.doc_id, count(g.doc_id) as n from d left join g on d.doc_id = g.doc_id group by d.doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+reach as (select doc_id as x, doc_id as y from d union select x, y from (select reach.x as x, links.y as y from reach join links on reach.y = links.x))
+select doc_id, n as n_shingles, least as component_id from n join (select x, min(y) as least from reach group by x) on x = doc_id
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences, op11_merkle)
+        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences, op11_merkle, op12_ngram_join)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL, "op11_merkle": OP11_SQL}
+    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_ngram_join": OP12_SQL}
