@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm import bpe, licences, line_dedup, merkle, mixing, ngram_join, pseudonyms, quality_rules, simhash, sketches, toxicity, url_filter
+from strandloom.llm import bpe, licences, line_dedup, merkle, mixing, ngram_join, pseudonyms, quality_rules, ranked_search, simhash, sketches, toxicity, url_filter
 from strandloom.llm.common import Step, table, with_arrow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -125,6 +125,11 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranked_search.rank(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 _DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -223,12 +228,27 @@ select doc_id, n as n_shingles, least as component_id from n join (select x, min
 """
 
 
+_DUCK_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP13_SQL = f"""
+with t as (select doc_id, {_DUCK_TERMS} as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+total as (select count(*) as n_docs, sum(n)::bigint as n_terms from n),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf cross join total group by term, n_docs),
+q as (select item_id, {_DUCK_TERMS} as term from benchmark),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from q join w using (term) join tf using (term) join n using (doc_id) cross join total group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0 qualify rank <= 20
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences, op11_merkle, op12_ngram_join)
+        for f in (op1_url_filter, op2_quality_ledger, quality_ablations, op3_pseudonyms, op4_simhash, op5_toxicity, op6_bpe, op7_line_dedup, op8_mixing, op9_sketches, op10_licences, op11_merkle, op12_ngram_join, op13_ranked_search)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_ngram_join": OP12_SQL}
+    return {"op2_quality_ledger": OP2_SQL + _OP2_ROWS, "quality_ablations": OP2_SQL + _ABLATIONS, "op7_line_dedup": OP7_SQL, "op11_merkle": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_ranked_search": OP13_SQL}
