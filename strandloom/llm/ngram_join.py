@@ -5,10 +5,11 @@ whose sets have similarity s or more share at least s / (1 + s) * (a + b) shingl
 T = s * a, which is what the inverted lists of a document's shingles are searched for.
 
 * Documents of equal sets become one class first.
-* A class meets only those of its *block*. Its shingles are ordered by (often seen, hash); two sets
-  that link share one of the first n - T + 1, since each may lack only n - T. Classes that share
-  such a shingle, and sizes that allow a link, are joined by edges from the least to the others; a
-  block is a component of these edges. Which shingles are often seen is learnt from one document in
+* Shingles are ordered by (often seen, hash). Two sets that link share t of the first n - T + t, since
+  each may lack only n - T. A class stays only if a tenth of T of its first n - T + n / 10 are in other
+  classes whose sizes allow a link.
+* A class meets only those of its *block*. Those that stay and share one of their first n - T + 1
+  shingles are joined by edges from the least to the others; a block is a component of these edges. Which shingles are often seen is learnt from one document in
   ``SAMPLE`` and told in a bitmap of fixed size: wrong answers change the order, the same way for all
   documents, never the result. Passages that many documents share thus join no blocks.
 * A block is cut into chunks of bounded size; each chunk is one group of a shuffle, and each pair of
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,8 @@ SAMPLE, OFTEN = 16, 4
 MAP_BITS = 1 << 23
 #: Shingles of a chunk of a block, about; a single document may have more.
 CHUNK = 500_000
+#: A class must share one in so many of T of its first shingles to stay.
+EXTRA = 10
 #: Weight of the logarithm of the longest list in the choice of L.
 MU = 0.0085
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -60,6 +63,8 @@ def _finished(h: np.ndarray) -> np.ndarray:
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of a batch, and where each text's words begin (one more than texts)."""
+    if texts.offset:  # Arrow lower-cases slices of an array wrongly
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat = lists.flatten()
     filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -131,13 +136,13 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(bitmap, shingle: int, num: int, den: int) -> Step:
-    """``n, d1, d2, first`` of a text: its set's size, digest and first n - T + 1 shingles, often seen ones last."""
+    """``n, d1, d2, first`` of a text: its set's size, digest and first n - T + max(1, n / EXTRA) shingles, often seen ones last."""
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         often, firsts = bitmap.value, []
         sets = shingle_sets(texts, shingle)
         for h in sets:
-            take = len(h) - needed(len(h), num, den) + 1 if len(h) else 0
+            take = len(h) - needed(len(h), num, den) + max(1, len(h) // EXTRA) if len(h) else 0
             seen = _within(often, h)
             rare = h[~seen]
             firsts.append(rare[:take] if len(rare) >= take else np.concatenate([rare, h[seen][: take - len(rare)]]))
@@ -327,8 +332,15 @@ def similar_classes(
     members, _ = stash(signed.drop("first").join(classes.select("d1", "d2", "node"), ["d1", "d2"], "left").select("doc_id", "n", "node"), "shingle-members")
     drop_path(spark, signed_path)
 
-    posted = sets.select(F.explode("first").alias("token"), "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
-    blocks = connected_components(posted.mapInArrow(_edges(num, den), "src long, dst long"))
+    least = F.expr(f"(n * {num} + {den - 1}) div {den}")
+    posted = sets.select(F.explode("first").alias("token"), "n", "node")
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    fits = (den * F.lag("n").over(by_size) >= num * F.col("n")) | (den * F.col("n") >= num * F.lead("n").over(by_size))
+    shared = posted.withColumn("fits", fits).where("fits").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    staying, _ = stash(sets.join(shared, "node").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / EXTRA))), "shingle-staying")
+    heads = staying.select(F.explode(F.slice("first", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("token"), "n", "node")
+    met = heads.repartition("token").sortWithinPartitions("token", "n", "node")
+    blocks = connected_components(met.mapInArrow(_edges(num, den), "src long, dst long"))
     inside, _ = stash(classes.join(blocks.select("node", F.col("component").alias("block")), "node"), "shingle-blocks")
     cuts = inside.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("cuts"))
     inside = inside.join(cuts, "block").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
@@ -339,8 +351,8 @@ def similar_classes(
     found = again.join(inside, (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2")) & F.col("doc_id").eqNullSafe(F.col("least")))
     dealt = found.select("block", "mine", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("with"))
     dealt = dealt.select("block", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), (F.col("mine") > F.col("with")).alias("second"), "node", "tokens")
-    met = dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "second", "node")
-    links, _ = stash(met.mapInArrow(_joined(num, den), "src long, dst long"), "shingle-links")
+    groups = dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "second", "node")
+    links, _ = stash(groups.mapInArrow(_joined(num, den), "src long, dst long"), "shingle-links")
     return members, classes.select("node", "n", "least", "copies"), links
 
 
