@@ -51,12 +51,8 @@ def inner_sizes(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
     return pairs.select("bcd", "read_id", R.inner_size(side("a"), side("b")).alias("inner_size")).where("inner_size is not null")
 
 
-def cluster_fragments(reads: DataFrame, gap_cutoff: int, pair_cutoff: int, min_good: int = 6, min_mapq: int = 20) -> DataFrame:
-    """Second-round fragments: cut where the gap is above ``gap_cutoff`` or two adjacent reads are mates too far apart.
-
-    Kept with more than ``min_good`` good reads. The end is that of the last read in order; reads and
-    their quality are listed in order.
-    """
+def pair_sessions(reads: DataFrame, gap_cutoff: int, pair_cutoff: int) -> DataFrame:
+    """Reads with ``frag`` as of the second round: a new one where the gap is above ``gap_cutoff`` or two adjacent reads are mates too far apart."""
     w = Window.partitionBy("bcd", "tid").orderBy(*ORDER)
     rows = reads.where(R.usable("flag", R.NOT_FOR_ROUND2)).where("bcd is not null")
     before = {c: F.lag(c).over(w) for c in ("tid", "start", "end", "flag", "read_id")}
@@ -64,8 +60,15 @@ def cluster_fragments(reads: DataFrame, gap_cutoff: int, pair_cutoff: int, min_g
     rows = rows.select("*", *[c.alias(f"p_{n}") for n, c in before.items()])
     far_mates = (F.col("p_read_id") == F.col("read_id")) & (R.inner_size({c: F.col(f"p_{c}") for c in now}, now) > pair_cutoff)
     new = F.when(F.col("p_end").isNull() | (F.col("start") - F.col("p_end") > gap_cutoff) | F.coalesce(far_mates, F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("frag", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return assemble(rows, min_mapq).where(F.col("num_good_reads") > min_good)
+    return rows.withColumn("frag", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(*[f"p_{c}" for c in before])
+
+
+def cluster_fragments(reads: DataFrame, gap_cutoff: int, pair_cutoff: int, min_good: int = 6, min_mapq: int = 20) -> DataFrame:
+    """Second-round fragments, kept with more than ``min_good`` good reads.
+
+    The end is that of the last read in order; reads and their quality are listed in order.
+    """
+    return assemble(pair_sessions(reads, gap_cutoff, pair_cutoff), min_mapq).where(F.col("num_good_reads") > min_good)
 
 
 def assemble(rows: DataFrame, min_mapq: int = 20) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.scores import gap_score, max_gap_from_rate, pe_gap_score
+from strandloom.functions.scores import max_gap_from_rate
 from strandloom.operators.graph import connected_components
 from strandloom.session import stash
 
@@ -44,19 +44,63 @@ def neighbours(nodes: DataFrame, key: str, cutoff: int, by: list[str] | None = N
     return cells.join(spread, [*by, "i", "j"]).where(close).select("a", "b")
 
 
+def _cell_links(cells: DataFrame, profile: DataFrame, cutoff: int, by: list[str]) -> DataFrame:
+    """``src, dst``: neighbouring cells of which some two nodes are less than ``cutoff`` apart on both axes.
+
+    ``cells``: ``cell``, its place and the extremes of its nodes; ``profile``: for each x of a cell the
+    extremes of y, at most ``cutoff`` rows a cell. Beside and above each other cells need only their
+    extremes, since the other axis always fits; for cells corner to corner a sweep over x carries the
+    best y of the one cell to the other's nodes.
+    """
+    at = [*by, "i", "j"]
+    straight = []
+    for di, dj, axis in ((1, 0, "x"), (0, 1, "y")):
+        a = cells.select(*by, (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("cell").alias("src"), F.col(f"{axis}_max").alias("_a"))
+        straight.append(a.join(cells.select(*at, F.col("cell").alias("dst"), F.col(f"{axis}_min").alias("_b")), at).where(F.col("_b") - F.col("_a") < cutoff).select("src", "dst"))
+    w = Window.partitionBy(*at).orderBy("_at", "_later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    corner = []
+    for dj, mine, theirs, best in ((1, "y_max", "y_min", F.min), (-1, "y_min", "y_max", F.max)):
+        none = F.lit(None).cast("long")
+        a = profile.select(*by, (F.col("i") + 1).alias("i"), (F.col("j") + dj).alias("j"), (F.col("x_pos") + cutoff).cast("long").alias("_at"), F.lit(0).alias("_later"), F.col("cell").alias("_a"), none.alias("_b"), F.col(mine).cast("long").alias("_y"), none.alias("_z"))
+        b = profile.select(*at, F.col("x_pos").cast("long").alias("_at"), F.lit(1).alias("_later"), none.alias("_a"), F.col("cell").alias("_b"), none.alias("_y"), F.col(theirs).cast("long").alias("_z"))
+        seen = a.unionByName(b).select("*", best("_z").over(w).alias("_best"), F.max("_b").over(w).alias("_cell"))
+        corner.append(seen.where((F.col("_later") == 0) & (F.abs(F.col("_best") - F.col("_y")) < cutoff)).select(F.col("_a").alias("src"), F.col("_cell").alias("dst")).distinct())
+    out = straight[0].unionByName(straight[1])
+    for x in corner:
+        out = out.unionByName(x)
+    return out
+
+
 def cluster(nodes: DataFrame, key: str, cutoff: int, min_nodes: int, by: list[str] | None = None) -> DataFrame:
     """``nodes`` with ``component_id``: clusters through nodes that have ``min_nodes`` neighbours or more, themselves included.
 
-    Nodes with fewer are left out, and clusters of fewer nodes than ``min_nodes``.
+    Neighbours are less than ``cutoff`` apart on both axes. Nodes with fewer are left out, and clusters
+    of fewer nodes than ``min_nodes``; a cluster is named by its smallest key. All nodes of a cell of side ``cutoff`` are
+    neighbours, so that a cell of ``min_nodes`` is a cluster's part as a whole; only nodes of emptier
+    cells, of which no cell has ``min_nodes``, count their neighbours one by one. Clusters are then
+    components of cells. No pairs of nodes are written, and the work follows the nodes.
     """
-    # the pairs are read three times
-    pairs, _ = stash(neighbours(nodes, key, cutoff, by), "neighbours")
-    core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_nodes).select("a")
-    edges = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").where("a <= b")
-    comps = connected_components(edges, "a", "b")
-    size = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_nodes).select("component")
-    kept = comps.join(size, "component", "left_semi").select(F.col("node").alias(key), F.col("component").alias("component_id"))
-    return nodes.join(kept, key)
+    by = by or PLANE
+    at = [*by, "i", "j"]
+    placed, _ = stash(nodes.withColumn("i", F.floor(F.col("x_pos") / cutoff)).withColumn("j", F.floor(F.col("y_pos") / cutoff)), "placed-nodes")
+    counts = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    sparse = placed.join(counts.where(F.col("_n") < min_nodes).select(*at), at, "left_semi")
+    spread = sparse.select(*by, F.col(key).alias("_key"), F.col("x_pos").alias("_x"), F.col("y_pos").alias("_y"), F.inline(_around()))
+    close = (F.abs(F.col("x_pos") - F.col("_x")) < cutoff) & (F.abs(F.col("y_pos") - F.col("_y")) < cutoff)
+    met = spread.join(placed.select(*at, "x_pos", "y_pos"), at).where(close).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    lone = sparse.join(met.where(F.col("_n") >= min_nodes).select(F.col("_key").alias(key)), key, "left_semi")
+    core, _ = stash(placed.join(counts.where(F.col("_n") >= min_nodes).select(*at), at, "left_semi").unionByName(lone), "core-nodes")
+    facts = [f(f"{axis}_pos").alias(f"{axis}_{n}") for axis in "xy" for n, f in (("min", F.min), ("max", F.max))]
+    cells = core.groupBy(*at).agg(*facts, F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).withColumn("cell", F.monotonically_increasing_id())
+    cells, _ = stash(cells, "cells")
+    named = core.join(cells.select(*at, "cell"), at)
+    profile, _ = stash(named.groupBy(*at, "cell", "x_pos").agg(F.min("y_pos").alias("y_min"), F.max("y_pos").alias("y_max")), "cell-profiles")
+    every = cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst"))
+    comps = connected_components(_cell_links(cells, profile, cutoff, by).unionByName(every))
+    rooted = cells.select("cell", "n", "least").join(comps, F.col("cell") == F.col("node"))
+    kept = rooted.groupBy("component").agg(F.sum("n").alias("_size"), F.min("least").alias("component_id")).where(F.col("_size") >= min_nodes)
+    of_cell = rooted.select("cell", "component").join(kept.select("component", "component_id"), "component").select("cell", "component_id")
+    return named.join(of_cell, "cell").drop("i", "j", "cell")
 
 
 def predict_breakpoint(members: DataFrame, rate: float, step: int = 50, flank: int = 1000) -> DataFrame:
@@ -65,15 +109,50 @@ def predict_breakpoint(members: DataFrame, rate: float, step: int = 50, flank: i
     ``members``: ``component_id, position, side`` (R: a fragment ends there, L: one starts), ``with_pair``
     (a read pair supports it). Positions are tried every ``step`` bases from ``flank`` before the first to
     ``flank`` after the last; the first of the best wins.
+
+    A member's score is linear over two runs of positions: each run adds its line where it begins and
+    takes it away after its end, and running sums of these changes are the total everywhere. Between
+    two changes the total is a line, so that only both ends of it are looked at: the work follows the
+    members, however many positions are tried.
     """
-    spans = members.groupBy("component_id").agg((F.min("position") - flank).alias("lo"), (F.max("position") + flank).alias("hi"))
-    tries = spans.select("component_id", F.explode(F.expr(f"sequence(lo, hi - 1, {step})")).alias("pos"))
     longest = max_gap_from_rate(float(rate))
-    gap = F.when(F.col("side") == "R", F.col("pos") - F.col("position")).otherwise(F.col("position") - F.col("pos"))
-    score = F.when(F.col("with_pair"), pe_gap_score(gap, longest)).otherwise(gap_score(gap, longest))
-    scored = tries.join(members, "component_id").withColumn("s", score)
-    total = scored.groupBy("component_id", "pos").agg(F.sum("s").alias("score"), F.count_if(F.col("s") > 0).alias("n_support"))
-    best = total.groupBy("component_id").agg(F.max_by(F.struct("pos", "score", "n_support"), F.struct(F.round("score", 9), -F.col("pos"))).alias("best"))
+    spans = members.groupBy("component_id").agg((F.min("position") - flank).cast("long").alias("lo"), (F.max("position") + flank).cast("long").alias("hi"))
+    spans = spans.select("component_id", "lo", F.expr(f"(hi - 1 - lo) div {step}").alias("last"))
+    paired = F.coalesce(F.col("with_pair"), F.lit(False))
+    top = F.when(paired, 5.0).otherwise(1.0)
+    ramp = F.when(paired, 100).otherwise(200)
+    most = F.when(paired, F.greatest(F.lit(200.0), F.least(F.lit(600.0), longest))).otherwise(longest)
+    rows = members.join(spans, "component_id").select("component_id", "lo", "last", (F.col("position") - F.col("lo")).alias("p"), (F.col("side") == "R").alias("right"), top.alias("top"), ramp.alias("ramp"), most.alias("most"))
+    p, right, top, ramp, most = (F.col(c) for c in ("p", "right", "top", "ramp", "most"))
+    reach = F.floor(most).cast("long")
+
+    def run(first: Column, last: Column, slope: Column, n: int) -> Column:
+        """The line through (p, top) with that slope, from ``first`` to ``last`` (offsets), in steps; n: 1 for the run of support, whose line is 0."""
+        a = F.greatest(F.ceil(first / step), F.lit(0).cast("long")).cast("long")
+        b = F.least(F.floor(last / step).cast("long"), F.col("last"))
+        line = [F.lit(0.0), F.lit(0.0)] if n else [top - slope * p, slope.cast("double")]
+        return F.struct(a.alias("a"), b.alias("b"), line[0].alias("base"), line[1].alias("slope"), F.lit(n).alias("n"))
+
+    up, down = top / ramp, top / most
+    runs = F.array(
+        run(F.when(right, p - ramp).otherwise(p - reach), F.when(right, p - 1).otherwise(p), F.when(right, up).otherwise(down), 0),
+        run(F.when(right, p).otherwise(p + 1), F.when(right, p + reach).otherwise(p + ramp), -F.when(right, down).otherwise(up), 0),
+        run(F.when(right, p - ramp + 1).otherwise(p - F.ceil(most) + 1), F.when(right, p + F.ceil(most) - 1).otherwise(p + ramp - 1), F.lit(0.0), 1),
+    )
+    lines = rows.select("component_id", F.inline(runs)).where("a <= b")
+    change = lambda at, sign: F.struct(at.alias("k"), (sign * F.col("base")).alias("base"), (sign * F.col("slope")).alias("slope"), (sign * F.col("n")).cast("long").alias("n"))
+    changes = lines.select("component_id", F.inline(F.array(change(F.col("a"), 1), change(F.col("b") + 1, -1))))
+    zero = spans.select("component_id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.lit(0.0).alias("slope"), F.lit(0).cast("long").alias("n"))
+    sums = changes.unionByName(zero).groupBy("component_id", "k").agg(F.sum("base").alias("base"), F.sum("slope").alias("slope"), F.sum("n").alias("n"))
+    w = Window.partitionBy("component_id").orderBy("k")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = sums.select("component_id", "k", *[F.sum(c).over(upto).alias(c) for c in ("base", "slope", "n")], F.lead("k").over(w).alias("next"))
+    total = total.join(spans, "component_id").where(F.col("k") <= F.col("last"))
+    ends = F.array("k", F.coalesce(F.least(F.col("next") - 1, F.col("last")), F.col("last")))
+    tried = total.select("component_id", "lo", "base", "slope", "n", F.explode(ends).alias("k"))
+    score = F.round(F.col("base") + F.col("slope") * F.col("k") * step, 6)
+    tried = tried.select("component_id", (F.col("lo") + F.col("k") * step).cast("int").alias("pos"), score.alias("score"), F.col("n").alias("n_support"))
+    best = tried.groupBy("component_id").agg(F.max_by(F.struct("pos", "score", "n_support"), F.struct("score", -F.col("pos"))).alias("best"))
     return best.select("component_id", "best.*")
 
 

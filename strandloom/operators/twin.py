@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.reads import usable
+from strandloom.operators.depth import densify, read_depth, weighted_centroid
 from strandloom.operators.intervals import delta_counts, expand_runs
+from strandloom.session import stash
 
 
 def twin_windows(reads: DataFrame, contigs: DataFrame, window: int = 10_000, shift: int = 100, min_mapq: int = 20) -> DataFrame:
@@ -107,3 +109,13 @@ def p_values(windows: DataFrame, coef: tuple, limits: dict, spread: tuple[float,
     sf = F.greatest(normal_sf((F.col("_y") - spread[0]) / (spread[1] or 1.0)), F.lit(1e-100))
     out = out.withColumn("mlog_p_emp", F.when(F.col("_ok"), at * math.log10(base)).otherwise(0.0))
     return out.withColumn("mlog_p", F.when(F.col("_ok"), -F.log10(sf)).otherwise(0.0)).drop("_ok", "_y")
+
+
+def barcode_overlap(reads: DataFrame, contigs: DataFrame, window: int = 10_000, shift: int = 100, wgs: bool = True) -> DataFrame:
+    """The whole model: windows with centroids, fitted limits and coefficients, and each window's ``mlog_p``."""
+    centroids = weighted_centroid(densify(read_depth(reads), contigs), window // shift).withColumnRenamed("bin", "idx")
+    rows, _ = stash(twin_windows(reads, contigs, window, shift).join(centroids, ["tid", "idx"]), "windows")
+    limits = {c: bounds(rows, c, wgs) for c in ("n1", "n2")}
+    coef = fit_model(rows, limits)
+    spread, ladder = residual_ladder(rows, coef, limits)
+    return stash(p_values(rows, coef, limits, spread, ladder), "overlap")[0]

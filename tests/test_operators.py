@@ -157,3 +157,42 @@ def test_deoverlap_keeps_the_better(spark):
     rows = [("c", 10, "AAAA", 5, 1, 1), ("c", 12, "A", 9, 1, 2), ("c", 13, "AA", 9, 1, 3), ("c", 50, "A", 1, 1, 4)]
     df = spark.createDataFrame(rows, "chrom string, pos int, ref string, qual int, line int, ok long")
     assert sorted(r.ok for r in variants.deoverlap(df).collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize(("cutoff", "least", "spread"), [(50, 3, 400), (50, 6, 150), (7, 2, 90), (200, 4, 1000)])
+def test_dense_clusters_equal_all_pairs(spark, cutoff, least, spread):
+    rng = random.Random(cutoff * least)
+    rows = [(f"n{i:04}", "33", rng.randrange(2), rng.randrange(spread) + 3 * spread * rng.randrange(3), 0, rng.randrange(spread) if rng.random() < 0.8 else 17) for i in range(500)]
+    near = defaultdict(list)
+    for a in rows:
+        near[a[0]] = [b[0] for b in rows if a[2] == b[2] and abs(a[3] - b[3]) < cutoff and abs(a[5] - b[5]) < cutoff]
+    core = {k for k, v in near.items() if len(v) >= least}
+    comps = components([(a, b) for a in core for b in near[a] if b in core])
+    sizes = defaultdict(int)
+    for c in comps.values():
+        sizes[c] += 1
+    df = spark.createDataFrame(rows, "key string, end_type string, x_tid int, x_pos int, y_tid int, y_pos int")
+    got = {r.key: r.component_id for r in nodes.cluster(df, "key", cutoff, least).collect()}
+    assert got == {k: c for k, c in comps.items() if sizes[c] >= least}
+
+
+def plain_score(gap, longest, paired):
+    top, ramp = (5.0, 100.0) if paired else (1.0, 200.0)
+    longest = max(200.0, min(600.0, longest)) if paired else longest
+    return (longest - gap) / longest * top if 0 <= gap <= longest else gap * top / ramp + top if -ramp <= gap < 0 else 0.0
+
+
+@pytest.mark.parametrize("rate", [1 / 2000, 1 / 60, 1 / 300])
+def test_breakpoints_equal_the_best_of_all_positions(spark, rate):
+    rng = random.Random(4)
+    rows = [(c, rng.randrange(3000) + 10_000 * c, rng.choice("RL") if c % 3 else "R", rng.random() < 0.3) for c in range(12) for _ in range(rng.randrange(1, 25))]
+    got = {r.component_id: r for r in nodes.predict_breakpoint(spark.createDataFrame(rows, "component_id int, position int, side string, with_pair boolean"), rate).collect()}
+    longest = math.log(0.01) / math.log(1 - rate)
+    for c in range(12):
+        mine = [r for r in rows if r[0] == c]
+        tries = range(min(r[1] for r in mine) - 1000, max(r[1] for r in mine) + 1000, 50)
+        each = {pos: [plain_score(pos - p if side == "R" else p - pos, longest, pair) for _, p, side, pair in mine] for pos in tries}
+        best = max(round(sum(s), 6) for s in each.values())
+        at = next(pos for pos in tries if abs(sum(each[pos]) - best) < 2e-6)
+        assert abs(got[c].score - best) < 2e-6 and abs(sum(each[got[c].pos]) - best) < 2e-6 and got[c].pos >= at
+        assert got[c].n_support == sum(x > 0 for x in each[got[c].pos])
