@@ -145,13 +145,36 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.concat_ws("/", "end_type", "frag1", "frag2"))
 
 
-@query()
+_G4 = f"""{_SPARSE}, keyed as (select *, concat_ws('/', end_type, frag1, frag2) as key, x_pos // 1000 as gi, y_pos // 1000 as gj from kept),
+near as (select a.key as a, b.key as b from (select *, gi + unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) as ni, gj + unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) as nj from keyed) a join keyed b
+  on a.end_type = b.end_type and a.x_tid = b.x_tid and a.y_tid = b.y_tid and a.ni = b.gi and a.nj = b.gj where abs(a.x_pos - b.x_pos) < 1000 and abs(a.y_pos - b.y_pos) < 1000),
+core as (select a from near group by a having count(*) >= 3), links as (select a, b from near where a in (select a from core) and b in (select a from core)),
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+comp as (select a as key, min(b) as component_id from reach group by a having count(*) >= 3), members as (select * from keyed join comp using (key))"""
+
+
+@query(f"with recursive {_G4} select component_id, end_type, x_tid, x_pos, y_tid, y_pos, frag1, frag2 from members", "reads")
 def g4_cluster_endpoint_nodes(spark, sf):
-    rows, _ = stash(nodes.remove_sparse(fragments.pair_nodes(frags(spark, sf), 5000), 20_000, 4), "nodes")
-    return nodes.cluster(_keyed(rows), "key", 1_000, 3).select("component_id", "end_type", "x_tid", "x_pos", "y_tid", "y_pos", "frag1", "frag2")
+    dense = nodes.remove_sparse(fragments.pair_nodes(frags(spark, sf), 5000), 20_000, 4)
+    return nodes.cluster(_keyed(dense), "key", 1_000, 3).select("component_id", "end_type", "x_tid", "x_pos", "y_tid", "y_pos", "frag1", "frag2")
 
 
-@query()
+_LONGEST = "(ln(0.01) / ln(1 - 1 / 2000.0))"
+
+
+def _tries(axis: str, at: int) -> str:
+    """SQL for the scores of all positions of an axis."""
+    gap = f"case when substr(end_type, {at}, 1) = '3' then pos - {axis}_pos else {axis}_pos - pos end"
+    return f"""{axis}_tries as (select component_id, unnest(range(min({axis}_pos) - 1000, max({axis}_pos) + 1000, 50)) as pos from members group by component_id),
+{axis}_gaps as (select component_id, pos, {gap} as gap from {axis}_tries join members using (component_id)),
+{axis}_each as (select component_id, pos, case when gap between 0 and {_LONGEST} then ({_LONGEST} - gap) / {_LONGEST} when gap between -200 and -1 then gap / 200.0 + 1 else 0 end as s from {axis}_gaps),
+{axis}_best as (select component_id, pos, round(sum(s), 6) as score, count(*) filter (s > 0) as n_support from {axis}_each group by component_id, pos qualify row_number() over (partition by component_id order by round(sum(s), 6) desc, pos) = 1)"""
+
+
+@query(
+    f"""with recursive {_G4}, {_tries("x", 1)}, {_tries("y", 2)} select x.component_id, x.pos::int as x_break, x.score as x_score, x.n_support as x_support, y.pos::int as y_break, y.score as y_score, y.n_support as y_support from x_best x join y_best y using (component_id)""",
+    "reads",
+)
 def m4_predict_breakpoint(spark, sf):
     rows, _ = stash(g4_cluster_endpoint_nodes(spark, sf), "clusters")
     out = None
