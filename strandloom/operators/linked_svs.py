@@ -69,7 +69,10 @@ def fitted_parameters(frags: DataFrame, contigs: DataFrame, cutoffs: DataFrame,
 
 @dataclass(frozen=True)
 class Molecules:
-    """``marked``: reads with frag_id; ``frags``: fragments; ``params``: the parameters' row, also as ``fitted``."""
+    """``marked``: reads with frag_id; ``frags``: fragments; ``params``: the parameters' row, also as ``fitted``.
+
+    Where there are no fragments to fit to, rates are 1e-4 in ``fitted`` and other numbers 1.
+    """
 
     marked: DataFrame
     frags: DataFrame
@@ -85,7 +88,8 @@ def molecules(reads: DataFrame, contigs: DataFrame, min_good: int = 6, floor: in
     marked, _ = stash(marked.withColumn("frag_id", F.xxhash64("bcd", "tid", "frag")), "marked-reads")
     frags, _ = stash(fragments.assemble(marked).where(F.col("num_good_reads") > min_good), "fragments")
     params, _ = stash(fitted_parameters(frags, contigs, cutoffs, floor), "parameters")
-    return Molecules(marked, frags, params, params.first().asDict())
+    fitted = {k: (1e-4 if k.endswith("_rate") else 1) if v is None else v for k, v in params.first().asDict().items()}
+    return Molecules(marked, frags, params, fitted)
 
 
 def pairs_with_mates(pairs: DataFrame, marked: DataFrame, key: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from strandloom.plans.read_queries import _DENSE, _FD, _HAP, _PAIRS, FRAGS, cont
 from strandloom.operators.ranks import running_before
 from strandloom.plans.registry import query
 from strandloom.plans.variant_queries import bases
+from strandloom.session import stash
 from strandloom.sources.views import view
 
 # evidence
@@ -300,7 +301,7 @@ def m12_depth_prepare(spark, sf):
 
 def segments(spark, sf) -> tuple[DataFrame, float]:
     rows, mid = prepared(spark, sf)
-    return cnv.merge_segments(cnv.level_islands(rows), 4.0, mid), mid
+    return stash(cnv.merge_segments(cnv.running_mean_segments(rows), 40.0, mid), "segments")[0], mid
 
 
 @query()

@@ -130,6 +130,53 @@ def test_segments_of_clear_levels_equal_the_strict_order(spark):
     assert got == [r[:3] for r in greedy_segments([s[1:] for s in segs], 4.0, 2.0)]
 
 
+@pytest.mark.parametrize(("shape", "alpha"), [("ramp", 1.5), ("ramp", 40.0), ("ties", 2.0), ("noise", 3.0)])
+def test_strict_order_of_ramps_and_ties(spark, shape, alpha):
+    rng = random.Random(8)
+    value = {"ramp": lambda i: 0.37 * i, "ties": lambda i: float(i % 3), "noise": lambda i: rng.gauss(5, 3)}[shape]
+    segs = [(t, 10 * i, 10 * i + 9, 10, 10 * value(i)) for t in (0, 1) for i in range(150)]
+    got = cnv.merge_segments(spark.createDataFrame(segs, "tid int, start int, end int, n long, s double").repartition(3), alpha, 1.0).collect()
+    for t in (0, 1):
+        mine = sorted((r.start, r.end, r.n) for r in got if r.tid == t)
+        assert mine == [r[:3] for r in greedy_segments([s[1:] for s in segs if s[0] == t], alpha, 1.0)]
+
+
+def plain_scan(rows, width):
+    out = []
+    for b, d in rows:
+        if out and b == out[-1][1] + 1 and abs(out[-1][3] / out[-1][2] - d) <= width:
+            out[-1][1:] = [b, out[-1][2] + 1, out[-1][3] + d]
+        else:
+            out.append([b, b, 1, d])
+    return [tuple(r) for r in out]
+
+
+@pytest.mark.parametrize("tile", [10, 64, 50_000])
+def test_running_means_are_handed_from_tile_to_tile(spark, tile):
+    rng = random.Random(tile)
+    contigs = {
+        0: [(i, 2.0 + rng.choice([0, 0, 0, 0.25, 0.5, 3.0])) for i in range(500)],
+        1: [(i, 1.0) for i in range(130)],
+        2: [(i, i * 0.125) for i in range(200) if i % 37 and not 60 < i < 95],
+    }
+    df = spark.createDataFrame([(t, b, d) for t, rows in contigs.items() for b, d in rows], "tid int, bin long, depth double").repartition(5)
+    got = cnv.running_mean_segments(df, 0.5, tile).collect()
+    for t, rows in contigs.items():
+        assert sorted((r.start, r.end, r.n, r.s) for r in got if r.tid == t) == plain_scan(rows, 0.5)
+    assert cnv.running_mean_segments(df.limit(0)).count() == 0
+
+
+def test_a_planted_loss_is_called(spark):
+    rng = random.Random(2)
+    # two means must differ by 40 medians over the root of their bins, so that a lost copy shows from about 1 Mb on
+    rows = [(t, b, max(0.0, rng.gauss(15 if t == 0 and 20_000 <= b < 33_000 else 30, 4))) for t in (0, 1) for b in range(60_000)]
+    df = spark.createDataFrame(rows, "tid int, bin long, depth double")
+    segments = cnv.merge_segments(cnv.running_mean_segments(df, tile=9_000), 40.0, 30.0).withColumn("ploidy", F.lit(2))
+    (call,) = cnv.large_calls(variants.copy_number_genotype(segments, 30.0, 30.0)).collect()
+    assert (call.tid, call.sv_type, call.genotype) == (0, "DEL", 1)
+    assert abs(call.pos1 - 2_000_000) <= 2_000 and abs(call.pos2 - 3_300_000) <= 2_000
+
+
 def test_flags_pairs_and_barcodes(spark):
     row = spark.sql("select 0 as t1, 100 as s1, 150 as e1, 65 as f1, 0 as t2, 5000 as s2, 5050 as e2, 145 as f2")
     a, b = ({"tid": F.col(f"t{k}"), "start": F.col(f"s{k}"), "end": F.col(f"e{k}"), "flag": F.col(f"f{k}")} for k in (1, 2))
