@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.reads import usable
 from strandloom.operators.ranks import numbered
-from strandloom.operators.intervals import delta_counts, expand_runs, merge_intervals
+from strandloom.operators.intervals import delta_counts, expand_runs, merge_intervals, with_halo
 
 BIN = 100
 
@@ -121,10 +121,17 @@ def bin_size(positions: DataFrame, pos: str = "start") -> DataFrame:
     return steps.agg(F.percentile("step", 0.5).alias("bin_size"))
 
 
+#: Bins of a tile, many times those of a window.
+CENTROID_TILE = 20_000
+
+
 def weighted_centroid(depth: DataFrame, n_bins: int = 100, size: int = BIN) -> DataFrame:
-    """``tid, bin, c1, c2``: depth-weighted mean positions of the windows left and right of each bin's start; null without depth."""
-    rows = depth.withColumn("d", F.col("hq").cast("int"))
-    w = Window.partitionBy("tid").orderBy("bin")
+    """``tid, bin, c1, c2``: depth-weighted mean positions of the windows left and right of each bin's start; null without depth.
+
+    Contigs are cut into tiles, and the bins that a tile's windows reach beyond it are copied to it.
+    """
+    rows = with_halo(depth.select("tid", "bin", F.col("hq").cast("int").alias("d")), "bin", n_bins, n_bins, max(CENTROID_TILE, n_bins))
+    w = Window.partitionBy("tid", "_tile").orderBy("bin")
     left, right = w.rangeBetween(-n_bins, -1), w.rangeBetween(0, n_bins - 1)
     mean = lambda over: F.sum(F.col("d") * F.col("bin")).over(over) * size / F.when(F.sum("d").over(over) > 0, F.sum("d").over(over))
-    return rows.select("tid", "bin", mean(left).alias("c1"), mean(right).alias("c2"))
+    return rows.select("tid", "bin", "_own", mean(left).alias("c1"), mean(right).alias("c2")).where("_own").drop("_own")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import stash
+
 BIN = 10_000
 #: Places of a contig that one task may count at once.
 TILE = 1 << 20
@@ -56,13 +58,13 @@ def band_join(points: DataFrame, ranges: DataFrame, pos: str, size: int = BIN) -
     return left.join(right, (left["tid"] == right["r_tid"]) & (left["_k"] == right["_kr"]) & F.col(pos).between(F.col("r_lo"), F.col("r_hi"))).drop("_k", "_kr")
 
 
-def _tiled(rows: DataFrame, by: list[str], place: str, facts: list[Column], running: list[Column], tile: int) -> DataFrame:
+def tiled(rows: DataFrame, by: list[str], place: str, facts: list[Column], running: list[Column], tile: int) -> DataFrame:
     """``rows`` with ``_tile`` and, from the tiles of a contig (one row each), ``running`` expressions over their ``facts``.
 
     A contig is cut into tiles so that no task holds the whole of it: what holds along the contig is
-    counted within a tile and carried from tile to tile.
+    counted within a tile and carried from tile to tile. The rows are written, as they are read twice.
     """
-    rows = rows.withColumn("_tile", F.floor(F.col(place) / tile))
+    rows, _ = stash(rows.withColumn("_tile", F.floor(F.col(place) / tile)), "tiled")
     tiles = rows.groupBy(*by, "_tile").agg(*facts).select(*by, "_tile", *running)
     mine = tiles.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_tile")], *[c for c in tiles.columns if c not in (*by, "_tile")])
     on = F.lit(True)
@@ -71,16 +73,26 @@ def _tiled(rows: DataFrame, by: list[str], place: str, facts: list[Column], runn
     return rows.join(mine, on).drop(*[f"_of_{c}" for c in (*by, "_tile")])
 
 
+def with_halo(rows: DataFrame, place: str, before: int, after: int, tile: int = TILE) -> DataFrame:
+    """``rows`` with ``_tile`` and ``_own``: those within ``before`` places ahead of a tile, or ``after`` behind it, stand in it once more as not its own.
+
+    A frame that reaches no farther can then run by (contig, tile), so that no task holds a whole contig.
+    """
+    own, at = F.floor(F.col(place) / tile), F.col(place) % tile
+    copies = F.array(F.struct(own.alias("_tile"), F.lit(True).alias("_own")), F.when(at >= tile - before, F.struct((own + 1).alias("_tile"), F.lit(False).alias("_own"))), F.when(at < after, F.struct((own - 1).alias("_tile"), F.lit(False).alias("_own"))))
+    return rows.select("*", F.inline(F.array_compact(copies)))
+
+
 def merge_intervals(df: DataFrame, by: list[str] | None = None, gap: int = 0, aggs: list[Column] | None = None, tile: int = TILE) -> DataFrame:
     """Intervals of each contig that touch or overlap (or lie within ``gap``), as one: ``start, end, n``."""
     by = by or ["tid"]
     along = Window.partitionBy(*by).orderBy("_tile")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    rows = _tiled(df, by, "start", [F.max("end").alias("_m")], [F.max("_m").over(before).alias("_reach")], tile)
+    rows = tiled(df, by, "start", [F.max("end").alias("_m")], [F.max("_m").over(before).alias("_reach")], tile)
     w = Window.partitionBy(*by, "_tile").orderBy("start", "end")
     reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
     rows = rows.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1)).drop("_reach", "_tile")
-    rows = _tiled(rows, by, "start", [F.sum("_new").alias("_m")], [F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_earlier")], tile)
+    rows = tiled(rows, by, "start", [F.sum("_new").alias("_m")], [F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_earlier")], tile)
     # of rows that tie the first is new, as it was before
     w = Window.partitionBy(*by, "_tile").orderBy("start", "end", F.desc("_new"))
     rows = rows.withColumn("_island", F.col("_earlier") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -101,7 +113,7 @@ def delta_counts(df: DataFrame, lo: str, hi: str, by: list[str], weights: dict[s
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     facts = [F.min("idx").alias("_first"), *[F.sum(n).alias(f"_t_{n}") for n in weights]]
     carried = [F.lead("_first").over(along).alias("_next"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in weights]]
-    events = _tiled(events, by, "idx", facts, carried, tile)
+    events = tiled(events, by, "idx", facts, carried, tile)
     w = Window.partitionBy(*by, "_tile").orderBy("idx")
     upto = [(F.col(f"_b_{n}") + F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias(n) for n in weights]
     run = events.select(*by, "idx", (F.coalesce(F.lead("idx").over(w), "_next") - 1).alias("to"), *upto)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scores import log_factorial
+from strandloom.operators.intervals import TILE, tiled, with_halo
 
 #: Allele classes.
 TRANSITION, TRANSVERSION, MNP, INSERTION, DELETION = range(5)
@@ -185,26 +186,42 @@ def consensus(piled: DataFrame) -> DataFrame:
     return rows.groupBy("tid", "stretch").agg(F.min("pos").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda s: s["b"]), "").alias("consensus")).drop("stretch")
 
 
-def run_length_depth(depth: DataFrame, p: float = 0.0) -> DataFrame:
-    """Per-base depth (``tid, pos, d``) as runs of equal depth, or for p > 0 of equal log class: ``tid, start, end, d`` (the first)."""
+def run_length_depth(depth: DataFrame, p: float = 0.0, tile: int = TILE) -> DataFrame:
+    """Per-base depth (``tid, pos, d``) as runs of equal depth, or for p > 0 of equal log class: ``tid, start, end, d`` (the first).
+
+    A run is named by its first position. It is told within tiles that see the position before them;
+    tiles in which a run only goes on take its name from the tiles before.
+    """
     level = F.col("d") if p == 0 else F.floor(F.log(F.col("d").cast("double")) / F.log(F.lit(1 + p)))
-    w = Window.partitionBy("tid").orderBy("pos")
-    rows = depth.withColumn("level", level)
-    new = F.when((F.col("level") == F.lag("level").over(w)) & (F.col("pos") == F.lag("pos").over(w) + 1), 0).otherwise(1)
-    rows = rows.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("tid", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min_by("d", "pos").alias("d")).drop("run")
+    w = Window.partitionBy("tid", "_tile").orderBy("pos")
+    rows = with_halo(depth.withColumn("level", level), "pos", 1, 0, tile)
+    goes_on = (F.col("level") == F.lag("level").over(w)) & (F.col("pos") == F.lag("pos").over(w) + 1)
+    rows = rows.withColumn("_first", F.when(goes_on, None).otherwise(F.col("pos"))).where("_own").drop("_own", "_tile")
+    before = Window.partitionBy("tid").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tiled(rows, ["tid"], "pos", [F.max("_first").alias("_m")], [F.max("_m").over(before).alias("_earlier")], tile)
+    run = F.coalesce(F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_earlier")
+    return rows.withColumn("run", run).groupBy("tid", "run").agg(F.col("run").alias("start"), (F.max("pos") + 1).alias("end"), F.min_by("d", "pos").alias("d")).drop("run")
 
 
-def chunk_regions(reads: DataFrame, bases: int, gap: int) -> DataFrame:
-    """Contigs cut at gaps above ``gap`` and where the aligned bases so far pass a multiple of ``bases``: ``tid, start, end, bases``."""
-    w = Window.partitionBy("tid").orderBy("start", "end", "read_id", "flag", "line")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = reads.withColumn("part", F.sum(F.when(F.col("start") - reach > gap, 1).otherwise(0)).over(run)).withColumn("len", F.col("end") - F.col("start"))
-    rows = rows.withColumn("chunk", F.floor((F.sum("len").over(run) - F.col("len")) / bases))
+def chunk_regions(reads: DataFrame, bases: int, gap: int, tile: int = TILE) -> DataFrame:
+    """Contigs cut at gaps above ``gap`` and where the aligned bases so far pass a multiple of ``bases``: ``tid, start, end, bases``.
+
+    How far the reads before reach, and their bases and gaps so far, are carried from tile to tile.
+    """
+    before = Window.partitionBy("tid").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("tid", "_tile").orderBy("start", "end", "read_id", "flag", "line")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = reads.select("tid", "start", "end", "read_id", "flag", "line", (F.col("end") - F.col("start")).alias("len"))
+    carried = [F.max("_m").over(before).alias("_reach"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_bases")]
+    rows = tiled(rows, ["tid"], "start", [F.max("end").alias("_m"), F.sum("len").alias("_l")], carried, tile)
+    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    rows = rows.withColumn("_cut", F.when(F.col("start") - reach > gap, 1).otherwise(0)).withColumn("chunk", F.floor((F.col("_bases") + F.sum("len").over(upto) - F.col("len")) / bases))
+    rows = tiled(rows.drop("_tile", "_reach", "_bases"), ["tid"], "start", [F.sum("_cut").alias("_m")], [F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_cuts")], tile)
+    rows = rows.withColumn("part", F.col("_cuts") + F.sum("_cut").over(upto))
     return rows.groupBy("tid", "part", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("len").alias("bases")).drop("part", "chunk")
 
 
+#: Priors of the copy numbers 0 to 4 for each ploidy.
 def copy_number_genotype(segments: DataFrame, mean: float, sd: float) -> DataFrame:
     """``genotype, score, cnv_type`` of segments (``n, mean_depth, ploidy``): the copy number 0 to 4 of the best log likelihood ratio."""
     priors = F.when(F.col("ploidy") == 1, F.array(*map(F.lit, (1e-2, 0.98, 1e-2, 1e-4, 1e-5)))).when(F.col("ploidy") == 0, F.array(*map(F.lit, (0.98, 1e-2, 1e-4, 1e-5, 1e-6)))).otherwise(F.array(*map(F.lit, (1e-4, 1e-2, 0.98, 1e-2, 1e-4))))

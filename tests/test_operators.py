@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import reads as R
 from strandloom.functions import scores
-from strandloom.operators import cnv, intervals, nodes, twin, variants
+from strandloom.operators import cnv, depth, intervals, nodes, twin, variants
 from strandloom.operators.graph import connected_components
 
 
@@ -243,3 +243,20 @@ def test_breakpoints_equal_the_best_of_all_positions(spark, rate):
         at = next(pos for pos in tries if abs(sum(each[pos]) - best) < 2e-6)
         assert abs(got[c].score - best) < 2e-6 and abs(sum(each[got[c].pos]) - best) < 2e-6 and got[c].pos >= at
         assert got[c].n_support == sum(x > 0 for x in each[got[c].pos])
+
+
+def test_small_tiles_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    bins = spark.createDataFrame([(t, b, float(rng.randrange(4))) for t in (0, 1) for b in range(400) if t or b % 50], "tid int, bin int, hq double")
+    want = sorted(map(tuple, depth.weighted_centroid(bins, 10).collect()))
+    monkeypatch.setattr(depth, "CENTROID_TILE", 16)
+    assert sorted(map(tuple, depth.weighted_centroid(bins, 10).collect())) == want and len(want) == 792
+    per_base = spark.createDataFrame([(t, p, rng.randrange(2)) for t in (0, 1) for p in range(300) if p % 41], "tid int, pos int, d int")
+    runs = [sorted(map(tuple, variants.run_length_depth(per_base, tile=tile).collect())) for tile in (1 << 20, 7, 64)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 100
+    flat = spark.createDataFrame([(0, p, 5) for p in range(100)], "tid int, pos int, d int")
+    assert list(map(tuple, variants.run_length_depth(flat, tile=9).collect())) == [(0, 0, 100, 5)]
+    rows = [(t, s, s + rng.choice([5, 20, 300]), f"r{k}", 0, 1) for k in range(400) for t, s in [(k % 2, rng.randrange(9000))]]
+    reads = spark.createDataFrame(rows, "tid int, start int, end int, read_id string, flag int, line int")
+    chunks = [sorted(map(tuple, variants.chunk_regions(reads, 500, 40, tile=tile).collect())) for tile in (1 << 20, 64, 1000)]
+    assert chunks[0] == chunks[1] == chunks[2] and len(chunks[0]) > 20
