@@ -153,19 +153,19 @@ def _signatures(bitmap, shingle: int, num: int, den: int) -> Step:
     return Step(("text",), tuple(fields), fn)
 
 
-def _sets_of(bitmap, shingle: int) -> Step:
-    """``d1, d2, tokens`` of the rows that the bitmap may hold, by digest and doc_id; ``tokens`` is null for others."""
+def _sets_of(bitmap, shingle: int, key: str = "doc_id", mixed: bool = True) -> Step:
+    """``d1, d2, tokens`` of the rows that the bitmap may hold by ``key``, with the digest if ``mixed``; ``tokens`` is null for others."""
 
     def fn(texts: pa.Array, ids: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, shingle)
         two = _digests(sets)
-        key = two[:, 0] ^ pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-        hit = _within(bitmap.value, key.view(np.uint64))
+        keys = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        hit = _within(bitmap.value, (two[:, 0] ^ keys if mixed else keys).view(np.uint64))
         kept = _lists([h if x else h[:0] for h, x in zip(sets, hit.tolist(), strict=True)])
         tokens = pc.if_else(pa.array(hit), kept, pa.scalar(None, kept.type))
         return [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), tokens]
 
-    return Step(("text", "doc_id"), (T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))), fn)
+    return Step(("text", key), (T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))), fn)
 
 
 def _edges(num: int, den: int):
@@ -313,6 +313,21 @@ def _joined(num: int, den: int):
     return run
 
 
+def links_in_blocks(found: DataFrame, sizes: DataFrame, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
+    """``src, dst``: a spanning forest of the links between the sets of each block, as a written table.
+
+    ``found``: ``block, node, tokens``, the tokens being a set's sorted hashes; rows of one node are the
+    same set. ``sizes``: ``block, n``, the sets' sizes. A block is cut into chunks of about ``chunk``
+    hashes, and pairs of chunks meet.
+    """
+    cuts = sizes.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("cuts"))
+    dealt = found.join(cuts, "block").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = dealt.select("block", "mine", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("with"))
+    dealt = dealt.select("block", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), (F.col("mine") > F.col("with")).alias("second"), "node", "tokens")
+    groups = dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "second", "node")
+    return stash(groups.mapInArrow(_joined(num, den), "src long, dst long"), "shingle-links")[0]
+
+
 def similar_classes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -342,17 +357,11 @@ def similar_classes(
     met = heads.repartition("token").sortWithinPartitions("token", "n", "node")
     blocks = connected_components(met.mapInArrow(_edges(num, den), "src long, dst long"))
     inside, _ = stash(classes.join(blocks.select("node", F.col("component").alias("block")), "node"), "shingle-blocks")
-    cuts = inside.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("cuts"))
-    inside = inside.join(cuts, "block").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-
     # the sets of classes in blocks are made again, each from one text
     chosen = spark.sparkContext.broadcast(bitmap_of(inside.select(F.col("d1").bitwiseXOR(F.coalesce("least", F.lit(0))))))
     again = with_arrow(rows, _sets_of(chosen, shingle), keep=["doc_id", "d1", "d2", "tokens"]).where("tokens is not null").withColumnsRenamed({"d1": "e1", "d2": "e2"})
     found = again.join(inside, (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    dealt = found.select("block", "mine", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("with"))
-    dealt = dealt.select("block", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), (F.col("mine") > F.col("with")).alias("second"), "node", "tokens")
-    groups = dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "second", "node")
-    links, _ = stash(groups.mapInArrow(_joined(num, den), "src long, dst long"), "shingle-links")
+    links = links_in_blocks(found.select("block", "node", "tokens"), inside.select("block", "n"), num, den, chunk)
     return members, classes.select("node", "n", "least", "copies"), links
 
 
@@ -376,3 +385,29 @@ def jaccard_components(
     rooted = rooted.join(least, "component").select("node", "component_id")
     rows = members.join(rooted, "node", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def components_within(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, component_id``: the exact components of the documents of each group, and their smallest ids.
+
+    ``groups``: ``doc_id, block``, groups of candidates that another search has found; documents of
+    different groups are not compared, and those alone in a group have no row. Texts without words
+    are equal sets here. An id of several texts gets the smallest of their components.
+    """
+    spark = docs.sparkSession
+    known = groups.where("doc_id is not null").distinct()
+    many = known.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("block")
+    inside, _ = stash(known.join(many, "block"), "candidate-groups")
+    chosen = spark.sparkContext.broadcast(bitmap_of(inside.select(F.xxhash64("doc_id"))))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    sets = with_arrow(rows, _sets_of(chosen, shingle, "h", mixed=False), keep=["doc_id", "d1", "d2", "tokens"]).where("tokens is not null")
+    sets, _ = stash(sets.join(inside, "doc_id").withColumn("n", F.size("tokens").cast("long")), "candidate-sets")
+    classes = sets.groupBy("block", "d1", "d2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    classes, _ = stash(classes, "candidate-classes")
+    several = classes.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("block")
+    first = classes.join(several, "block").withColumnRenamed("least", "doc_id")
+    found = sets.where("n > 0").join(first, ["block", "d1", "d2", "doc_id"])
+    comps = connected_components(links_in_blocks(found.select("block", "node", "tokens"), found.select("block", "n"), num, den, chunk))
+    rooted, _ = stash(classes.join(comps, "node", "left").select("block", "d1", "d2", "least", F.coalesce("component", "node").alias("component")), "candidate-roots")
+    named = rooted.join(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("block", "d1", "d2", "component_id")
+    return sets.select("doc_id", "block", "d1", "d2").join(named, ["block", "d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

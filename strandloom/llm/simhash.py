@@ -15,13 +15,14 @@ A bucket yields a spanning forest of its links, never its pairs; a bucket with m
 64 bits tell similarities of 0.8 and more of sets of shingles apart only roughly. For these a text has
 256 bits (``wide``), four such prints; the first ``words64`` of them are searched, each by itself, and
 what meets in a bucket is verified on all 256, from which the similarity is estimated, before it
-enters the bucket's forest.
+enters the bucket's forest. ``one_of_each`` holds the groups so found to the similarity of their sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from itertools import combinations
 from math import acos, pi
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import Step, raw_texts, with_arrow
+from strandloom.llm.ngram_join import components_within
 from strandloom.operators.graph import connected_components
 from strandloom.session import stash
 
@@ -44,6 +46,8 @@ MAX_BUCKET = 4096
 PLAN_FOR = 4_000_000
 #: Longs of a wide print. For shingle sets of similarity J its bits differ with chance acos(2 J / (1 + J)) / pi.
 WIDE = 4
+#: What prints are below the similarity asked for and still find a candidate.
+SLACK = 0.1
 #: The list of full buckets is broadcast only up to so many rows (three numbers each); a longer one is merge-joined.
 BROADCAST_ROWS = 200_000
 _SLICE = 1 << 15
@@ -395,10 +399,19 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest doc_id.
 
+    With ``similarity`` the components are exact: prints that tell of ``similarity`` less ``SLACK`` find
+    candidates, and those of a group are then linked by the similarity of their shingle sets itself.
+
     Rows without a doc_id cannot be named and stay only if no row of their component has an id, one
     for each text. Of rows that repeat the smallest id one stays. All columns pass, whatever their names.
     """
-    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket, shingle, similarity, words64), "classes")
+    found, _ = stash(near_duplicates(docs, text, doc_id, radius, max_bucket, shingle, similarity and similarity - SLACK, words64), "classes")
+    if similarity is not None:
+        part = Fraction(similarity).limit_denominator(100)
+        groups = found.select("doc_id", F.col("component_id").alias("block"))
+        exact = components_within(docs, groups, text, doc_id, shingle, part.numerator, part.denominator)
+        exact = found.join(exact.withColumnRenamed("component_id", "_exact"), "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("_exact", "component_id").alias("component_id"))
+        found, _ = stash(exact, "classes")
     named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     named, _ = stash(named.select(F.col("doc_id").alias("stay"), "n"), "stay")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("words"))
