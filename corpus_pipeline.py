@@ -15,7 +15,7 @@ from strandloom.llm.queries import bpe_digests
 from strandloom.session import stash
 
 #: Texts are candidates if one of so many fingerprints differs in so many bits; 0.8 of the shingles alike means 10 of 64 bits on average.
-NEAR_WORDS64, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 3, 9, 5, 0.76
+NEAR_WORDS64, NEAR_RADIUS, NEAR_SHINGLE, NEAR_SIMILARITY = 3, 9, 5, 0.8
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id.
 
-    Near duplicates share five-word shingles to a similarity of about 0.8 or more.
+    Near duplicates share five-word shingles to a similarity of 0.8 or more, which prints find and the sets themselves confirm.
     """
     found = simhash.one_of_each(docs, radius=NEAR_RADIUS, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY, words64=NEAR_WORDS64)
     return found.select(*COLUMNS)
