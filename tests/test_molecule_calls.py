@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators import linked_svs, twin
+from strandloom.operators import molecule_calls, twin
 
 LENGTH = 2_000_000
 #: Haplotype 1 as pieces (contig, start, end, reversed): a deletion, an inversion, a tandem duplication and swapped ends.
@@ -62,7 +62,7 @@ def contigs(spark):
 
 def test_planted_variants_are_found(spark, reads, contigs):
     windows = twin.barcode_overlap(reads, contigs)
-    rows = linked_svs.detect(reads, contigs, windows).collect()
+    rows = molecule_calls.detect(reads, contigs, windows).collect()
     passed = [r for r in rows if r["filter"] == "PASS"]
     want = {("DEL", "chr1", 400_000, "chr1", 460_000), ("DUP", "chr1", 1_200_000, "chr1", 1_280_000), ("INV", "chr1", 800_000, "chr1", 900_000), ("TRA", "chr1", 1_700_000, "chr2", 1_500_000)}
     for kind, c1, p1, c2, p2 in want:
@@ -74,7 +74,7 @@ def test_planted_variants_are_found(spark, reads, contigs):
 
 
 def test_parameters_are_those_of_the_data(spark, reads, contigs):
-    m = linked_svs.molecules(reads, contigs)
+    m = molecule_calls.molecules(reads, contigs)
     p, frags = m.fitted, m.frags.collect()
     assert m.params.count() == 1
     long = [f for f in frags if f.length >= p["min_length"]]
@@ -90,4 +90,4 @@ def test_parameters_are_those_of_the_data(spark, reads, contigs):
 def test_nothing_in_nothing_out(spark, reads, contigs):
     none = reads.limit(0)
     windows = spark.createDataFrame([], "tid int, idx long, mlog_p double")
-    assert linked_svs.detect(none, contigs, windows).count() == 0
+    assert molecule_calls.detect(none, contigs, windows).count() == 0
