@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.reads import REVERSE, has_flag
 from strandloom.operators.graph import connected_components
 from strandloom.operators.intervals import overlap_join
-from strandloom.operators.nodes import neighbours
+from strandloom.operators.nodes import cluster, neighbours
 
 
 def shared_barcodes(side1: DataFrame, side2: DataFrame) -> DataFrame:
@@ -53,17 +56,21 @@ def reads_in_regions(reads: DataFrame, regions: DataFrame, size: int = 100) -> D
     return bins.join(inside, ["tid", "bin"], "left_semi").select("tid", "bin", "bcd")
 
 
+def _in_both_regions(reads: DataFrame, pairs: DataFrame, cols: Callable[[int], list[Column]]) -> DataFrame:
+    """``pair_id, bcd, read_id`` and the columns of both alignments, for reads aligned in both regions of a pair."""
+    sides = []
+    for k in (1, 2):
+        box = pairs.select("pair_id", F.col(f"tid{k}").alias("tid"), F.col(f"start{k}").alias("start"), F.col(f"end{k}").alias("end"))
+        sides.append(overlap_join(reads, box).select(F.col("b_pair_id").alias("pair_id"), "bcd", "read_id", *cols(k)))
+    return sides[0].join(sides[1], ["pair_id", "bcd", "read_id"])
+
+
 def region_read_pairs(reads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Reads with alignments in both regions of a pair: ``pair_id, read_id, kind``: PE for different mates, SR for one mate clipped on both sides.
 
     ``pairs``: ``pair_id, tid1, start1, end1, tid2, start2, end2``.
     """
-    sides = []
-    for k in (1, 2):
-        box = pairs.select("pair_id", F.col(f"tid{k}").alias("tid"), F.col(f"start{k}").alias("start"), F.col(f"end{k}").alias("end"))
-        met = overlap_join(reads, box)
-        sides.append(met.select(F.col("b_pair_id").alias("pair_id"), "read_id", "bcd", F.col("flag").alias(f"f{k}"), F.col("clipped").alias(f"c{k}"), F.col("start").alias(f"p{k}")))
-    rows = sides[0].join(sides[1], ["pair_id", "bcd", "read_id"])
+    rows = _in_both_regions(reads, pairs, lambda k: [F.col("flag").alias(f"f{k}"), F.col("clipped").alias(f"c{k}"), F.col("start").alias(f"p{k}")])
     mates = has_flag("f1", 64) != has_flag("f2", 64)
     kind = F.when(mates, "PE").when(F.col("c1") & F.col("c2") & (F.col("p1") != F.col("p2")), "SR")
     return rows.select("pair_id", "read_id", kind.alias("kind"), "p1", "p2").where("kind is not null").distinct()
@@ -100,10 +107,31 @@ def assembly_breakpoints(alignments: DataFrame, min_mapq: int = 10) -> DataFrame
     return rows.select("qname", "p_tid", "p_end", "tid", "start", kind.alias("event"), F.when(F.col("tid") == F.col("p_tid"), F.abs(ref_gap - q_gap)).alias("length"), F.least("mapq", "p_mapq").alias("mapq")).withColumn("filter", F.when(F.col("mapq") < min_mapq, "LowSupp").otherwise("."))
 
 
-def insert_size_stats(pairs: DataFrame) -> DataFrame:
-    """Quartiles of the positive insert sizes and the upper fence, Q3 + 1.5 IQR."""
+def breakpoint_evidence(reads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``call_id, bcd, read_id, kind, pos1, pos2, strand1, strand2`` of reads aligned in both regions of a call, once each.
+
+    PE: different mates; positions are the ends that the reads point with, the end of a forward read and
+    the start of a reverse one. SR: one mate, clipped on both sides of the call; positions are the ends with the longer clip.
+    Strands are 1 and -1. ``reads`` has ``cigar``; a null one has no clip.
+    """
+    reverse = has_flag("flag", REVERSE)
+    left, right = (F.coalesce(F.regexp_extract("cigar", p, 1).try_cast("int"), F.lit(0)) for p in (r"^(\d+)[SH]", r"(\d+)[SH]$"))
+    points = F.when(reverse, F.col("start")).otherwise(F.col("end"))
+    cut = F.when(left > right, F.col("start")).when(right > 0, F.col("end"))
+    rows = _in_both_regions(reads, pairs, lambda k: [F.col("flag").alias(f"f{k}"), points.alias(f"e{k}"), cut.alias(f"c{k}"), F.when(reverse, -1).otherwise(1).alias(f"strand{k}"), F.col("start").alias(f"s{k}")])
+    mates = has_flag("f1", 64) != has_flag("f2", 64)
+    split = ~mates & F.col("c1").isNotNull() & F.col("c2").isNotNull() & (F.col("s1") != F.col("s2"))
+    at = lambda k: F.when(mates, F.col(f"e{k}")).otherwise(F.col(f"c{k}")).alias(f"pos{k}")
+    return rows.where(mates | split).select(F.col("pair_id").alias("call_id"), "bcd", "read_id", F.when(mates, "PE").otherwise("SR").alias("kind"), at(1), at(2), "strand1", "strand2").distinct()
+
+
+def insert_size_stats(pairs: DataFrame, reads: DataFrame) -> DataFrame:
+    """Quartiles of the positive insert sizes, the upper fence, Q3 + 1.5 IQR, and the median lengths of first and second mates."""
     q = pairs.where("inner_size > 0").agg(F.percentile("inner_size", [0.25, 0.5, 0.75]).alias("q"))
-    return q.select(F.get("q", 0).alias("q1"), F.get("q", 1).alias("q2"), F.get("q", 2).alias("q3"), (F.get("q", 2) + 1.5 * (F.get("q", 2) - F.get("q", 0))).alias("cutoff"))
+    of_mate = lambda bit: F.percentile(F.when(has_flag("flag", bit), F.col("end") - F.col("start")), 0.5)
+    lengths = reads.agg(F.lit(1).alias("_k"), of_mate(64).alias("length1"), of_mate(128).alias("length2"))
+    sizes = q.select(F.lit(1).alias("_k"), F.get("q", 0).alias("q1"), F.get("q", 1).alias("q2"), F.get("q", 2).alias("q3"), (F.get("q", 2) + 1.5 * (F.get("q", 2) - F.get("q", 0))).alias("cutoff"))
+    return sizes.join(lengths, "_k").drop("_k")  # of one row each
 
 
 def profile(calls: DataFrame, values: DataFrame, size: int = 100, step: int = 500) -> DataFrame:
@@ -115,9 +143,32 @@ def profile(calls: DataFrame, values: DataFrame, size: int = 100, step: int = 50
     return met.groupBy("call_id", (F.floor(F.col("b_start") / step) * step).alias("pos")).agg(F.avg("b_hq").alias("hq"), F.avg("b_total").alias("total"))
 
 
-def largest_group(evidence: DataFrame, near: int) -> DataFrame:
-    """Of each call's evidence (``call_id, key, x_pos, y_pos``) the largest proximity group: ``call_id, n, x, y`` (medians)."""
-    comps = connected_components(neighbours(evidence, "key", near, ["call_id"]), "a", "b")
-    rows = evidence.join(comps.withColumnRenamed("node", "key"), "key")
-    groups = rows.groupBy("call_id", "component").agg(F.count(F.lit(1)).alias("n"), F.percentile("x_pos", 0.5).alias("x"), F.percentile("y_pos", 0.5).alias("y"))
-    return groups.groupBy("call_id").agg(F.max_by(F.struct("n", "x", "y"), F.struct("n", -F.col("x"), -F.col("y"))).alias("g")).select("call_id", "g.*")
+def largest_group(evidence: DataFrame, near: int, by: list[str]) -> DataFrame:
+    """Of each call's evidence (``call_id, key, x_pos, y_pos``) the largest proximity group of equal ``by``: ``call_id, n, x, y`` (medians) and ``by``.
+
+    Groups are built through cells, so no pairs of evidence are made. Of equal sizes the group of the lowest medians counts.
+    """
+    rows = cluster(evidence, "key", near, 1, by)
+    groups = rows.groupBy(*by, "component_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("x_pos", 0.5).alias("x"), F.percentile("y_pos", 0.5).alias("y"))
+    rest = [c for c in by if c != "call_id"]
+    return groups.groupBy("call_id").agg(F.max_by(F.struct("n", "x", "y", *rest), F.struct("n", -F.col("x"), -F.col("y"), *rest)).alias("g")).select("call_id", "g.*")
+
+
+def _keyed(evidence: DataFrame, kind: str) -> DataFrame:
+    key = F.concat_ws("/", "call_id", "bcd", "read_id", "pos1", "pos2", "strand1", "strand2")
+    return evidence.where(F.col("kind") == kind).select("call_id", key.alias("key"), F.col("pos1").alias("x_pos"), F.col("pos2").alias("y_pos"), "strand1", "strand2")
+
+
+def group_pe_support(evidence: DataFrame, cutoff: float, gap: float) -> DataFrame:
+    """``call_id, n, bk1, bk2``: each call's largest group of read pairs of equal strands, less than ``cutoff`` apart at both ends.
+
+    A breakpoint is the median of the ends, half the usual ``gap`` between mates on in the reads' direction; a negative gap counts as 0.
+    """
+    half = max(gap, 0.0) / 2
+    best = largest_group(_keyed(evidence, "PE"), max(int(math.ceil(cutoff)), 1), ["call_id", "strand1", "strand2"])
+    return best.select("call_id", "n", (F.col("x") + F.col("strand1") * half).alias("bk1"), (F.col("y") + F.col("strand2") * half).alias("bk2"))
+
+
+def group_sr_support(evidence: DataFrame, near: int = 50) -> DataFrame:
+    """``call_id, n, bk1, bk2``: each call's largest group of split reads, cut less than ``near`` apart on both sides, with its median cuts."""
+    return largest_group(_keyed(evidence, "SR"), near, ["call_id"]).select("call_id", "n", F.col("x").alias("bk1"), F.col("y").alias("bk2"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,33 +139,39 @@ def merge_samples(samples: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("chrom", "pos", "ref", "alt").agg(*[F.max(F.when(F.col("sample") == n, F.col("qual"))).alias(f"qual_{n}") for n in samples], F.count_distinct("sample").alias("n_samples"))
 
 
-def deoverlap(sites: DataFrame) -> DataFrame:
+def deoverlap(sites: DataFrame, tile: int = TILE) -> DataFrame:
     """Among overlapping variants (``chrom, pos, ref, qual, line, ok``) the better; in order, a later one wins only if strictly better.
 
-    Islands of overlapping variants are walked one by one; an island is a stretch of the genome in which variants touch.
+    Of variants with the same place and length only the best can win, so the others go first, in a
+    partial aggregate; what is left of an island of overlapping variants follows its stretch of the genome and
+    not the rows, and is folded in the JVM. Islands are named along tiles. A null quality is the lowest; variants without a
+    place or with a null or empty reference overlap nothing and stay. Of rows that tie in every order column any
+    one, the same in each run, stays.
     """
-    order = ["pos", "end", "qual", "line", "ok"]
-    rows = sites.withColumn("end", F.col("pos") + F.length("ref"))
-    w = Window.partitionBy("chrom").orderBy(*order)
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("pos") < reach, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")) == 1
-    rows = rows.withColumn("alone", alone)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for r in pdf.sort_values(order, kind="stable").itertuples():
-            if last is None or r.pos >= last.end:
-                if last is not None:
-                    kept.append(last.Index)
-                last = r
-            elif r.qual > last.qual:
-                last = r
-        kept.append(last.Index)
-        return pdf.loc[kept]
-
-    many = rows.where("not alone")
-    return rows.where("alone").drop("island", "alone").unionByName(many.groupBy("chrom", "island").applyInPandas(walk, many.schema).drop("island", "alone"))
+    cols = [F.col(f"`{c}`") for c in sites.columns]
+    q = F.coalesce(F.col("qual").cast("double"), F.lit(float("-inf")))
+    rows = sites.withColumn("_v", F.struct(*cols)).withColumn("_end", F.col("pos") + F.length("ref")).withColumn("_q", q)
+    solid = F.coalesce(F.length("ref") > 0, F.lit(False)) & F.col("pos").isNotNull()
+    best = rows.where(solid).groupBy("chrom", "pos", "_end").agg(F.min_by(F.struct("_v", "_q"), F.struct(-F.col("_q"), "line", "ok", F.xxhash64("_v"))).alias("_b"))
+    best = best.select("chrom", "pos", "_end", "_b._v", "_b._q")
+    before = Window.partitionBy("chrom").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("chrom", "_tile").orderBy("pos", "_end")
+    best = tiled(best, ["chrom"], "pos", [F.max("_end").alias("_m")], [F.max("_m").over(before).alias("_reach")], tile)
+    reach = F.greatest(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    best = best.withColumn("_head", F.when(F.col("pos") < reach, None).otherwise(F.col("pos"))).drop("_tile", "_reach")
+    best = tiled(best, ["chrom"], "pos", [F.max("_head").alias("_m")], [F.max("_m").over(before).alias("_earlier")], tile)
+    best = best.withColumn("_island", F.coalesce(F.max("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_earlier"))
+    islands = best.groupBy("chrom", "_island").agg(F.array_sort(F.collect_list(F.struct("pos", "_end", "_q", "_v"))).alias("_all"))
+    islands = islands.withColumn("_one", F.get("_all", 0)).withColumn("_start", F.struct(F.filter("_all", lambda x: F.lit(False)).alias("kept"), F.col("_one").alias("last")))
+
+    def step(acc, x):
+        kept = F.when(x["pos"] >= acc["last"]["_end"], F.concat(acc["kept"], F.array(acc["last"]))).otherwise(acc["kept"])
+        wins = (x["pos"] >= acc["last"]["_end"]) | (x["_q"] > acc["last"]["_q"])
+        return F.struct(kept.alias("kept"), F.when(wins, x).otherwise(acc["last"]).alias("last"))
+
+    many = F.aggregate(F.slice("_all", 2, F.size("_all")), F.col("_start"), step, lambda acc: F.concat(acc["kept"], F.array(acc["last"])))
+    won = islands.select(F.explode(F.when(F.size("_all") == 1, F.col("_all")).otherwise(many)).alias("_w")).select("_w._v.*")
+    return won.unionByName(rows.where(~solid).select("_v.*")).withColumn("end", F.col("pos") + F.length("ref"))
 
 
 def pileup(bases: DataFrame, min_support: int = 2) -> DataFrame:

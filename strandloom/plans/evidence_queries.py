@@ -105,19 +105,64 @@ def j17_read_evidence_join(spark, sf):
     return evidence_rows(spark, sf)
 
 
-@query()
+# where a read points, and where it is cut; a group's members are linked through each other
+_SUPPORT = f"""{_PAIRS}, {_BOX}, iq as (select quantile_cont(inner_size, [0.5, 0.25, 0.75]) as v from m where inner_size > 0), rl as (select quantile_cont("end" - start, 0.5) filter ((flag & 64) <> 0) as l1, quantile_cont("end" - start, 0.5) filter ((flag & 128) <> 0) as l2 from reads),
+fit as (select v[3] + 1.5 * (v[3] - v[2]) + l1 + l2 as cutoff, greatest(v[1], 0) / 2 as half from iq, rl),
+cl as (select *, coalesce(try_cast(regexp_extract(cigar, '^([0-9]+)[SH]', 1) as int), 0) as lc, coalesce(try_cast(regexp_extract(cigar, '([0-9]+)[SH]$', 1) as int), 0) as rc from reads),
+pt as (select *, case when (flag & 16) <> 0 then start else "end" end as e, case when (flag & 16) <> 0 then -1 else 1 end as s, case when lc > rc then start when rc > 0 then "end" end as c from cl),
+x as (select pair_id, pt.* from box join pt on tid = tid1 and start < end1 and start1 < "end"), y as (select pair_id, pt.* from box join pt on tid = tid2 and start < end2 and start2 < "end"),
+xy as (select pair_id as call_id, x.bcd, x.read_id, (x.flag & 64) <> (y.flag & 64) as pe, x.e as e1, y.e as e2, x.c as c1, y.c as c2, x.s as strand1, y.s as strand2, x.start as s1, y.start as s2 from x join y using (pair_id, bcd, read_id)),
+sup as (select distinct call_id, bcd, read_id, case when pe then 'PE' else 'SR' end as kind, case when pe then e1 else c1 end as pos1, case when pe then e2 else c2 end as pos2, strand1, strand2 from xy where pe or (c1 is not null and c2 is not null and s1 <> s2)),
+no as (select *, row_number() over (order by call_id, bcd, read_id, kind, pos1, pos2, strand1, strand2) as id from sup),
+sl as (select a.id as a, b.id as b from no a join no b on a.call_id = b.call_id and a.kind = b.kind, fit where case a.kind when 'PE' then a.strand1 = b.strand1 and a.strand2 = b.strand2 and abs(a.pos1 - b.pos1) < cutoff and abs(a.pos2 - b.pos2) < cutoff else abs(a.pos1 - b.pos1) < 50 and abs(a.pos2 - b.pos2) < 50 end),
+sw(a, b) as (select a, b from sl union select sw.a, sl.b from sw join sl on sw.b = sl.a), sc as (select a as id, min(b) as comp from sw group by a),
+sg as (select call_id, kind, comp, count(*) as n, quantile_cont(pos1, 0.5) as mx, quantile_cont(pos2, 0.5) as my, min(strand1) as z1, min(strand2) as z2 from no join sc using (id) group by all),
+sb as (select *, row_number() over (partition by call_id, kind order by n desc, mx, my, z1 desc, z2 desc) as k from sg),
+grp as (select call_id, kind, n, case kind when 'PE' then mx + z1 * half else mx end as bk1, case kind when 'PE' then my + z2 * half else my end as bk2 from sb, fit where k = 1)"""
+
+
+def support(spark, sf) -> DataFrame:
+    return stash(evidence.breakpoint_evidence(reads(spark, sf), boxes(spark, sf)), "breakpoint-evidence")[0]
+
+
+def pe_groups(spark, sf, rows: DataFrame) -> DataFrame:
+    """Groups by the fitted fence; it is that of the distance between mates, so their lengths are added."""
+    fit = evidence.insert_size_stats(fragments.inner_sizes(reads(spark, sf)), reads(spark, sf)).first()
+    return evidence.group_pe_support(rows, (fit["cutoff"] or 0.0) + (fit["length1"] or 0.0) + (fit["length2"] or 0.0), fit["q2"] or 0.0)
+
+
+@query(f"with recursive {_SUPPORT} select call_id, n, bk1, bk2 from grp where kind = 'PE'", "reads", "gaps")
+def g8_group_pe_support(spark, sf):
+    return pe_groups(spark, sf, support(spark, sf))
+
+
+@query(f"with recursive {_SUPPORT} select call_id, n, bk1, bk2 from grp where kind = 'SR'", "reads", "gaps")
+def g8_group_sr_support(spark, sf):
+    return evidence.group_sr_support(support(spark, sf))
+
+
+@query(f"with recursive {_SUPPORT} select * from grp", "reads", "gaps")
 def g8_group_support(spark, sf):
-    rows = evidence_rows(spark, sf).select(F.col("pair_id").alias("call_id"), F.concat_ws("/", "pair_id", "read_id", "p1", "p2").alias("key"), F.col("p1").alias("x_pos"), F.col("p2").alias("y_pos"))
-    return evidence.largest_group(rows, 5_000)
+    rows = support(spark, sf)
+    return pe_groups(spark, sf, rows).withColumn("kind", F.lit("PE")).unionByName(evidence.group_sr_support(rows).withColumn("kind", F.lit("SR")))
 
 
-@query()
+@query(
+    f"""with recursive {_SUPPORT}, tot as (select call_id, count(*) as total from sup group by call_id), p as (select * from grp where kind = 'PE'), s as (select * from grp where kind = 'SR'),
+    c as (select call_id, coalesce(p.n, 0) as n_pe, coalesce(s.n, 0) as n_sr, total, coalesce(s.bk1, p.bk1) as bk1, coalesce(s.bk2, p.bk2) as bk2 from tot left join p using (call_id) left join s using (call_id))
+    select *, round(ln(list_sum(list_transform(range(0, n_pe + n_sr + 1), lambda i: exp(lgamma(total + 1.0) - lgamma(i + 1.0) - lgamma(total - i + 1.0) + total * ln(0.5))))) / ln(10), 6) + 0.0 as score from c""",
+    "reads", "gaps",
+)
 def c5_refine_breakpoints(spark, sf):
+    """Cuts of split reads where there are any, else what the pairs tell."""
     from strandloom.functions.scores import binomial_log10_cdf
 
-    groups = g8_group_support(spark, sf)
-    n = evidence_rows(spark, sf).groupBy(F.col("pair_id").alias("call_id")).agg(F.count(F.lit(1)).alias("total"))
-    return groups.join(n, "call_id").withColumn("score", F.round(binomial_log10_cdf(F.col("n"), F.col("total"), 0.5), 6))
+    rows = support(spark, sf)
+    pe, sr = (g.select("call_id", *[F.col(c).alias(f"{k}_{c}") for c in ("n", "bk1", "bk2")]) for k, g in (("pe", pe_groups(spark, sf, rows)), ("sr", evidence.group_sr_support(rows))))
+    out = rows.groupBy("call_id").agg(F.count(F.lit(1)).alias("total")).join(pe, "call_id", "left").join(sr, "call_id", "left")
+    n_pe, n_sr = F.coalesce("pe_n", F.lit(0)), F.coalesce("sr_n", F.lit(0))
+    score = F.round(binomial_log10_cdf(n_pe + n_sr, F.col("total"), 0.5), 6) + 0.0
+    return out.select("call_id", n_pe.alias("n_pe"), n_sr.alias("n_sr"), "total", F.coalesce("sr_bk1", "pe_bk1").alias("bk1"), F.coalesce("sr_bk2", "pe_bk2").alias("bk2"), score.alias("score"))
 
 
 _DP = f"""{_PAIRS}, dp as (select bcd || '/' || read_id || '/' || a_line || '/' || b_line || '/' || a_start || '/' || b_start as key, a_tid as tid, least(a_end, b_end) as end1, greatest(a_start, b_start) as start2, a_line % 3 as hap from m where mask = 8)"""
@@ -168,11 +213,12 @@ def g9_assembly_breakpoints(spark, sf):
 
 
 @query(
-    f"""with {_PAIRS}, iq as (select quantile_cont(inner_size, [0.25, 0.5, 0.75]) as v from m where inner_size > 0) select v[1] as q1, v[2] as q2, v[3] as q3, v[3] + 1.5 * (v[3] - v[1]) as cutoff from iq""",
+    f"""with {_PAIRS}, iq as (select quantile_cont(inner_size, [0.25, 0.5, 0.75]) as v from m where inner_size > 0), rl as (select quantile_cont("end" - start, 0.5) filter ((flag & 64) <> 0) as length1, quantile_cont("end" - start, 0.5) filter ((flag & 128) <> 0) as length2 from reads)
+    select v[1] as q1, v[2] as q2, v[3] as q3, v[3] + 1.5 * (v[3] - v[1]) as cutoff, length1, length2 from iq, rl""",
     "reads",
 )
 def a24_insert_size_stats(spark, sf):
-    return evidence.insert_size_stats(fragments.inner_sizes(reads(spark, sf)))
+    return evidence.insert_size_stats(fragments.inner_sizes(reads(spark, sf)), reads(spark, sf))
 
 
 @query(

@@ -167,7 +167,15 @@ def j23_subset_samples(spark, sf):
     return rows.join(F.broadcast(names), "sample").groupBy("chrom", "pos", F.col("renamed").alias("sample")).agg(F.max("qual").alias("qual"))
 
 
-@query()
+@query(
+    """with recursive r as (select *, pos + length(ref) as "end" from variants), o as (select *, max("end") over (partition by chrom order by pos, "end", qual, line, ok rows between unbounded preceding and 1 preceding) as reach from r),
+    i as (select * exclude (reach), sum(case when pos < reach then 0 else 1 end) over (partition by chrom order by pos, "end", qual, line, ok rows unbounded preceding) as island from o), k as (select *, row_number() over (partition by chrom, island order by pos, "end", qual, line, ok) as k from i),
+    walk(chrom, island, k, held, held_end, held_qual, flushed) as (select chrom, island, k, k, "end", qual, null::bigint from k where k = 1 union all
+      select n.chrom, n.island, n.k, case when n.pos >= w.held_end or n.qual > w.held_qual then n.k else w.held end, case when n.pos >= w.held_end or n.qual > w.held_qual then n."end" else w.held_end end, case when n.pos >= w.held_end or n.qual > w.held_qual then n.qual else w.held_qual end,
+      case when n.pos >= w.held_end then w.held end from walk w join k n on n.chrom = w.chrom and n.island = w.island and n.k = w.k + 1),
+    kept as (select chrom, island, flushed as k from walk where flushed is not null union all select chrom, island, max_by(held, k) from walk group by chrom, island) select k.* exclude (island, k) from k join kept using (chrom, island, k)""",
+    "variants",
+)
 def w10_deoverlap_variants(spark, sf):
     return V.deoverlap(view(spark, sf, "variants"))
 

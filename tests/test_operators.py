@@ -1,5 +1,6 @@
 """Operators against brute force on small made-up tables."""
 
+import datetime
 import math
 import random
 from collections import defaultdict
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import reads as R
 from strandloom.functions import scores
-from strandloom.operators import cnv, depth, intervals, nodes, twin, variants
+from strandloom.operators import cnv, depth, evidence, intervals, nodes, twin, variants
 from strandloom.operators.graph import connected_components
 
 
@@ -206,6 +207,57 @@ def test_deoverlap_keeps_the_better(spark):
     assert sorted(r.ok for r in variants.deoverlap(df).collect()) == [2, 3, 4]
 
 
+def deoverlapped(rows):
+    """Row by row, as one would on paper."""
+    kept, last = [], None
+    for r in sorted(rows, key=lambda r: (r[1], r[1] + len(r[2]), r[3] if r[3] is not None else -math.inf, r[4], r[5])):
+        if last is not None and r[1] >= last[1] + len(last[2]):
+            kept.append(last)
+            last = r
+        elif last is None or (r[3] if r[3] is not None else -math.inf) > (last[3] if last[3] is not None else -math.inf):
+            last = r
+    return kept + [last] * (last is not None)
+
+
+def test_deoverlap_equals_a_plain_walk(spark):
+    rng = random.Random(3)
+    for tile in (7, 64, 1 << 20):
+        rows = [(f"c{k % 2}", rng.randrange(400), "A" * rng.choice([1, 1, 2, 5, 30]), rng.choice([None, 1, 2, 3, 4]), rng.randrange(3), k) for k in range(400)]
+        rows += [("c0", 77, "AC", 5, 1, 1000 + k) for k in range(300)]  # many at one place
+        odd = [("c0", None, "A", 1, 1, -1), ("c1", 5, "", 1, 1, -2), ("c1", 5, None, 9, 1, -3)]
+        df = spark.createDataFrame(rows + odd, "chrom string, pos int, ref string, qual int, line int, ok long").repartition(5)
+        want = [r[5] for c in ("c0", "c1") for r in deoverlapped([r for r in rows if r[0] == c])]
+        assert sorted(r.ok for r in variants.deoverlap(df, tile).collect()) == sorted(want + [-1, -2, -3])
+    assert variants.deoverlap(df.limit(0)).count() == 0
+
+
+def test_pairs_and_split_reads_are_grouped_by_their_own_rules(spark):
+    ev = [(1, f"B{k}", f"p{k}", "PE", 1000 + 300 * k, 9000 + 300 * k, 1, -1) for k in range(4)]  # each 300 on: one chain
+    ev += [(1, "B9", f"q{k}", "PE", 1000, 9000, -1, -1) for k in range(3)]  # other strands
+    ev += [(1, "B", f"s{k}", "SR", 1200 + 49 * k, 8000, 1, 1) for k in range(3)] + [(1, "B", "far", "SR", 1200 + 98 + 50, 8000, 1, 1)]
+    ev += [(2, "B", "tie1", "SR", 500, 700, 1, 1), (2, "B", "tie2", "SR", 100, 900, 1, 1)]
+    df = spark.createDataFrame(ev, "call_id int, bcd string, read_id string, kind string, pos1 int, pos2 int, strand1 int, strand2 int")
+    pe = [tuple(r) for r in evidence.group_pe_support(df, 300.5, 80.0).collect()]
+    assert pe == [(1, 4, 1450.0 + 40, 9450.0 - 40)]
+    assert [r.n for r in evidence.group_pe_support(df, 300.0, -5.0).collect()] == [3]  # the chain falls apart
+    assert sorted(tuple(r) for r in evidence.group_sr_support(df).collect()) == [(1, 3, 1249.0, 8000.0), (2, 1, 100.0, 900.0)]
+    assert evidence.group_sr_support(df.limit(0)).count() == 0
+
+
+def test_stream_counters_drop_what_comes_again(spark, tmp_path):
+    from strandloom.streaming import events
+
+    schema = "bcd string, read_id string, flag int, tid int, start int, line int, mapq int, hptype int, at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    rows = [("B", f"r{k}", 1024 if k % 5 == 0 else 256 if k % 7 == 0 else 64, 0, k, 1, k % 40, k % 3, at + datetime.timedelta(seconds=k)) for k in range(60)]
+    for part in (rows[:40], rows[20:], rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    want = depth.alignment_stats(spark.createDataFrame(rows, schema)).first()
+    assert events.run_to_table(events.stream_stats(stream()), "complete", "once").first() == want
+    assert events.run_to_table(events.stream_stats(stream(), "at"), "complete", "timed").first() == want
+
+
 @pytest.mark.parametrize(("cutoff", "least", "spread"), [(50, 3, 400), (50, 6, 150), (7, 2, 90), (200, 4, 1000)])
 def test_dense_clusters_equal_all_pairs(spark, cutoff, least, spread):
     rng = random.Random(cutoff * least)
