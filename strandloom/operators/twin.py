@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from strandloom.functions.reads import usable
 from strandloom.operators.depth import densify, read_depth, weighted_centroid
 from strandloom.operators.intervals import delta_counts, expand_runs
+from strandloom.operators.ranks import quantiles
 from strandloom.session import stash
 
 
@@ -41,8 +42,8 @@ def twin_windows(reads: DataFrame, contigs: DataFrame, window: int = 10_000, shi
 
 
 def robust(df: DataFrame, col: str) -> tuple[float, float, float]:
-    """Median, and the distances to the 84.13th and 15.87th percentiles: one row to the driver."""
-    q = df.agg(F.percentile(col, [0.5, 0.8413, 0.1587]).alias("q")).first()["q"] or [0.0, 0.0, 0.0]
+    """Median, and the distances to the 84.13th and 15.87th percentiles: six values at most to the driver."""
+    q = quantiles(df, col, [0.5, 0.8413, 0.1587]) or [0.0, 0.0, 0.0]
     return q[0], q[1] - q[0], q[0] - q[2]
 
 
@@ -56,17 +57,18 @@ def bounds(windows: DataFrame, col: str, wgs: bool = True) -> tuple[float, float
 def fit_model(windows: DataFrame, limits: dict[str, tuple[float, float]]) -> tuple[float, float, float, float]:
     """Intercept and slopes of ln n0 on ln n1, ln n2 and the centroids' distance, by least squares.
 
-    The sums of the normal equations, 14 numbers, come from one aggregate.
+    Means and covariances, 13 numbers, come from one aggregate; what does not vary gets no slope.
     """
     rows = in_limits(windows, limits).where("n0 >= 1")
-    x = [F.lit(1.0), F.log("n1"), F.log("n2"), F.col("c2") - F.col("c1")]
-    y = F.log("n0")
-    sums = [F.sum(x[i] * x[j]) for i in range(4) for j in range(i, 4)] + [F.sum(a * y) for a in x]
-    got = [v or 0.0 for v in rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]
+    x = [F.log("n1"), F.log("n2"), F.col("c2") - F.col("c1"), F.log("n0")]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4) if i < 3]
+    got = [v or 0.0 for v in rows.agg(*[F.avg(v).alias(f"m{k}") for k, v in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"v{i}{j}") for i, j in pairs]).first()]
     m = np.zeros((4, 4))
-    m[np.triu_indices(4)] = got[:10]
-    m = m + np.triu(m, 1).T
-    return tuple(np.linalg.lstsq(m, np.array(got[10:]), rcond=None)[0].tolist())
+    for (i, j), v in zip(pairs, got[4:], strict=True):
+        m[i, j] = m[j, i] = v
+    scale = np.where(m.diagonal()[:3] > 0, np.sqrt(np.abs(m.diagonal()[:3])), 1.0)
+    slopes = np.linalg.lstsq(m[:3, :3] / np.outer(scale, scale), m[:3, 3] / scale, rcond=None)[0] / scale
+    return (float(got[3] - slopes @ np.array(got[:3])), *slopes.tolist())
 
 
 def in_limits(windows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
@@ -91,8 +93,8 @@ def residual_ladder(windows: DataFrame, coef: tuple, limits: dict, base: float =
     rows = in_limits(windows, limits).where("n0 >= 1").select(F.log2((_expected(coef) + 1e-3) / F.col("n0")).alias("y"))
     n = rows.count()
     levels = [1 - base**-i for i in range(1, int(math.log(max(n, 2), base)))]
-    ladder = rows.agg(F.percentile("y", levels).alias("q")).first()["q"] if levels and n else []
-    return robust(rows, "y"), list(ladder or [])
+    mid, right, left, *ladder = quantiles(rows, "y", [0.5, 0.8413, 0.1587, *levels]) or [0.0, 0.0, 0.0]
+    return (mid, right - mid, mid - left), ladder
 
 
 def p_values(windows: DataFrame, coef: tuple, limits: dict, spread: tuple[float, float, float], ladder: list[float], base: float = 1.05) -> DataFrame:

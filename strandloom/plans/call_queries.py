@@ -11,7 +11,7 @@ from strandloom.operators import calls as C
 from strandloom.operators import depth, fragments, nodes, twin
 from strandloom.operators.graph import connected_components
 from strandloom.operators.intervals import overlap_join
-from strandloom.plans.read_queries import FRAGS, J2, contigs, frags, hap_frags, reads
+from strandloom.plans.read_queries import _CENTROIDS, _DENSE, FRAGS, J2, contigs, frags, hap_frags, reads
 from strandloom.plans.registry import query
 from strandloom.session import stash
 from strandloom.sources.views import view
@@ -44,13 +44,13 @@ def calls(spark, sf) -> DataFrame:
 # barcode overlap
 
 
-@query(
-    """with b as (select distinct tid, bcd, start // 100 as b from reads where (flag & 3328) = 0 and mapq >= 20), e as (select tid, bcd, b, unnest(range(0, 100)) as k from b),
-    w1 as (select distinct tid, bcd, b + 1 + k as idx from e), w2 as (select distinct tid, bcd, b - k as idx from e), n as (select tid, idx, count(*) as n1, 0 as n2, 0 as n0 from w1 group by all union all select tid, idx, 0, count(*), 0 from w2 group by all
-      union all select tid, idx, 0, 0, count(*) from w1 join w2 using (tid, bcd, idx) group by all), c as (select tid, (max("end") + 1000) // 100 as last from reads group by tid)
-    select tid, idx, sum(n1)::bigint as n1, sum(n2)::bigint as n2, sum(n0)::bigint as n0 from n join c using (tid) where idx between 0 and last group by tid, idx""",
-    "reads",
-)
+_TWIN = """tb as (select distinct tid, bcd, start // 100 as b from reads where (flag & 3328) = 0 and mapq >= 20), e as (select tid, bcd, b, unnest(range(0, 100)) as k from tb),
+w1 as (select distinct tid, bcd, b + 1 + k as idx from e), w2 as (select distinct tid, bcd, b - k as idx from e), n as (select tid, idx, count(*) as n1, 0 as n2, 0 as n0 from w1 group by all union all select tid, idx, 0, count(*), 0 from w2 group by all
+  union all select tid, idx, 0, 0, count(*) from w1 join w2 using (tid, bcd, idx) group by all), lc as (select tid, (max("end") + 1000) // 100 as last from reads group by tid),
+twin as (select tid, idx, sum(n1)::bigint as n1, sum(n2)::bigint as n2, sum(n0)::bigint as n0 from n join lc using (tid) where idx between 0 and last group by tid, idx)"""
+
+
+@query(f"with {_TWIN} select * from twin", "reads")
 def a4_twin_window_counts(spark, sf):
     return twin.twin_windows(reads(spark, sf), contigs(spark, sf))
 
@@ -67,19 +67,34 @@ def _model(rows):
     return limits, twin.fit_model(rows, limits)
 
 
-@query()
+# limits by robust spreads; slopes by Cramer's rule over covariances
+_FIT = f"""{_TWIN}, {_DENSE}, {_CENTROIDS}, wn as (select twin.tid, idx, n1, n2, n0, c1, c2 from twin join cen on twin.tid = cen.tid and twin.idx = cen.bin),
+l1 as (select quantile_cont(n1, [0.5, 0.8413, 0.1587]) as v from wn where n1 > 0), l2 as (select quantile_cont(n2, [0.5, 0.8413, 0.1587]) as v from wn where n2 > 0),
+lim as (select greatest(l1.v[1] - 3 * (l1.v[1] - l1.v[3]), l1.v[1] / 3) as lo1, least(l1.v[1] + 3 * (l1.v[2] - l1.v[1]), l1.v[1] * 3) as hi1, greatest(l2.v[1] - 3 * (l2.v[1] - l2.v[3]), l2.v[1] / 3) as lo2, least(l2.v[1] + 3 * (l2.v[2] - l2.v[1]), l2.v[1] * 3) as hi2 from l1, l2),
+us as (select n0, ln(n1) as x1, ln(n2) as x2, c2 - c1 as x3, ln(n0) as y from wn, lim where c1 is not null and c2 is not null and n1 > 0 and n2 > 0 and n1 between lo1 and hi1 and n2 between lo2 and hi2 and n0 >= 1),
+cv as (select count(*) as n_windows, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my, covar_pop(x1, x1) as a, covar_pop(x1, x2) as b, covar_pop(x1, x3) as c, covar_pop(x2, x2) as d, covar_pop(x2, x3) as e, covar_pop(x3, x3) as f, covar_pop(x1, y) as p, covar_pop(x2, y) as q, covar_pop(x3, y) as r from us),
+dt as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from cv),
+sl as (select *, (p * (d * f - e * e) - b * (q * f - r * e) + c * (q * e - r * d)) / det as t1, (a * (q * f - r * e) - p * (b * f - c * e) + c * (b * r - c * q)) / det as t2, (a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / det as t3 from dt),
+fit as (select n_windows, my - t1 * m1 - t2 * m2 - t3 * m3 as t0, t1, t2, t3 from sl)"""
+
+
+@query(f"with {_FIT} select n_windows, round(t0, 6) as intercept, round(t1, 6) as slope1, round(t2, 6) as slope2, round(t3, 6) as slope_d from fit", "reads")
 def m1_twin_window_model(spark, sf):
     rows = windows(spark, sf)
     limits, coef = _model(rows)
     return twin.in_limits(rows, limits).where("n0 >= 1").agg(F.count(F.lit(1)).alias("n_windows"), *[F.max(F.lit(round(c, 6))).alias(n) for c, n in zip(coef, ("intercept", "slope1", "slope2", "slope_d"), strict=True)])
 
 
-@query()
+@query(
+    f"""with {_FIT}, rs as (select log2((exp(t0 + t1 * x1 + t2 * x2 + t3 * x3) + 0.001) / n0) as y from us, fit), rq as (select quantile_cont(y, [0.5, 0.8413, 0.1587]) as v, count(*) as n from rs)
+    select round(v[1], 6) as mid, round(v[2] - v[1], 6) as right, round(v[1] - v[3], 6) as left, greatest(floor(ln(greatest(n, 2)) / ln(1.05))::int - 1, 0) as n_steps from rq""",
+    "reads",
+)
 def m2_residual_distribution(spark, sf):
     rows = windows(spark, sf)
     limits, coef = _model(rows)
     (mid, right, left), ladder = twin.residual_ladder(rows, coef, limits)
-    return rows.agg(F.max(F.lit(mid)).alias("mid"), F.max(F.lit(right)).alias("right"), F.max(F.lit(left)).alias("left"), F.max(F.lit(len(ladder))).alias("n_steps"))
+    return rows.agg(*[F.max(F.lit(round(v, 6))).alias(c) for c, v in (("mid", mid), ("right", right), ("left", left))], F.max(F.lit(len(ladder))).alias("n_steps"))
 
 
 @query()

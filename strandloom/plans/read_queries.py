@@ -446,12 +446,12 @@ def w12_bin_size_inference(spark, sf):
     return depth.bin_size(reads(spark, sf))
 
 
-@query(
-    f"""with {_DENSE}, t as (select tid, bin, hq::bigint as d0, floor(hq)::bigint as d from dense), s as (select tid, bin, sum(d * bin) over l as n1, sum(d) over l as s1, sum(d * bin) over r as n2, sum(d) over r as s2 from t
-      window l as (partition by tid order by bin range between 100 preceding and 1 preceding), r as (partition by tid order by bin range between current row and 99 following))
-    select tid, bin, round(case when s1 > 0 then n1 * 100 / s1 end, 6) as c1, round(case when s2 > 0 then n2 * 100 / s2 end, 6) as c2 from s""",
-    "reads",
-)
+_CENTROIDS = """t as (select tid, bin, hq::bigint as d0, floor(hq)::bigint as d from dense), cs as (select tid, bin, sum(d * bin) over l as n1, sum(d) over l as s1, sum(d * bin) over r as n2, sum(d) over r as s2 from t
+  window l as (partition by tid order by bin range between 100 preceding and 1 preceding), r as (partition by tid order by bin range between current row and 99 following)),
+cen as (select tid, bin, case when s1 > 0 then n1 * 100 / s1 end as c1, case when s2 > 0 then n2 * 100 / s2 end as c2 from cs)"""
+
+
+@query(f"with {_DENSE}, {_CENTROIDS} select tid, bin, round(c1, 6) as c1, round(c2, 6) as c2 from cen", "reads")
 def w6_weighted_centroid(spark, sf):
     rows = depth.weighted_centroid(depth.densify(depth.read_depth(reads(spark, sf)), contigs(spark, sf)))
     return rows.select("tid", "bin", F.round("c1", 6).alias("c1"), F.round("c2", 6).alias("c2"))

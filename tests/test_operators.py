@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import reads as R
 from strandloom.functions import scores
-from strandloom.operators import cnv, depth, evidence, intervals, nodes, twin, variants
+from strandloom.operators import cnv, depth, evidence, intervals, nodes, ranks, twin, variants
 from strandloom.operators.graph import connected_components
 
 
@@ -207,6 +207,15 @@ def test_deoverlap_keeps_the_better(spark):
     assert sorted(r.ok for r in variants.deoverlap(df).collect()) == [2, 3, 4]
 
 
+def test_quantiles_equal_the_percentile_of_one_task(spark):
+    rng = random.Random(8)
+    levels = [0.5, 0.8413, 0.1587, *[1 - 1.05**-i for i in range(1, 120)], 0.0, 1.0]
+    for values in ([rng.gauss(0, 3) for _ in range(3001)], [float(rng.randrange(4)) for _ in range(500)] + [None] * 50, [2.5]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
+        assert ranks.quantiles(df, "v", levels) == pytest.approx(df.agg(F.percentile("v", levels).alias("q")).first()["q"], rel=1e-12, abs=1e-12)
+    assert ranks.quantiles(df.where("v is null"), "v", levels) == []
+
+
 def deoverlapped(rows):
     """Row by row, as one would on paper."""
     kept, last = [], None
