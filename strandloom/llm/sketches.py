@@ -10,6 +10,8 @@ Everything is SQL over a row; comparing neighbours costs one shuffle of the text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,36 +79,48 @@ def as_string(col: str, digest: str) -> Column:
     return F.array_join(F.transform(F.concat(F.array(digest), F.col(col)), lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+#: Most ranges of the order of ids; beyond that ranges grow, so that their cuts stay a few MB.
+MOST_RANGES = 100_000
+
+
 def _ranges(rows: DataFrame, buckets: int | None, bytes_a_range: int) -> tuple[Column, int]:
-    """The range of a row in the order by (doc_id, tie), nulls first, as an int that grows with it; and about how many there are.
+    """The range of a row in the order by (doc_id, tie), nulls first, as an int that grows with it; and how many there are at most.
 
-    An id that fills several ranges, or null, is cut by ``tie``, the hash of the text.
+    The keys alone are dealt to sampled ranges; the least key of each (one row a range) makes a sorted
+    array, one constant of the plan, in which a row finds its place by halving. An id that fills several
+    ranges, or null, is cut by ``tie``, the hash of the text.
     """
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), F.sum(F.octet_length("text")).alias("size")).first()
-    buckets = buckets or max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts["size"] or 0) // bytes_a_range))
-    n, named = facts["n"], facts["named"]
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100_000)).first()[0] if buckets > 1 and named else None
-    times: dict = {}
-    for c in cuts or []:
-        times[c] = times.get(c, 0) + 1
-    heavy = {c: k for c, k in times.items() if k > 1}
-    nulls = -(-(n - named) * buckets // n) if n else 0
-    most = max([1, nulls, *heavy.values()])
-
-    def part(k: Column | int) -> Column:
-        return F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * k).cast("int")
-
-    place, sub = F.lit(0), F.lit(0)
-    if times:
-        place = 2 * F.size(F.filter(F.array(*[F.lit(c) for c in sorted(times)]), lambda c: c < F.col("doc_id")))
-    if heavy:
-        filled = F.create_map(*[F.lit(x) for c, k in heavy.items() for x in (c, k)])
-        k = F.try_element_at(filled, F.col("doc_id"))
-        place, sub = place + k.isNotNull().cast("int"), F.when(k.isNotNull(), F.least(part(k), k - 1)).otherwise(0)
-    at = place * most + sub
-    if nulls:
-        at = F.when(F.col("doc_id").isNull(), F.least(part(nulls), F.lit(nulls - 1)) - nulls).otherwise(at)
-    return at.cast("int"), buckets
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    least = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(least, -(-size // max(bytes_a_range, size // MOST_RANGES)))
+    dealt = rows.select("doc_id", "tie").repartitionByRange(buckets, "doc_id", "tie").groupBy(F.spark_partition_id().alias("k"))
+    cuts = sorted((r["low"] for r in dealt.agg(F.min(F.struct("doc_id", "tie")).alias("low")).collect()), key=lambda c: (c[0] is not None, c[0] or 0, c[1]))[1:]
+    if not cuts:
+        return F.lit(0), buckets
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    listed = lambda values, t: F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{t}>")
+    named = [c for c in cuts if c[0] is not None]
+    unnamed = [c[1] for c in cuts if c[0] is None]
+    tie_of_named, id_of_named = (listed([c[1] for c in named], "bigint"), listed([c[0] for c in named], kind)) if named else (None, None)
+
+    def below(n: int, is_below: Callable[[Column], Column]) -> Column:
+        """How many of n sorted cuts are at or below the row."""
+        lo, hi = F.lit(0).alias("lo"), F.lit(n).alias("hi")
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+            left, right = F.struct(s["lo"].alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+            return F.when(s["lo"] >= s["hi"], s).when(is_below(mid), right).otherwise(left)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(lo, hi), halve, lambda s: s["lo"])
+
+    def named_below(k: Column) -> Column:
+        cut = F.get(id_of_named, k)
+        return (cut < F.col("doc_id")) | ((cut == F.col("doc_id")) & (F.get(tie_of_named, k) <= F.col("tie")))
+
+    of_null = below(len(unnamed), lambda k: F.get(listed(unnamed, "bigint"), k) <= F.col("tie")) if unnamed else F.lit(0)
+    of_named = F.lit(len(unnamed)) + (below(len(named), named_below) if named else F.lit(0))
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(of_named).cast("int"), len(cuts) + 1
 
 
 def with_next(docs: DataFrame, buckets: int | None = None, bytes_a_range: int = 32 << 20) -> DataFrame:
