@@ -10,7 +10,8 @@ from strandloom.operators import calls as C
 from strandloom.operators import cnv, depth, evidence, fragments, nodes, sequences
 from strandloom.operators.intervals import band_join, merge_intervals
 from strandloom.operators.variants import copy_number_genotype, deoverlap, hard_filter, pileup
-from strandloom.plans.call_queries import CALLS, calls
+from strandloom.plans.call_queries import _SAME, CALLS, calls
+from strandloom.plans.file_queries import P26, p26_indel_to_deletion
 from strandloom.plans.read_queries import _DENSE, _FD, _HAP, _PAIRS, FRAGS, contigs, frags, hap_frags, reads
 from strandloom.operators.ranks import running_before
 from strandloom.plans.registry import query
@@ -384,26 +385,52 @@ def m10_depth_cutoffs(spark, sf):
     return rows.select("lower", "upper", F.round("rate_low", 9).alias("rate_low"), F.round("rate_high", 9).alias("rate_high"))
 
 
+_BY_HAP = """b as (select tid, bin, unnest([0, 1, 2, 3]) as hap, unnest([coalesce(total0, 0), coalesce(total1, 0), coalesce(total2, 0), coalesce(total, 0)]) as rd, unnest([d0, d1, d2, d3]) as fd from fd left join hap using (tid, bin))"""
+_VALID = """lowb as (select call_id, hap, count(*) as k, any_value([hp0, hp1, hp2, n][hap + 1]) as pairs, any_value("end" // 100 - start // 100) as bins from cl join b using (tid) join cut using (hap) where bin >= start // 100 and bin < "end" // 100 and rd < lower and fd > mean_frag / 4 group by 1, 2),
+sc as (select call_id, hap, 2 * pairs + k as score from lowb where k > 0.667::double * bins and pairs >= 2), valid as (select call_id, arg_max(hap, score * 10 - hap) as hap, max(score) as score from sc where score > {least} group by call_id)"""
+
+
 @query(
-    f"""with {FRAGS}, {_FD}, {_HAP}, {CALLS}, {_DEL}, b as (select tid, bin, unnest([0, 1, 2]) as hap, unnest([total0, total1, total2]) as rd, unnest([d0, d1, d2]) as fd from hap join fd using (tid, bin)), m as (select call_id, hap, count(*) filter (rd < 0.5 and fd > 0.25) as k, count(*) as n from del join b on b.tid = del.tid and bin * 100 >= start and bin * 100 < "end" group by 1, 2),
-    s as (select *, case when k > n * 2 / 3.0 then 2 * 3 + k else 0 end as score from m) select call_id, arg_max(hap, score * 10 - hap) as hap, max(score) as score from s group by call_id having max(score) >= 20""",
+    f"""with {FRAGS}, {_FD}, {_HAP}, {CALLS}, {_DEL}, {_BY_HAP}, cl as (select *, 3 as hp0, 3 as hp1, 3 as hp2, 9 as n from del), cut as (select unnest([0, 1, 2, 3]) as hap, 0.5::double as lower, 1.0::double as mean_frag), {_VALID.format(least=20)} select call_id, hap, score from valid""",
     "reads",
 )
 def m11_validate_discordant_deletions(spark, sf):
-    rows = deletions(spark, sf).select("call_id", "tid", "start", "end", F.lit(3).alias("n_pairs"))
-    return cnv.validate_deletions(rows, depth.hap_read_depth(reads(spark, sf)), depth.hap_fragment_depth(hap_frags(spark, sf)), 0.5, 1.0)
+    rows = deletions(spark, sf).select("call_id", "tid", "start", "end", *[F.lit(3).alias(f"hp{h}") for h in (0, 1, 2)], F.lit(9).alias("n"))
+    cutoffs = spark.range(4).select(F.col("id").cast("int").alias("hap"), F.lit(0.5).alias("lower"), F.lit(1.0).alias("mean_frag"))
+    return cnv.validate_deletions(rows, depth.hap_read_depth(reads(spark, sf)), depth.hap_fragment_depth(hap_frags(spark, sf)), cutoffs)
+
+
+_CUT = """med as (select hap, min(v) / 100 as mid from (select hap, v, sum(count(*)) over (partition by hap order by v) as cum, sum(count(*)) over (partition by hap) as t from (select unnest([0, 1, 2, 3]) as hap, least(floor(unnest([total0, total1, total2, total]) * 100 + 0.5), 1000000)::bigint as v from hap) where v > 0 group by hap, v) where 2 * cum >= t group by hap),
+rt as (select hap, rd / fd as rate, row_number() over (partition by hap order by rd / fd, tid, bin) - 1 as i, count(*) over (partition by hap) as n from b where rd > 0 and fd > 0), cut as (select hap, mid / 10 as lower, mid / rate as mean_frag from med join rt using (hap) where i = least(floor(n / 2 + 0.5), n - 1))"""
+
+
+@query(f"with {FRAGS}, {_FD}, {_HAP}, {_BY_HAP}, {_CUT} select hap, round(lower, 9) as lower, round(mean_frag, 9) as mean_frag from cut", "reads")
+def m10_haplotype_cutoffs(spark, sf):
+    rows = cnv.haplotype_cutoffs(depth.hap_read_depth(reads(spark, sf)), depth.hap_fragment_depth(hap_frags(spark, sf)))
+    return rows.select("hap", F.round("lower", 9).alias("lower"), F.round("mean_frag", 9).alias("mean_frag"))
 
 
 # composites
 
 
-@query()
+_CLUSTERS = f"""{_G5}, cl as (select component as call_id, tid, floor(avg(end1) + 0.5)::int as start, floor(avg(start2) + 0.5)::int as "end", count(*) as n, count(*) filter (hap = 0) as hp0, count(*) filter (hap = 1) as hp1, count(*) filter (hap = 2) as hp2 from p join co using (key) group by component, tid having count(*) between 2 and 1000)"""
+_C3 = f"""{_CLUSTERS}, {_BY_HAP}, {_CUT}, {_VALID.format(least=5)}, {P26},
+calls as (select row_number() over (order by chrom, start, "end") as call_id, 'DEL' as sv_type, chrom as chrom1, start as start1, chrom as chrom2, "end" as start2, score from (select chrom, start, "end", max(score) as score from p26 group by all)), {_SAME},
+alike(a, b) as (select a_id, b_id from same union select alike.a, same.b_id from alike join same on alike.b = same.a_id), kept as (select * from calls where call_id in (select min(b) from alike group by a)),
+pe as (select 'chr' || (tid + 1) as chrom, start, "end", valid.score, valid.hap from cl join valid using (call_id))"""
+
+
+@query(
+    f"""with recursive {FRAGS}, {_FD}, {_HAP}, {_C3} select sv_type, chrom1, start1, chrom2, start2, score::double as score, null::int as hap, 'assembly' as source from kept
+    union all select 'DEL', chrom, start, chrom, "end", score::double, hap, 'pairs' from pe where not exists (select 1 from kept where chrom1 = chrom and abs(start1 - start) <= 10000 and abs(start2 - "end") <= 10000 and least(start2, "end") - greatest(start1, start) >= 0.5 * greatest(start2 - start1, "end" - start))""",
+    "reads",
+)
 def c3_detect_small_deletions(spark, sf):
-    clusters = evidence.cluster_discordant(deletion_pairs(spark, sf), near=3000).select(F.xxhash64("component").alias("call_id"), "tid", "start", "end", F.col("n").alias("n_pairs"))
-    found = cnv.validate_deletions(clusters, depth.hap_read_depth(reads(spark, sf)), depth.hap_fragment_depth(hap_frags(spark, sf)), 0.5, 1.0, least=1)
-    rows = clusters.join(found, "call_id").withColumn("chrom", F.concat(F.lit("chr"), (F.col("tid") + 1).cast("string")))
-    rows = rows.select("call_id", F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("chrom").alias("chrom2"), F.col("end").alias("start2"), F.lit("DEL").alias("sv_type"), "score", "hap")
-    return C.dedupe(rows)
+    """Pairs are grouped within 3,000 bases and a score above 5 will do, as reads here are sparse."""
+    clusters = evidence.cluster_discordant(deletion_pairs(spark, sf), near=3000).withColumn("call_id", F.xxhash64("component"))
+    names = contigs(spark, sf).select("tid", "chrom")
+    found = cnv.small_deletions(stash(clusters, "clusters")[0], depth.hap_read_depth(reads(spark, sf)), depth.hap_fragment_depth(hap_frags(spark, sf)), p26_indel_to_deletion(spark, sf), names, least=5)
+    return found.select("sv_type", "chrom1", "start1", "chrom2", "start2", "score", "hap", "source")
 
 
 @query()

@@ -147,10 +147,12 @@ _VCF = """v as (select 'chr' || (l_suppkey % 5 + 1) || ':' || (l_partkey * 500)
   case l_linenumber % 4 when 0 then '<DEL>' when 1 then 'A' when 2 then 'N[chr1:5[' else 'A' end as alt, case when l_linenumber % 4 = 0 then 'SVTYPE=DEL;SVLEN=-' || (l_quantity::int * 3) else 'DP=5' end as info, l_partkey from lineitem)"""
 
 
-@query(
-    f"""with {_VCF}, l as (select *, case when alt like '%[%' then null when alt = '<DEL>' and ('x' || info) like '%SVTYPE=DEL%' then case when abs(regexp_extract(info, 'SVLEN=(-?[0-9]+)', 1)::int) > 50 then abs(regexp_extract(info, 'SVLEN=(-?[0-9]+)', 1)::int) end when alt <> '<DEL>' and length(ref) - length(alt) > 50 then length(ref) - length(alt) end as length from v)
-    select split_part(contig, ':', 1) as chrom, (l_partkey * 500 + pos)::int as start, (l_partkey * 500 + pos + length)::int as "end", length::int as length, 30 as score from l where length is not null"""
-)
+P26 = f"""{_VCF},
+dl as (select *, case when alt like '%[%' then null when alt = '<DEL>' and ('x' || info) like '%SVTYPE=DEL%' then case when abs(regexp_extract(info, 'SVLEN=(-?[0-9]+)', 1)::int) > 50 then abs(regexp_extract(info, 'SVLEN=(-?[0-9]+)', 1)::int) end when alt <> '<DEL>' and length(ref) - length(alt) > 50 then length(ref) - length(alt) end as length from v),
+p26 as (select split_part(contig, ':', 1) as chrom, (l_partkey * 500 + pos)::int as start, (l_partkey * 500 + pos + length)::int as "end", length::int as length, 30 as score from dl where length is not null)"""
+
+
+@query(f"with {P26} select * from p26")
 def p26_indel_to_deletion(spark, sf):
     v = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
         "concat('chr', l_suppkey % 5 + 1, ':', l_partkey * 500, '-', l_partkey * 500 + 20000) as contig", "cast(l_orderkey % 20000 as int) as pos",

@@ -9,7 +9,7 @@ from strandloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: May be empty on these tables.
-EMPTY = {"a6_high_coverage_regions", "c1_detect_linked_read_svs", "c4_detect_large_cnv", "j9_read_pair_support", "c3_detect_small_deletions", "w8_gc_rich_regions"}
+EMPTY = {"a6_high_coverage_regions", "c1_detect_linked_read_svs", "c4_detect_large_cnv", "j9_read_pair_support", "w8_gc_rich_regions"}
 
 
 @pytest.fixture(scope="module")

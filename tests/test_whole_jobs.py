@@ -97,3 +97,26 @@ def test_short_aberration_is_cut_out(spark):
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)], "tid int, pos int, value double")
     got = sorted((r.start, r.end) for r in segmentation.rank_segments(df).collect())
     assert (200, 219) in got and got == cut_again(values)
+
+
+def test_deletions_of_pairs_and_assembly(spark):
+    """Reads of haplotype 1 are missing from 20,000 to 25,000 under whole fragments; the pairs there tell it, and those at 40,000 do not."""
+    from strandloom.operators import cnv
+
+    bins = [(0, b, 1.0, 0.0 if 200 <= b < 250 else 1.0, 1.0, 2.0 if 200 <= b < 250 else 3.0) for b in range(600)]
+    # bins without any read are absent, as where depth is counted
+    depth = spark.createDataFrame([x for x in bins if x[1] != 210], "tid int, bin int, total0 double, total1 double, total2 double, total double")
+    frags_over = spark.createDataFrame([(0, b, 2, 2, 2, 6) for b in range(600)], "tid int, bin long, d0 int, d1 int, d2 int, d3 int")
+    clusters = spark.createDataFrame([(1, 0, 20_030, 25_010, 0, 3, 0, 3), (2, 0, 40_000, 45_000, 1, 2, 0, 3), (3, 0, 20_000, 25_000, 1, 1, 1, 3)], "call_id long, tid int, start int, end int, hp0 long, hp1 long, hp2 long, n long")
+    cut = {r.hap: (r.lower, r.mean_frag) for r in cnv.haplotype_cutoffs(depth, frags_over).collect()}
+    assert cut == {0: (0.1, 2.0), 1: (0.1, 2.0), 2: (0.1, 2.0), 3: (0.3, 6.0)}
+    names = spark.createDataFrame([(0, "chr1")], "tid int, chrom string")
+    schema = "chrom string, start int, end int, length int, score int"
+    none = spark.createDataFrame([], schema)
+    got = cnv.small_deletions(clusters, depth, frags_over, none, names).collect()
+    assert [(r.start1, r.start2, r.hap, r.score, r.source) for r in got] == [(20_030, 25_010, 1, 2 * 3 + 50, "pairs")]
+    # an assembled deletion stands for the one that pairs tell, and for its own copies
+    text = spark.createDataFrame([("chr1", 20_000, 25_000, 5000, 30), ("chr1", 20_000, 25_000, 5000, 30), ("chr1", 20_010, 25_000, 4990, 30), ("chr2", 5, 905, 900, 30)], schema)
+    both = cnv.small_deletions(clusters, depth, frags_over, text, names).collect()
+    assert sorted((r.chrom1, r.start1, r.start2, r.source) for r in both) == [("chr1", 20_000, 25_000, "assembly"), ("chr2", 5, 905, "assembly")]
+    assert cnv.small_deletions(clusters.limit(0), depth.limit(0), frags_over.limit(0), none, names).count() == 0
