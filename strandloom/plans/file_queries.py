@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import reads as R
 from strandloom.operators import fragments
 from strandloom.plans.call_queries import CALLS, calls
-from strandloom.plans.read_queries import contigs, reads
+from strandloom.plans.read_queries import W2, contigs, reads
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_queries import seqs
 from strandloom.session import new_path
@@ -201,6 +201,19 @@ def r2_stream_gap_sessions(spark, sf):
     return out.select("user_id", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
 
 
+@query(W2, "reads")
+def r2_stream_fragments(spark, sf):
+    """Reads come in an order of no meaning, in four batches over a day; one far later closes what is open."""
+    place = F.pmod(F.hash("read_id", "line", "start"), F.lit(86_400))
+    rows = reads(spark, sf).withColumn("time", F.timestamp_seconds(F.lit(1_700_000_000) + place))
+    path = new_path(spark, "deliveries")
+    rows.repartition(4).write.parquet(path)
+    last = rows.limit(1).withColumn("bcd", F.lit("closing")).withColumn("flag", F.lit(0)).withColumn("time", F.timestamp_seconds(F.lit(1_900_000_000)))
+    last.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return events.run_to_table(events.stream_fragments(stream, "time", 20_000, 500, "1 hour", "2 days", min_good=1), "append", "fragments")
+
+
 @query(
     """with once as (select distinct on (bcd, read_id, flag, tid, start, line) * from reads) select count(*) filter ((flag & 2304) = 0) as n_primary, count(*) filter ((flag & 4) <> 0) as n_unmapped, count(*) filter ((flag & 2048) <> 0) as n_supplementary, count(*) filter ((flag & 256) <> 0) as n_secondary,
     count(*) filter ((flag & 1024) <> 0) as n_duplicate, count(*) filter (mapq >= 30) as n_mapq30, count(*) filter (mapq between 20 and 29) as n_mapq20, count(*) filter (mapq between 10 and 19) as n_mapq10, count(*) filter (bcd is null) as n_no_barcode, count(*) filter (hptype = 0) as n_no_haplotype,

@@ -215,14 +215,14 @@ def w1_gap_sessionize_reads(spark, sf):
     return fragments.gap_fragments(reads(spark, sf), GAP, min_good=1)
 
 
-@query(
-    f"""with r as (select *, lag("end") over w as p_end, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(read_id) over w as p_read from reads where (flag & 1028) = 0 window w as (partition by bcd, tid order by {ORDER})),
+W2 = f"""with r as (select *, lag("end") over w as p_end, lag(start) over w as p_start, lag(flag) over w as p_flag, lag(read_id) over w as p_read from reads where (flag & 1028) = 0 window w as (partition by bcd, tid order by {ORDER})),
     n as (select *, case when p_end is null or start - p_end > 20000 or (p_read = read_id and ((p_flag & 64) <> 0) <> ((flag & 64) <> 0) and ((p_flag & 128) <> 0) <> ((flag & 128) <> 0) and ((p_flag & 16) <> 0) <> ((flag & 16) <> 0)
       and coalesce(case when (p_flag & 16) = 0 and p_start <= start then start - p_end when (flag & 16) = 0 and start <= p_start then p_start - "end" end, 0) > 500) then 1 else 0 end as new from r),
     s as (select *, sum(new) over (partition by bcd, tid order by {ORDER} rows unbounded preceding) as frag from n)
-    select bcd, tid, frag::bigint as frag, min(start) as start, last("end" order by {ORDER}) as "end", count(*)::int as num_reads, (count(*) filter (mapq >= 20))::int as num_good_reads from s group by bcd, tid, frag having count(*) filter (mapq >= 20) > 1""",
-    "reads",
-)
+    select bcd, tid, frag::bigint as frag, min(start) as start, last("end" order by {ORDER}) as "end", count(*)::int as num_reads, (count(*) filter (mapq >= 20))::int as num_good_reads from s group by bcd, tid, frag having count(*) filter (mapq >= 20) > 1"""
+
+
+@query(W2, "reads")
 def w2_cluster_fragments(spark, sf):
     return fragments.cluster_fragments(reads(spark, sf), 20_000, 500, min_good=1).select("bcd", "tid", "frag", "start", "end", "num_reads", "num_good_reads")
 

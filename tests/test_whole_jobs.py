@@ -120,3 +120,33 @@ def test_deletions_of_pairs_and_assembly(spark):
     both = cnv.small_deletions(clusters, depth, frags_over, text, names).collect()
     assert sorted((r.chrom1, r.start1, r.start2, r.source) for r in both) == [("chr1", 20_000, 25_000, "assembly"), ("chr2", 5, 905, "assembly")]
     assert cnv.small_deletions(clusters.limit(0), depth.limit(0), frags_over.limit(0), none, names).count() == 0
+
+
+def test_stream_of_fragments_equals_the_batch_rule(spark, tmp_path):
+    """Shuffled deliveries, ties, repeated reads and nulls; a read later than the watermark is dropped."""
+    import datetime as dt
+
+    from strandloom.operators import fragments
+    from strandloom.streaming import events
+
+    rng = random.Random(5)
+    day = dt.datetime(2024, 1, 1)
+    schema = "bcd string, tid int, start int, end int, mapq int, hptype int, read_id string, flag int, line int, time timestamp"
+    rows = []
+    for k in range(400):
+        start = rng.randrange(0, 30_000, 50)
+        flag = rng.choice([64, 128]) | rng.choice([0, 16]) | rng.choice([0, 0, 0, 1024])
+        rows.append((rng.choice(["a", "b", None]), rng.choice([0, 1]), start, start + 100, rng.choice([5, 30, 60]), 0, f"r{k // 3}", flag, k % 4, day + dt.timedelta(seconds=rng.randrange(3600))))
+    rows += rows[:5] + [("a", None, 5, 105, 60, 0, "n", 64, 0, day), ("c", 0, 5, 105, 60, 0, None, 64, 0, day), ("c", 0, 900, 1000, 60, 0, None, 144, 0, day)]
+    rng.shuffle(rows)
+    close = [[("z", 0, 1, 2, 60, 0, "z", 64, 0, day + dt.timedelta(days=d))] for d in (9, 10, 11)]
+    late = [("a", 0, 1, 2, 60, 0, "late", 64, 0, day)]
+    for k, part in enumerate([rows[:150], rows[150:300], rows[300:], close[0], close[1], late, close[2]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cols = ["bcd", "tid", "frag", "start", "end", "num_reads", "num_good_reads"]
+    got = events.run_to_table(events.stream_fragments(stream, "time", 600, 200, "1 minute", "2 hours", min_good=0), "append", "fragments")
+    want = fragments.cluster_fragments(spark.createDataFrame(rows, schema).where("tid is not null"), 600, 200, min_good=0).select(*cols)
+    got, want = (sorted(map(tuple, x.select(*cols).collect())) for x in (got, want))
+    assert (set(got) - set(want), set(want) - set(got)) == (set(), set()) and len(got) == len(want)
+    assert len(want) > 20
