@@ -73,11 +73,11 @@ def s10_read_alt_contigs(spark, sf):
 def s11_read_2d_blacklist(spark, sf):
     pts = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("concat('chr', l_suppkey % 3 + 1) as chrom1", "concat('chr', l_linenumber % 3 + 1) as chrom2", "cast(l_partkey as int) as pos1", "cast(l_orderkey % 1000 as int) as pos2").distinct()
     lines = pts.groupBy("chrom1", "chrom2", "pos1").agg(F.array_join(F.array_sort(F.collect_list("pos2")).cast("array<string>"), ",").alias("p"))
-    # a section is written in pieces of at most 100 lines, each under the header again
-    lines = lines.select("chrom1", "chrom2", F.expr("pos1 div 100").alias("piece"), F.concat_ws("\t", F.col("pos1").cast("string"), "p").alias("line"))
-    sections = lines.groupBy("chrom1", "chrom2", "piece").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    # header and lines of a section follow each other over all files, whose cuts fall anywhere
+    lines = lines.select("chrom1", "chrom2", "pos1", F.concat_ws("\t", F.col("pos1").cast("string"), "p").alias("line"))
+    heads = lines.select("chrom1", "chrom2").distinct().select("*", F.lit(-1).alias("pos1"), F.concat(F.lit(">"), "chrom1", F.lit(","), "chrom2").alias("line"))
     path = new_path(spark, "points")
-    sections.select(F.concat(F.lit("#bin_size=1000\n>"), "chrom1", F.lit(","), "chrom2", F.lit("\n"), "body").alias("value")).write.text(path)
+    lines.unionByName(heads).repartitionByRange("chrom1", "chrom2", "pos1").sortWithinPartitions("chrom1", "chrom2", "pos1").select(F.col("line").alias("value")).write.text(path)
     return files.read_2d_blacklist(spark, path)
 
 

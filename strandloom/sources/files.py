@@ -75,15 +75,25 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("chrom")).where("chrom <> '' and not startswith(chrom, '#')").distinct()
 
 
-def read_2d_blacklist(spark: SparkSession, path: str, chr_prefix: bool = True) -> DataFrame:
+def read_2d_blacklist(spark: SparkSession, path: str, chr_prefix: bool = True, tile: int = 100_000) -> DataFrame:
     """Sections ``>chrom1,chrom2`` of lines ``pos1<TAB>pos2,pos2,...`` as ``chrom1, chrom2, pos1, pos2``.
 
-    Sections are split first, so that each is read by itself, whatever their number.
+    A section may have any length, and go on in the next file by name: each tile of lines finds its own
+    headers, and what is open before it comes from the last header of an earlier tile, of which there is
+    one row a tile. Sections whose header is not of this form, lines before any header, blank ones and
+    those that begin with ``#`` are left out.
     """
-    sections = spark.read.option("lineSep", ">").text(path).where("value rlike '^[^#,\\n]+,[^\\n]+\\n'")
-    head, body = F.split(F.substring_index("value", "\n", 1), ","), F.expr("substr(value, instr(value, '\\n') + 1)")
-    rows = sections.select(F.trim(F.get(head, 0)).alias("chrom1"), F.trim(F.get(head, 1)).alias("chrom2"), F.explode(F.split(body, "\n")).alias("line")).where("line <> '' and not startswith(line, '#')")
-    out = rows.select("chrom1", "chrom2", F.substring_index("line", "\t", 1).try_cast("int").alias("pos1"), F.explode(F.split(F.trim(F.substring_index("line", "\t", -1)), ",")).alias("pos2"))
+    lines = numbered_lines(spark, path).where("value <> '' and not startswith(value, '#')").withColumn("tile", F.expr(f"n div {tile}"))
+    parts = F.split(F.regexp_extract("value", r"^>([^,]+,.+)$", 1), ",")
+    head = F.struct(F.trim(F.get(parts, 0)).alias("chrom1"), F.trim(F.get(parts, 1)).alias("chrom2"))
+    lines = lines.withColumn("head", F.when(F.col("value").startswith(">"), head))
+    last = lines.groupBy("file", "tile").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("n"))).alias("last"))
+    earlier = Window.orderBy("file", "tile").rowsBetween(Window.unboundedPreceding, -1)  # one row a tile
+    open_ = last.select("file", "tile", F.last("last", ignorenulls=True).over(earlier).alias("open"))
+    within = Window.partitionBy("file", "tile").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("own", F.last("head", ignorenulls=True).over(within)).where("head is null").join(F.broadcast(open_), ["file", "tile"])
+    rows = rows.select(F.coalesce("own", "open").alias("h"), "value").where("h.chrom2 is not null")
+    out = rows.select("h.*", F.substring_index("value", "\t", 1).try_cast("int").alias("pos1"), F.explode(F.split(F.trim(F.substring_index("value", "\t", -1)), ",")).alias("pos2"))
     out = out.where("pos2 <> ''").withColumn("pos2", F.col("pos2").try_cast("int"))
     if chr_prefix:
         return out

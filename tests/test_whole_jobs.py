@@ -150,3 +150,18 @@ def test_stream_of_fragments_equals_the_batch_rule(spark, tmp_path):
     got, want = (sorted(map(tuple, x.select(*cols).collect())) for x in (got, want))
     assert (set(got) - set(want), set(want) - set(got)) == (set(), set()) and len(got) == len(want)
     assert len(want) > 20
+
+
+def test_a_section_goes_on_in_the_next_files(spark, tmp_path):
+    from strandloom.sources import files
+
+    texts = ["#bin_size=10\n9\t9\n>chr1,chr2\n1\t5,6\n\n2\t7", "3\t8,\n#note\n4\t9", "5\t1\n>bad\n6\t6\n>chr2, chr3\n7\t7\n>chr4,chr5\n", "8\t8\nx\t1"]
+    for k, t in enumerate(texts):
+        (tmp_path / f"part-{k}.txt").write_text(t)
+    want = {("chr1", "chr2", 1, 5), ("chr1", "chr2", 1, 6), ("chr1", "chr2", 2, 7), ("chr1", "chr2", 3, 8), ("chr1", "chr2", 4, 9), ("chr1", "chr2", 5, 1), ("chr2", "chr3", 7, 7), ("chr4", "chr5", 8, 8), ("chr4", "chr5", None, 1)}
+    for tile in (1, 2, 100):
+        got = [tuple(r) for r in files.read_2d_blacklist(spark, str(tmp_path), tile=tile).collect()]
+        assert set(got) == want and len(got) == len(want), tile
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.txt").write_text("")
+    assert files.read_2d_blacklist(spark, str(tmp_path / "none")).count() == 0
