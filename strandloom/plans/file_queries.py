@@ -203,11 +203,11 @@ def r2_stream_gap_sessions(spark, sf):
 
 @query(W2, "reads")
 def r2_stream_fragments(spark, sf):
-    """Reads come in an order of no meaning, in four batches over a day; one far later closes what is open."""
+    """Reads come in an order of no meaning, in two batches over a day; one far later closes what is open."""
     place = F.pmod(F.hash("read_id", "line", "start"), F.lit(86_400))
     rows = reads(spark, sf).withColumn("time", F.timestamp_seconds(F.lit(1_700_000_000) + place))
     path = new_path(spark, "deliveries")
-    rows.repartition(4).write.parquet(path)
+    rows.repartition(2).write.parquet(path)
     last = rows.limit(1).withColumn("bcd", F.lit("closing")).withColumn("flag", F.lit(0)).withColumn("time", F.timestamp_seconds(F.lit(1_900_000_000)))
     last.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
