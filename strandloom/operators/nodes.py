@@ -181,3 +181,15 @@ def heatmap_counts(reads: DataFrame, pairs: DataFrame, cell: int = 1000, cap: in
         sides.append(met.select(F.col("b_pair_id").alias("pair_id"), "bcd", F.floor((F.col("start") - F.col("b_start")) / cell).alias("x" if k == 1 else "y")).distinct())
     counts = sides[0].join(sides[1], ["pair_id", "bcd"]).groupBy("pair_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("n", F.least("n", F.lit(cap).cast("long")))
+
+
+def heatmap_matrix(reads: DataFrame, calls: DataFrame, contigs: DataFrame, flank: int = 100_000, cell: int = 1000, cap: int = 100) -> DataFrame:
+    """The cells with shared barcodes around the two breakpoints of each call (``call_id, tid1, pos1, tid2, pos2``): ``call_id, x, y, n``.
+
+    ``x`` and ``y`` count from the start of each side's region, which is ``flank`` either way, within the
+    contig (``tid, length``). Reads of any quality count; a call on an unknown contig has no cells.
+    """
+    ends = contigs.select(F.col("tid").alias("tid1"), F.col("length").alias("len1")), contigs.select(F.col("tid").alias("tid2"), F.col("length").alias("len2"))
+    rows = calls.join(F.broadcast(ends[0]), "tid1").join(F.broadcast(ends[1]), "tid2")
+    side = lambda k: [f"tid{k}", F.greatest(F.col(f"pos{k}") - flank, F.lit(0)).alias(f"start{k}"), F.least(F.col(f"pos{k}") + flank, F.col(f"len{k}")).alias(f"end{k}")]
+    return heatmap_counts(reads, rows.select(F.col("call_id").alias("pair_id"), *side(1), *side(2)), cell, cap).withColumnRenamed("pair_id", "call_id")

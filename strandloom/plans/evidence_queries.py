@@ -445,6 +445,17 @@ def d3_heatmap_diagonal(spark, sf):
     return reads(spark, sf).select("tid", F.floor(F.col("start") / 1000).alias("x"), "bcd").distinct().groupBy("tid", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """with c as (select tid, max("end") + 1000 as length from reads group by tid), box as (select gap_id as call_id, g.tid, greatest(start - 100000, 0) as s1, least(start + 100000, length) as e1, greatest("end" - 100000, 0) as s2, least("end" + 100000, length) as e2 from gaps g join c on c.tid = g.tid), m as (select tid, bcd, (start + "end") // 2 as mid from reads),
+    x as (select distinct call_id, bcd, (mid - s1) // 1000 as x from box join m on m.tid = box.tid and mid >= s1 and mid < e1), y as (select distinct call_id, bcd, (mid - s2) // 1000 as y from box join m on m.tid = box.tid and mid >= s2 and mid < e2)
+    select call_id, x, y, least(count(*), 100) as n from x join y using (call_id, bcd) group by all""",
+    "reads", "gaps",
+)
+def d3_heatmap_matrix(spark, sf):
+    rows = view(spark, sf, "gaps").select(F.col("gap_id").alias("call_id"), F.col("tid").alias("tid1"), F.col("start").alias("pos1"), F.col("tid").alias("tid2"), F.col("end").alias("pos2"))
+    return nodes.heatmap_matrix(reads(spark, sf), rows, contigs(spark, sf))
+
+
 @query()
 def c7_call_variants_from_contigs(spark, sf):
     piled = pileup(bases(spark, sf))
