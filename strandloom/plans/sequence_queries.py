@@ -163,9 +163,8 @@ def p28_trim_by_quality(spark, sf):
 
 
 def _trimmed(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("t", S.trim_by_quality("quals"))
-    score = F.aggregate(F.slice("quals", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")), F.lit(0.0), lambda t, q: t + F.round(F.lit(0.05) - F.pow(F.lit(10.0), -q / 10.0), 9))
-    return rows.where("t.end > t.start").select("name", F.round(score, 9).alias("best_score"))
+    rows = rows.withColumn("t", S.best_stretch("quals"))
+    return rows.where("t.end > t.start").select("name", F.round("t.score", 9).alias("best_score"))
 
 
 @query(
