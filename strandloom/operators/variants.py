@@ -208,6 +208,21 @@ def run_length_depth(depth: DataFrame, p: float = 0.0, tile: int = TILE) -> Data
     return rows.withColumn("run", run).groupBy("tid", "run").agg(F.col("run").alias("start"), (F.max("pos") + 1).alias("end"), F.min_by("d", "pos").alias("d")).drop("run")
 
 
+def join_runs(runs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Runs (``tid, idx, to, d``) with ``run``, the first place of the longer run of equal ``d`` that they make with those that touch them.
+
+    What a tile's last run is, and where the run that it ends in began, are carried from tile to tile.
+    """
+    along = Window.partitionBy("tid").orderBy("_tile")
+    w = Window.partitionBy("tid", "_tile").orderBy("idx")
+    rows = tiled(runs, ["tid"], "idx", [F.max(F.struct("idx", "to", "d")).alias("_l")], [F.lag("_l").over(along).alias("_p")], tile)
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.col(f"_p.{c}"))
+    goes_on = (F.col("d") == before("d")) & (F.col("idx") == before("to") + 1)
+    rows = rows.withColumn("_first", F.when(goes_on, None).otherwise(F.col("idx"))).drop("_tile", "_p")
+    rows = tiled(rows, ["tid"], "idx", [F.max("_first").alias("_m")], [F.max("_m").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier")], tile)
+    return rows.withColumn("run", F.coalesce(F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_earlier")).drop("_first", "_earlier", "_tile")
+
+
 def chunk_regions(reads: DataFrame, bases: int, gap: int, tile: int = TILE) -> DataFrame:
     """Contigs cut at gaps above ``gap`` and where the aligned bases so far pass a multiple of ``bases``: ``tid, start, end, bases``.
 
