@@ -130,13 +130,23 @@ def distance_eval(truth: DataFrame, called: DataFrame, near: int = 10) -> DataFr
     return rows.select("kind", "tp", "fn", "fp", (F.col("fn") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))).alias("fnr"), (F.col("fp") / F.nullif(F.col("n_calls"), F.lit(0))).alias("fdr"))
 
 
+#: Rows of samples that one task merges.
+SITES_OF_A_TASK = 1 << 19
+
+
 def merge_samples(samples: dict[str, DataFrame]) -> DataFrame:
-    """One row for each (chrom, pos, ref, alt) of any sample, with each sample's best quality; one shuffle however many samples."""
+    """One row for each (chrom, pos, ref, alt) of any sample, with each sample's best quality; one shuffle however many samples.
+
+    Sites are dealt to tasks by their place before they are counted: most are seen once or twice, and a map of them
+    would be as large as the rows that a task reads. The number of tasks follows the rows.
+    """
     rows = None
     for name, df in samples.items():
         part = df.select("chrom", "pos", "ref", "alt", "qual", F.lit(name).alias("sample"))
         rows = part if rows is None else rows.unionAll(part)
-    return rows.groupBy("chrom", "pos", "ref", "alt").agg(*[F.max(F.when(F.col("sample") == n, F.col("qual"))).alias(f"qual_{n}") for n in samples], F.count_distinct("sample").alias("n_samples"))
+    rows = rows.repartition(1 + rows.count() // SITES_OF_A_TASK, "chrom", "pos")
+    seen = sum((F.coalesce(F.max(F.when(F.col("sample") == n, 1)), F.lit(0)) for n in samples), F.lit(0))
+    return rows.groupBy("chrom", "pos", "ref", "alt").agg(*[F.max(F.when(F.col("sample") == n, F.col("qual"))).alias(f"qual_{n}") for n in samples], seen.cast("long").alias("n_samples"))
 
 
 def deoverlap(sites: DataFrame, tile: int = TILE) -> DataFrame:
