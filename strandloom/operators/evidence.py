@@ -34,6 +34,19 @@ def read_pair_support(pairs: DataFrame, reads: DataFrame, end1: str = "R_end", e
     return pairs.join(met, ["frag1", "frag2"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
 
 
+def all_pairs_support(fragments: DataFrame, reads: DataFrame, end1: str = "R_end", end2: str = "L_end") -> DataFrame:
+    """``read_pair_support`` of every two fragments (``bcd, frag_id, at``) of a barcode, the first by ``at`` as ``frag1``.
+
+    A fragment brings the few others that its reads support, so that the pairs, which grow with the square of a
+    barcode's fragments, are looked up where they are made and never shuffled.
+    """
+    side = lambda k, end: reads.where(has_flag("flag", REVERSE) == F.lit(end == "L_end")).select("bcd", "read_id", F.col("frag_id").alias(f"frag{k}")).distinct()
+    met = side(1, end1).join(side(2, end2), ["bcd", "read_id"]).groupBy("bcd", "frag1").agg(F.collect_set("frag2").alias("_partners"))
+    a = fragments.select("bcd", F.col("frag_id").alias("frag1"), F.col("at").alias("_at1")).join(met, ["bcd", "frag1"], "left")
+    b = fragments.select("bcd", F.col("frag_id").alias("frag2"), F.col("at").alias("_at2"))
+    return a.join(b, "bcd").where("_at1 < _at2").select("frag1", "frag2", F.coalesce(F.array_contains("_partners", F.col("frag2")), F.lit(False)).alias("supported"))
+
+
 def lookup(points: DataFrame, values: DataFrame, value: str, size: int = 100) -> DataFrame:
     """``points`` (``tid, pos``) with the value of their bin, 0 where there is none."""
     rows = points.withColumn("bin", F.floor(F.col("pos") / size).cast("int"))
