@@ -117,12 +117,13 @@ def f13_subset_by_region(spark, sf):
 
 def _merged(rows: DataFrame) -> DataFrame:
     """Each sequence with that of the next name: N where they differ."""
-    # one base each
-    a = rows.select("name", F.split("seq", "").alias("s"))
-    b = a.select((F.col("name") - 1).alias("name"), F.col("s").alias("t"))
-    n = F.least(F.size("s"), F.size("t"))
-    rows = a.join(b, "name").where((F.size("s") > 0) & (F.size("t") > 0)).withColumn("z", F.zip_with(F.slice("s", 1, n), F.slice("t", 1, n), lambda x, y: F.when(x == y, x).otherwise("N")))
-    same = F.aggregate(F.zip_with(F.slice("s", 1, n), F.slice("t", 1, n), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, v: t + v)
+    # texts meet as texts, and are split into bases only then
+    both = rows.select("name", "seq").join(rows.select((F.col("name") - 1).alias("name"), F.col("seq").alias("other")), "name").where("seq <> '' and other <> ''")
+    n = F.least(F.length("seq"), F.length("other"))
+    rows = both.select("name", n.alias("n"), F.split(F.substr("seq", F.lit(1), n), "").alias("s"), F.split(F.substr("other", F.lit(1), n), "").alias("t"))
+    n = F.col("n")
+    rows = rows.withColumn("z", F.zip_with("s", "t", lambda x, y: F.when(x == y, x).otherwise("N")))
+    same = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, v: t + v)
     return rows.select("name", same.cast("long").alias("n_same"), (n - same).cast("long").alias("n_different"), F.array_join("z", "").alias("merged"))
 
 
