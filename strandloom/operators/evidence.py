@@ -12,6 +12,7 @@ from strandloom.functions.reads import REVERSE, has_flag
 from strandloom.operators.graph import connected_components
 from strandloom.operators.intervals import overlap_join
 from strandloom.operators.nodes import cluster, neighbours
+from strandloom.operators.ranks import quantiles
 
 
 def shared_barcodes(side1: DataFrame, side2: DataFrame) -> DataFrame:
@@ -128,7 +129,8 @@ def breakpoint_evidence(reads: DataFrame, pairs: DataFrame) -> DataFrame:
     Strands are 1 and -1. ``reads`` has ``cigar``; a null one has no clip.
     """
     reverse = has_flag("flag", REVERSE)
-    left, right = (F.coalesce(F.regexp_extract("cigar", p, 1).try_cast("int"), F.lit(0)) for p in (r"^(\d+)[SH]", r"(\d+)[SH]$"))
+    # a cast that fails costs far more than one of null
+    left, right = (F.coalesce(F.nullif(F.regexp_extract("cigar", p, 1), F.lit("")).try_cast("int"), F.lit(0)) for p in (r"^(\d+)[SH]", r"(\d+)[SH]$"))
     points = F.when(reverse, F.col("start")).otherwise(F.col("end"))
     cut = F.when(left > right, F.col("start")).when(right > 0, F.col("end"))
     rows = _in_both_regions(reads, pairs, lambda k: [F.col("flag").alias(f"f{k}"), points.alias(f"e{k}"), cut.alias(f"c{k}"), F.when(reverse, -1).otherwise(1).alias(f"strand{k}"), F.col("start").alias(f"s{k}")])
@@ -140,10 +142,12 @@ def breakpoint_evidence(reads: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def insert_size_stats(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     """Quartiles of the positive insert sizes, the upper fence, Q3 + 1.5 IQR, and the median lengths of first and second mates."""
-    q = pairs.where("inner_size > 0").agg(F.percentile("inner_size", [0.25, 0.5, 0.75]).alias("q"))
+    # there are about as many sizes as pairs, but few lengths of reads
+    q1, q2, q3 = quantiles(pairs.where("inner_size > 0"), "inner_size", [0.25, 0.5, 0.75]) or (None, None, None)
     of_mate = lambda bit: F.percentile(F.when(has_flag("flag", bit), F.col("end") - F.col("start")), 0.5)
     lengths = reads.agg(F.lit(1).alias("_k"), of_mate(64).alias("length1"), of_mate(128).alias("length2"))
-    sizes = q.select(F.lit(1).alias("_k"), F.get("q", 0).alias("q1"), F.get("q", 1).alias("q2"), F.get("q", 2).alias("q3"), (F.get("q", 2) + 1.5 * (F.get("q", 2) - F.get("q", 0))).alias("cutoff"))
+    cutoff = None if q1 is None else q3 + 1.5 * (q3 - q1)
+    sizes = pairs.sparkSession.createDataFrame([(1, q1, q2, q3, cutoff)], "_k int, q1 double, q2 double, q3 double, cutoff double")
     return sizes.join(lengths, "_k").drop("_k")  # of one row each
 
 
