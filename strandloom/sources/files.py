@@ -191,7 +191,7 @@ def indel_to_deletion(vcf: DataFrame, least: int = 50) -> DataFrame:
     A row counts if the reference is more than ``least`` bases longer, or if its info says DEL of such a
     length; breakends do not. Places are shifted by the region's start.
     """
-    at = F.regexp_extract("contig", r":(\d+)-", 1).try_cast("int")
+    at = F.regexp_extract("contig", r":(\d+)-", 1).try_cast("long")
     info = F.str_to_map("info", F.lit(";"), F.lit("="))
     rows = vcf.where(~F.col("alt").rlike(r"[\[\]]")).withColumn("_at", at).withColumn("_i", info)
     by_text = F.when(F.length("ref") - F.length("alt") > least, F.length("ref") - F.length("alt"))
@@ -202,7 +202,7 @@ def indel_to_deletion(vcf: DataFrame, least: int = 50) -> DataFrame:
 
 def deletion_calls_to_bed(calls: DataFrame, shortest: int = 50, longest: int = 1_000_000) -> DataFrame:
     """Deletions of several dialects (``chrom, pos, ref, alt, filter, info, gt``) as intervals: symbolic, by END or SVLEN, or spelled out."""
-    end = F.regexp_extract("info", r"(?:^|;)END=(\d+)", 1).try_cast("int")
+    end = F.regexp_extract("info", r"(?:^|;)END=(\d+)", 1).try_cast("long")
     size = F.abs(F.regexp_extract("info", r"(?:^|;)SVLEN=(-?\d+)", 1).try_cast("int"))
     stop = F.when(F.col("alt") == "<DEL>", F.coalesce(end, F.col("pos") + size)).when(F.col("alt").rlike("^[ACGTN]+$") & (F.length("ref") > F.length("alt")), F.col("pos") + F.length("ref") - F.length("alt"))
     ok = F.col("filter").isin("PASS", ".") & ~F.coalesce(F.col("gt"), F.lit("")).rlike(r"^0[/|]0")
