@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scores import log_factorial
 from strandloom.operators.intervals import TILE, tiled, with_halo
+from strandloom.session import stash
 
 #: Allele classes.
 TRANSITION, TRANSVERSION, MNP, INSERTION, DELETION = range(5)
@@ -184,21 +189,119 @@ def deoverlap(sites: DataFrame, tile: int = TILE) -> DataFrame:
     return won.unionByName(rows.where(~solid).select("_v.*")).withColumn("end", F.col("pos") + F.length("ref"))
 
 
-def pileup(bases: DataFrame, min_support: int = 2) -> DataFrame:
-    """Aligned bases (``tid, pos, base, reverse``) by position: depth, the two best alleles with enough support, their counts."""
-    counts = bases.groupBy("tid", "pos", "base").agg(F.count(F.lit(1)).alias("n"), F.count_if("reverse").alias("n_reverse"))
-    ranked = F.array_sort(F.collect_list(F.when(F.col("n") >= min_support, F.struct((-F.col("n")).alias("k"), "base", "n_reverse"))))
-    out = counts.groupBy("tid", "pos").agg(F.sum("n").alias("depth"), ranked.alias("a")).where(F.size("a") > 0)
-    first, second = F.get("a", 0), F.get("a", 1)
-    return out.select("tid", "pos", "depth", first["base"].alias("best"), (-first["k"]).alias("n_best"), first["n_reverse"].alias("n_best_reverse"), second["base"].alias("second"), F.coalesce(-second["k"], F.lit(0)).alias("n_second"))
+#: Letters that are told apart, in order; any other counts as N. Places of a tile.
+LETTERS = np.frombuffer(b"ACGNT", np.uint8)
+PILE_TILE = 1 << 16
+_CODE = np.full(256, 3, np.uint8)
+for _k, _letter in enumerate(LETTERS):
+    _CODE[_letter] = _CODE[_letter + 32] = _k
+
+
+def _piles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``tid``, the tile's first place, and by place and letter the aligned bases and those of reversed reads, from rows in order of (tid, tile)."""
+    k, now = len(LETTERS), None
+    for batch in batches:
+        tid, number, start, reverse = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tid", "_tile", "start", "reverse"))
+        seq = batch.column("seq").cast(pa.large_string())
+        _, offsets, letters = seq.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[seq.offset : seq.offset + len(seq) + 1]
+        codes = _CODE[np.frombuffer(letters, np.uint8)[offsets[0] : offsets[-1]]] if len(seq) else None
+        cuts = [0, *(np.flatnonzero((tid[1:] != tid[:-1]) | (number[1:] != number[:-1])) + 1).tolist(), len(tid)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if (tid[a], number[a]) != now:
+                if now is not None:
+                    yield now[0], now[1] * tile, counts.reshape(tile, k), reversed_.reshape(tile, k)
+                now, counts, reversed_ = (int(tid[a]), int(number[a])), np.zeros(tile * k, np.int64), np.zeros(tile * k, np.int64)
+            first, length = offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1])
+            place = np.repeat(start[a:b] - now[1] * tile - first, length) + np.arange(offsets[b] - offsets[a])
+            inside = (place >= 0) & (place < tile)
+            at = place[inside] * k + codes[offsets[a] - offsets[0] : offsets[b] - offsets[0]][inside]
+            counts += np.bincount(at, minlength=tile * k)
+            reversed_ += np.bincount(at[np.repeat(reverse[a:b], length)[inside]], minlength=tile * k)
+    if now is not None:
+        yield now[0], now[1] * tile, counts.reshape(tile, k), reversed_.reshape(tile, k)
+
+
+def _letters(codes: np.ndarray, known: np.ndarray | None = None) -> pa.Array:
+    return pa.array([chr(x) for x in LETTERS]).take(pa.array(codes, pa.int64(), mask=None if known is None else ~known))
+
+
+def _piled(reads: DataFrame, make: Callable[..., list[pa.Array]], kind: str, tile: int) -> DataFrame:
+    """The columns that ``make`` gives for each tile of the piled up reads (``tid, start, seq, reverse``).
+
+    Reads go to the tiles that they lie in and are counted there: their bases are neither shuffled nor kept.
+    """
+    rows = reads.select("tid", F.col("start").cast("long").alias("start"), "seq", F.col("reverse").cast("boolean").alias("reverse")).where("tid is not null and start is not null and length(seq) > 0").fillna(False, ["reverse"])
+    rows = rows.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.length("seq") - 1) / tile))))
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pile in _piles(batches, tile):
+            yield pa.RecordBatch.from_arrays(make(*pile), names=names)
+
+    return rows.repartition("tid", "_tile").sortWithinPartitions("tid", "_tile").mapInArrow(run, kind)
+
+
+def _best_two(n: np.ndarray, min_support: int) -> tuple[np.ndarray, ...]:
+    """``at``, the places at which a letter has enough support, and there the best letter, its count, the second one and its count, or 0."""
+    at = np.flatnonzero(n.max(1) >= min_support)
+    enough = np.where(n[at] >= min_support, n[at], 0)
+    row, best = np.arange(len(at)), enough.argmax(1)
+    n_best = enough[row, best]
+    enough[row, best] = 0
+    second = enough.argmax(1)
+    return at, best, n_best, second, enough[row, second]
+
+
+def pileup(reads: DataFrame, min_support: int = 2, tile: int = PILE_TILE) -> DataFrame:
+    """Reads (``tid, start, seq, reverse``; a letter of ``seq`` for each place) by position: depth, the two best alleles with enough support, their counts."""
+
+    def make(tid: int, lo: int, n: np.ndarray, n_reverse: np.ndarray) -> list[pa.Array]:
+        at, best, n_best, second, n_second = _best_two(n, min_support)
+        return [pa.array(np.full(len(at), tid, np.int32)), pa.array(at + lo), pa.array(n[at].sum(1)), _letters(best), pa.array(n_best), pa.array(n_reverse[at, best]), _letters(second, n_second > 0), pa.array(n_second)]
+
+    return _piled(reads, make, "tid int, pos long, depth long, best string, n_best long, n_best_reverse long, second string, n_second long", tile)
+
+
+def consensus(reads: DataFrame, min_support: int = 2, tile: int = PILE_TILE) -> DataFrame:
+    """The consensus of each contig's stretches of adjacent positions of the pileup: lower case where a second allele has half the best one's support.
+
+    Stretches are made within tiles; only those that reach a tile's edge, two a tile at most, are put together along a contig.
+    """
+
+    def make(tid: int, lo: int, n: np.ndarray, _: np.ndarray) -> list[pa.Array]:
+        at, best, n_best, _, n_second = _best_two(n, min_support)
+        text = (LETTERS[best] + 32 * (2 * n_second >= n_best)).astype(np.uint8).tobytes().decode()
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        first, last = np.concatenate([[0], cuts])[: len(at)], np.append(cuts, len(at))[: len(at)]
+        return [pa.array(np.full(len(first), tid, np.int32)), pa.array(at[first] + lo), pa.array(at[last - 1] + lo + 1), pa.array([text[a:b] for a, b in zip(first, last, strict=True)], pa.string())]
+
+    parts, _ = stash(_piled(reads, make, "tid int, start long, end long, consensus string", tile), "stretches")
+    edge = (F.col("start") % tile == 0) | (F.col("end") % tile == 0)
+    w = Window.partitionBy("tid").orderBy("start")
+    rows = parts.where(edge).withColumn("_new", F.when(F.col("start") == F.lag("end").over(w), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = rows.groupBy("tid", "_run").agg(F.min("start").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "consensus"))), lambda s: s["consensus"]), "").alias("consensus"))
+    return parts.where(~edge).select("tid", "start", "consensus").unionByName(joined.drop("_run"))
+
+
+def error_profile(reads: DataFrame, expected: Callable[[int, np.ndarray], np.ndarray], most: float = 0.35, tile: int = PILE_TILE) -> DataFrame:
+    """``ref, base, n``: aligned bases by the reference's letter, at places where at most the share ``most`` of the bases differ from it.
+
+    ``expected`` gives the letters (as bytes) of the reference at places of a contig. A tile gives one row for each two letters.
+    """
 
+    def make(tid: int, lo: int, n: np.ndarray, _: np.ndarray) -> list[pa.Array]:
+        at = np.flatnonzero(n.any(1))
+        ref, depth = _CODE[expected(tid, at + lo)], n[at].sum(1)
+        fits = (depth - n[at, ref]) / depth <= most
+        sums = np.zeros((len(LETTERS), len(LETTERS)), np.int64)
+        np.add.at(sums, ref[fits], n[at[fits]])
+        i, j = np.nonzero(sums)
+        return [_letters(i), _letters(j), pa.array(sums[i, j])]
 
-def consensus(piled: DataFrame) -> DataFrame:
-    """The consensus of each contig's stretches of adjacent positions: lower case where a second allele has half the best one's support."""
-    base = F.when(2 * F.col("n_second") >= F.col("n_best"), F.lower("best")).otherwise(F.col("best"))
-    w = Window.partitionBy("tid").orderBy("pos")
-    rows = piled.withColumn("b", base).withColumn("stretch", F.col("pos") - F.row_number().over(w))
-    return rows.groupBy("tid", "stretch").agg(F.min("pos").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda s: s["b"]), "").alias("consensus")).drop("stretch")
+    return _piled(reads, make, "ref string, base string, n long", tile).groupBy("ref", "base").agg(F.sum("n").alias("n"))
 
 
 def run_length_depth(depth: DataFrame, p: float = 0.0, tile: int = TILE) -> DataFrame:
